@@ -1,5 +1,6 @@
 """Independent SQL for the registered queries, written for DuckDB."""
 
+from parity.normalize import SQL as _BOARDS
 from parity.tools import SQL as _TOOLS
 
-ORACLES = {**_TOOLS}
+ORACLES = {**_TOOLS, **_BOARDS}

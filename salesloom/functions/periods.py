@@ -6,7 +6,7 @@ import datetime as dt
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from salesloom import contracts as C
 from salesloom.functions.scalars import strip
@@ -81,49 +81,54 @@ def resolve(text: str | None, as_of: dt.date = C.DEFAULT_AS_OF,
                   None if quarter is None else f"Q{quarter}", begin, last)
 
 
-def resolve_column(phrase: Column, as_of: dt.date = C.DEFAULT_AS_OF) -> Column:
-    """Struct (label, fiscal_year, fiscal_quarter, start_date, end_date) for every phrase of a column."""
+def resolve_columns(df: DataFrame, column: str, as_of: dt.date = C.DEFAULT_AS_OF) -> DataFrame:
+    """Add label, fiscal_year, fiscal_quarter, start_date, end_date for every phrase of a column.
+
+    Done in small steps, so that shared pieces are computed once per row and every step stays inside generated code.
+    """
     this_year, this_quarter = _fiscal_position(as_of)
-    text = F.lower(strip(F.coalesce(phrase, F.lit(""))))
-
-    def has(words):
-        hit = text.contains(words[0])
-        for w in words[1:]:
-            hit = hit | text.contains(w)
-        return hit
-
-    nothing = (text == "") | text.isin(EVERYTHING)
-    range_start = F.nullif(F.regexp_extract(text, RANGE_PATTERN, 1), F.lit("")).cast("date")
-    range_end = F.nullif(F.regexp_extract(text, RANGE_PATTERN, 2), F.lit("")).cast("date")
-    year_text = F.regexp_extract(text, YEAR_PATTERN, 1)
-    written_year = F.nullif(year_text, F.lit("")).cast("int") + F.when(F.length(year_text) == 2, 2000).otherwise(0)
-    written_quarter = F.nullif(F.regexp_extract(text, QUARTER_PATTERN, 1), F.lit("")).cast("int")
     last_year, last_quarter = (this_year, this_quarter - 1) if this_quarter > 1 else (this_year - 1, 4)
-    relative = F.when(has(THIS_QUARTER), "this_quarter").when(has(LAST_QUARTER), "last_quarter") \
-        .when(has(YEAR_TO_DATE), "ytd").when(has(THIS_YEAR), "this_year").when(has(LAST_YEAR), "last_year")
-    quarter = (F.when(relative == "this_quarter", this_quarter).when(relative == "last_quarter", last_quarter)
-               .when(relative == "ytd", F.lit(None)).otherwise(written_quarter))
-    year = (F.when(relative.isin("this_quarter", "this_year", "ytd"), this_year)
-            .when(relative == "last_quarter", last_year).when(relative == "last_year", this_year - 1)
-            .otherwise(F.coalesce(written_year, F.when(quarter.isNotNull(), this_year))))
-    found = ~nothing & range_start.isNull() & year.isNotNull()
-    year_start = F.make_date(year, F.lit(4), F.lit(1))
-    start = F.when(quarter.isNull(), year_start).otherwise(
-        F.add_months(year_start, (F.coalesce(quarter, F.lit(1)) - 1) * 3))
-    end = (F.when(relative == "ytd", F.lit(as_of))
-           .otherwise(F.date_sub(F.add_months(start, F.when(quarter.isNull(), 12).otherwise(3)), 1)))
+    text, relative, year, quarter, start = (F.col(c) for c in ("_text", "_relative", "_year", "_quarter", "_start"))
+    has = lambda words: text.rlike("|".join(re.escape(w) for w in words))
+    blank_to_null = lambda c: F.nullif(c, F.lit(""))
     two = lambda c: F.lpad(F.pmod(c, F.lit(100)).cast("string"), 2, "0")
-    name = F.concat(F.lit("FY"), two(year), F.lit("-"), two(year + 1))
-    quarter_name = F.concat(F.lit("Q"), quarter.cast("string"))
-    label = (F.when(range_start.isNotNull(), text)
-             .when(nothing, "All Time")
-             .when(found & (relative == "ytd"), F.concat(F.lit("YTD "), name))
-             .when(found, F.concat_ws(" ", name, quarter_name))
-             .otherwise(phrase))
-    return F.struct(
-        label.alias("label"),
-        F.when(found, name).alias("fiscal_year"),
-        F.when(found, quarter_name).alias("fiscal_quarter"),
-        F.when(found, start).otherwise(F.when(~nothing, range_start)).alias("start_date"),
-        F.when(found, end).otherwise(F.when(~nothing, range_end)).alias("end_date"),
-    )
+
+    df = df.withColumn("_text", F.lower(strip(F.coalesce(F.col(column), F.lit("")))))
+    df = df.withColumns({
+        "_nothing": (text == "") | text.isin(EVERYTHING),
+        "_relative": F.when(has(THIS_QUARTER), "this_quarter").when(has(LAST_QUARTER), "last_quarter")
+        .when(has(YEAR_TO_DATE), "ytd").when(has(THIS_YEAR), "this_year").when(has(LAST_YEAR), "last_year")
+        .otherwise("none"),
+        "_year_text": F.regexp_extract(text, YEAR_PATTERN, 1),
+        "_written_quarter": blank_to_null(F.regexp_extract(text, QUARTER_PATTERN, 1)).cast("int"),
+        "_range_start": blank_to_null(F.regexp_extract(text, RANGE_PATTERN, 1)).try_cast("date"),
+        "_range_end": blank_to_null(F.regexp_extract(text, RANGE_PATTERN, 2)).try_cast("date"),
+    })
+    df = df.withColumn("_quarter", F.when(relative == "this_quarter", this_quarter)
+                       .when(relative == "last_quarter", last_quarter)
+                       .when(relative != "ytd", F.col("_written_quarter")))
+    written_year = blank_to_null("_year_text").cast("int") + F.when(F.length("_year_text") == 2, 2000).otherwise(0)
+    df = df.withColumn("_year", F.when(relative.isin("this_quarter", "this_year", "ytd"), this_year)
+                       .when(relative == "last_quarter", last_year).when(relative == "last_year", this_year - 1)
+                       .otherwise(F.coalesce(written_year, F.when(quarter.isNotNull(), this_year))))
+    df = df.withColumns({
+        "_found": ~F.col("_nothing") & F.col("_range_start").isNull() & year.isNotNull(),
+        "_start": F.add_months(F.make_date(year, F.lit(4), F.lit(1)), (F.coalesce(quarter, F.lit(1)) - 1) * 3),
+        "_name": F.concat(F.lit("FY"), two(year), F.lit("-"), two(year + 1)),
+        "_quarter_name": F.concat(F.lit("Q"), quarter.cast("string")),
+    })
+    found, ranged = F.col("_found"), F.col("_range_start").isNotNull() & ~F.col("_nothing")
+    end = F.when(relative == "ytd", F.lit(as_of)).otherwise(
+        F.date_sub(F.add_months(start, F.when(quarter.isNull(), 12).otherwise(3)), 1))
+    label = (F.when(ranged, text).when(F.col("_nothing"), "All Time")
+             .when(found & (relative == "ytd"), F.concat(F.lit("YTD "), F.col("_name")))
+             .when(found, F.concat_ws(" ", "_name", "_quarter_name")).otherwise(F.col(column)))
+    steps = ["_text", "_nothing", "_relative", "_year_text", "_written_quarter", "_range_start", "_range_end",
+             "_quarter", "_year", "_found", "_start", "_name", "_quarter_name"]
+    return df.withColumns({
+        "label": label,
+        "fiscal_year": F.when(found, F.col("_name")),
+        "fiscal_quarter": F.when(found, F.col("_quarter_name")),
+        "start_date": F.when(found, start).when(ranged, F.col("_range_start")),
+        "end_date": F.when(found, end).when(ranged, F.col("_range_end")),
+    }).drop(*steps)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from salesloom import contracts as C
 from salesloom.functions import predicates as P
 from salesloom.functions import scalars as S
-from salesloom.functions.periods import Period, resolve, resolve_column
+from salesloom.functions.periods import Period, resolve, resolve_columns
 from salesloom.operators import deals as D
 from salesloom.operators import orders as O
 from salesloom.operators import quality as Q
@@ -158,8 +158,7 @@ def explain_metric(spark, metric: str = "open_deals_value") -> ToolResult:
 
 def resolve_periods(phrases: DataFrame, column: str = "phrase", as_of: dt.date = C.DEFAULT_AS_OF) -> DataFrame:
     """Fiscal boundaries for a whole table of phrases."""
-    resolved = phrases.withColumn("_p", resolve_column(F.col(column), as_of))
-    return resolved.select(*phrases.columns, "_p.*")
+    return resolve_columns(phrases, column, as_of)
 
 
 def resolve_period(spark, text=None, start=None, end=None, as_of: dt.date = C.DEFAULT_AS_OF) -> ToolResult:

@@ -2,69 +2,20 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
 from salesloom.functions import predicates as P
 from salesloom.operators import deals as D
 from salesloom.operators import executive as E
-from salesloom.operators import normalize as N
 from salesloom.operators import orders as O
 from salesloom.operators import quality as Q
 from salesloom.operators import sectors as X
-from salesloom.plans.registry import Boards, run
-from salesloom.sources import bridge
+from salesloom.plans.board_queries import BOARD_QUERIES
+from salesloom.plans.context import AS_OF, QUARTER, YEAR, Context
+from salesloom.plans.registry import run
 
-AS_OF = bridge.AS_OF
-YEAR, QUARTER = "FY1998", "Q2 FY1998"
+__all__ = ["QUERIES", "Context"]
 FACT_COLUMNS = ["id", "metric", "value_double", "unit", "display", "must_mention", "role"]
 
 
-class Context:
-    """The boards of one data folder."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self.t = bridge.Tables(spark, folder)
-
-    @cached_property
-    def deals(self) -> DataFrame:
-        return N.derive_deals(bridge.deals_board(self.t), AS_OF)
-
-    @cached_property
-    def orders(self) -> DataFrame:
-        return N.derive_orders(bridge.orders_board(self.t), AS_OF)
-
-    @cached_property
-    def deals_sheet(self) -> DataFrame:
-        return bridge.deals_sheet(self.t)
-
-    @cached_property
-    def orders_sheet(self) -> DataFrame:
-        return bridge.orders_sheet(self.t)
-
-    @cached_property
-    def clean_deals(self) -> N.Normalized:
-        return N.normalize_deals(self.deals_sheet, AS_OF)
-
-    @cached_property
-    def clean_orders(self) -> N.Normalized:
-        return N.normalize_orders(self.orders_sheet, AS_OF)
-
-    @cached_property
-    def ledger(self) -> DataFrame:
-        return N.full_ledger(self.clean_deals, self.clean_orders)
-
-    @property
-    def boards(self) -> Boards:
-        return Boards(self.deals, self.orders, self.ledger, AS_OF)
-
-    @property
-    def open_deals(self) -> DataFrame:
-        return self.deals.filter(D.IS_OPEN)
-
-
 def _open(**kw):
     return lambda c: D.open_totals(c.deals.filter(D.open_conditions(**kw, as_of=AS_OF)))
 
@@ -147,4 +98,4 @@ TOOL_QUERIES = {
     "facts_revenue_ladder": _facts("revenue_ladder"),
 }
 
-QUERIES = {**TOOL_QUERIES}
+QUERIES = {**TOOL_QUERIES, **BOARD_QUERIES}

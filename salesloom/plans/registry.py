@@ -16,10 +16,10 @@ from salesloom.operators.results import ToolResult, as_facts, fact
 
 @dataclass
 class Boards:
-    """The frames tools read. The ledger may be left out when no quality tool is run."""
+    """The frames tools read. The ledger may be a function, called only when a tool asks for it."""
     deals: DataFrame
     orders: DataFrame
-    ledger: DataFrame | None = None
+    ledger: DataFrame | Callable[[], DataFrame] | None = None
     as_of: dt.date = C.DEFAULT_AS_OF
 
     def register_views(self) -> None:
@@ -81,7 +81,8 @@ def run(name: str, boards: Boards, **arguments) -> ToolResult:
     if name not in TOOLS:
         raise KeyError(f"no tool named {name!r}; there are {sorted(TOOLS)}")
     wanted = inspect.signature(TOOLS[name]).parameters
-    provided = {"deals": boards.deals, "orders": boards.orders, "ledger": boards.ledger, "as_of": boards.as_of,
+    ledger = boards.ledger() if "ledger" in wanted and callable(boards.ledger) else boards.ledger
+    provided = {"deals": boards.deals, "orders": boards.orders, "ledger": ledger, "as_of": boards.as_of,
                 "spark": boards.deals.sparkSession}
     given = {k: v for k, v in arguments.items() if k in wanted and k not in BOARD_PARAMETERS}
     result = TOOLS[name](**{k: v for k, v in provided.items() if k in wanted}, **given)
