@@ -110,8 +110,9 @@ def floating_sheet(c: Context) -> DataFrame:
     title = c.spark.range(1).select([F.lit("Export" if i == 0 else None).cast("string").alias(n)
                                      for i, n in enumerate(sheet.columns)])
     header = c.spark.range(1).select([F.lit(n).alias(n) for n in sheet.columns])
-    title.unionByName(header).coalesce(1).write.csv(f"{path}/a", header=False)
-    sheet.write.csv(f"{path}/b", header=False)
+    as_is = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "header": False}
+    title.unionByName(header).coalesce(1).write.options(**as_is).csv(f"{path}/a")
+    sheet.write.options(**as_is).csv(f"{path}/b")
     return sheets.read_floating_header(c.spark, f"{path}/*", len(sheet.columns))
 
 

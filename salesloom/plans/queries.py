@@ -11,6 +11,7 @@ from salesloom.operators import sectors as X
 from salesloom.plans.board_queries import BOARD_QUERIES
 from salesloom.plans.context import AS_OF, QUARTER, YEAR, Context
 from salesloom.plans.registry import run
+from salesloom.plans.text_queries import TEXT_QUERIES
 
 __all__ = ["QUERIES", "Context"]
 FACT_COLUMNS = ["id", "metric", "value_double", "unit", "display", "must_mention", "role"]
@@ -98,4 +99,4 @@ TOOL_QUERIES = {
     "facts_revenue_ladder": _facts("revenue_ladder"),
 }
 
-QUERIES = {**TOOL_QUERIES, **BOARD_QUERIES}
+QUERIES = {**TOOL_QUERIES, **BOARD_QUERIES, **TEXT_QUERIES}
