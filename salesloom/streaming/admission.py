@@ -153,7 +153,7 @@ class AdmissionProcessor(StatefulProcessor):
         mark = timerValues.getCurrentWatermarkInMs()
         late, waits = [], []
         for batch in rows:
-            for us, event in zip(batch["_us"], batch[self.id]):
+            for us, event in zip(batch["micros"], batch[self.id]):
                 (late if us // 1000 < mark else waits).append((int(us), int(event)))
         if waits:
             self.waiting.appendList(waits)
@@ -175,7 +175,7 @@ class AdmissionProcessor(StatefulProcessor):
         for us, event in due:
             state, result = self.rule.step(state, us)
             out.append((event, *result, False))
-        self.state.update((state,))
+        self.state.update(([float(x) for x in state],))
         left = every[len(due):]
         if left:
             self.waiting.put(left)
@@ -190,8 +190,8 @@ class AdmissionProcessor(StatefulProcessor):
 def admit_stream(events: DataFrame, rule, key: str = "user_id", ts: str = "ts", id: str = "event_id",
                  delay: str = "1 minute") -> DataFrame:
     """The same rule on a stream. Needs the RocksDB state store."""
-    stamped = events.select(key, id, F.col(ts).cast("timestamp").alias("_ts"),
-                            F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")).withWatermark("_ts", delay)
+    stamped = events.select(key, id, F.col(ts).cast("timestamp").alias("seen_at"),
+                            F.unix_micros(F.col(ts).cast("timestamp")).alias("micros")).withWatermark("seen_at", delay)
     types = dict(stamped.dtypes)
     return stamped.groupBy(key).transformWithStateInPandas(
         AdmissionProcessor(rule, key, id), f"{key} {types[key]}, {id} {types[id]}, {OUTCOME}, late boolean",
