@@ -12,9 +12,9 @@ from salesloom.operators.questions import is_follow_up, understand, with_lowered
 
 
 class CarryProcessor(StatefulProcessor):
-    """Keeps the last in-scope period of each session; forgotten after the time to live."""
+    """Keeps the last in-scope period of each session; forgotten after the time to live, if there is one."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -37,12 +37,16 @@ class CarryProcessor(StatefulProcessor):
         pass
 
 
-def carry_period_stream(questions: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """(session_id, turn, period) for a stream of (session_id, turn, question)."""
+def carry_period_stream(questions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(session_id, turn, period) for a stream of (session_id, turn, question).
+
+    A time to live needs processing time, under which Spark keeps starting batches: give one
+    to a stream that runs on, none to a run over what is there now.
+    """
     df = with_lowered(understand(questions)).select(
         "session_id", "turn", "own_period", is_follow_up(F.col("_q")).alias("follow"),
         (~F.col("refused") & ~F.col("out_of_scope")).alias("in_scope"))
     types = dict(df.dtypes)
     return df.groupBy("session_id").transformWithStateInPandas(
         CarryProcessor(ttl_ms), f"session_id {types['session_id']}, turn {types['turn']}, period string",
-        "Append", "ProcessingTime")
+        "Append", "None" if ttl_ms is None else "ProcessingTime")
