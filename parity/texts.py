@@ -134,7 +134,7 @@ RUNS = f"""runs AS (SELECT user_id AS run_id, event_id AS seq, ts, CASE WHEN eve
    WHEN event_type = 'error' THEN CASE WHEN event_id % 9 = 0 THEN 'run.error' ELSE 'llm' END ELSE 'stage' END AS event,
    {_stage_list}[event_id % 8 + 1] AS name, CASE WHEN event_id % 4 = 0 THEN 'warn' ELSE 'done' END AS status, ts AS started_at,
    value AS duration_ms, event_id % 50 AS rows_in, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 20 END AS rows_out FROM events)"""
-_LAT = """count(*) AS events, round(CAST(sum(CAST(duration_ms AS DECIMAL(18,4))) AS DOUBLE) / count(duration_ms), 4) AS mean_ms, quantile_disc(duration_ms, 0.5) AS p50_ms,
+_LAT = """count(*) AS events, CAST(round(CAST(CAST(sum(CAST(duration_ms AS DECIMAL(18,4))) AS DOUBLE) / count(duration_ms) AS DECIMAL(28,10)), 4) AS DOUBLE) AS mean_ms, quantile_disc(duration_ms, 0.5) AS p50_ms,
   quantile_disc(duration_ms, 0.95) AS p95_ms, max(duration_ms) AS max_ms"""
 _STATES = f"""st AS (SELECT run_id, CASE WHEN max(CASE WHEN event = 'run.error' THEN 1 ELSE 0 END) = 1 THEN 'error' ELSE 'completed' END AS state,
   count(*) AS event_count, min(ts) AS created_at FROM runs GROUP BY 1)"""

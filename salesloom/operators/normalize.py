@@ -103,16 +103,21 @@ def typed_deals(distinct: DataFrame) -> DataFrame:
                               **{c: to_date(F.col(c)) for c in C.DEAL_DATES}})
 
 
-def normalize_deals(sheet: DataFrame, as_of: dt.date = C.DEFAULT_AS_OF) -> Normalized:
+def as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def normalize_deals(sheet: DataFrame, as_of: dt.date = C.DEFAULT_AS_OF, keep=as_is) -> Normalized:
     """Raw deals export to clean deals and rules DQ001-DQ007.
 
     Header rows are filtered, copies collapse in one aggregation that also counts
-    them, and all row rules are counted in a single pass.
+    them, and all row rules are counted in a single pass. With keep=session.stored the
+    clean rows are written once and the ledger reads only the columns it needs from there.
     """
     header = is_stray_header(sheet)
     first = F.col(f"`{sheet.columns[0]}`")
     counted = with_copies(sheet.filter(~header))
-    rows = derive_deals(typed_deals(counted), as_of)
+    rows = keep(derive_deals(typed_deals(counted), as_of), "clean-deals")
 
     is_open = F.col("status") == "Open"
     largest = F.max_by(F.struct("deal_alias", "deal_value"), F.struct("deal_value", "deal_alias"))
@@ -220,9 +225,9 @@ def empty_columns(sheet: DataFrame) -> DataFrame:
         for i, c in enumerate(sheet.columns)])))
 
 
-def normalize_orders(sheet: DataFrame, as_of: dt.date = C.DEFAULT_AS_OF) -> Normalized:
-    """Raw work-order export to clean work orders and rules DQ008-DQ016."""
-    rows = derive_orders(typed_orders(sheet), as_of)
+def normalize_orders(sheet: DataFrame, as_of: dt.date = C.DEFAULT_AS_OF, keep=as_is) -> Normalized:
+    """Raw work-order export to clean work orders and rules DQ008-DQ016; keep as for deals."""
+    rows = keep(derive_orders(typed_orders(sheet), as_of), "clean-orders")
     rules = order_rules()
     empty = empty_columns(sheet).filter("is_empty")
     counts = L.rule_counts(rows, rules).unionByName(

@@ -138,7 +138,7 @@ def snapshot_status(c: Context) -> DataFrame:
 
 
 def ledger_export(c: Context) -> DataFrame:
-    path = L.export_csv(c.clean_deals.ledger, c.scratch("ledger"))
+    path = L.export_csv(c.kept_deals.ledger, c.scratch("ledger"))
     return c.spark.read.option("header", True).csv(path).withColumn(
         "Affected Rows", F.col("Affected Rows").cast("long")).select(
         "DQ Code", "Rule Name", "Severity", "Affected Rows", "Resolution Strategy", "Sample Identifiers")
@@ -282,8 +282,8 @@ BOARD_QUERIES = {
     "a27_brief_table": lambda c: E.brief_table(E.brief_row(c.deals, c.orders, c.ledger, as_of=AS_OF)),
     "a29_metric_phrases": lambda c: E.explain_metrics(phrases(c, METRIC_PHRASES)).groupBy("phrase", "metric", "unit")
         .agg(F.count(F.lit(1)).alias("rows")),
-    "a33_quality_summary": lambda c: Q.quality_summary(c.clean_deals.rows, c.ledger),
-    "a34_deals_profile": lambda c: Q.profile_deals(c.deals_sheet, c.clean_deals.rows),
+    "a33_quality_summary": lambda c: Q.quality_summary(c.kept_deals.rows, c.ledger),
+    "a34_deals_profile": lambda c: Q.profile_deals(c.deals_sheet, c.kept_deals.rows),
     "a34_orders_profile": lambda c: Q.profile_orders(c.orders),
     "a34_value_counts": lambda c: Q.value_counts(c.deals, ["status", "closure_probability"]),
     "a34_null_counts": lambda c: Q.null_counts(c.deals_sheet),
