@@ -274,3 +274,4 @@ SQL = {
         LEFT JOIN c ON c.run_id = r.run_id AND c.name = s.name""",
     "o5_recent_runs": f"WITH {RUNS}, {_STATES} SELECT * FROM st ORDER BY created_at DESC, run_id DESC LIMIT 50",
 }
+SQL["e8_streamed_carry_over"] = SQL["q6_carried_period"]

@@ -267,3 +267,8 @@ SQL["facts_revenue_ladder"] = BOTH + f""", {_ladder_cte()} SELECT {_FACT_COLS} F
   ('F5','wo_receivable_value', receivable_amount, 'INR', {inr('receivable_amount')}, TRUE, 'support'),
   ('F6','unbilled_backlog', unbilled_backlog, 'INR', {inr('unbilled_backlog')}, FALSE, 'support'),
   ('F7','won_deal_value', won_value, 'INR', {inr('won_value')}, FALSE, 'support')) AS u({_FACT_COLS})"""
+SQL["j1_sector_join"] = BOTH + f""", {RECON} SELECT sector, total_deals, open_deals_count, open_pipeline_value, won_deals_count, won_deal_value FROM recon"""
+SQL["j4_scalar_combine"] = BOTH + f""", {_ladder_cte()} SELECT * EXCLUDE (realization_rate_pct, collection_rate_pct, unbilled_backlog) FROM ladder"""
+SQL["o1_top_won_ten"] = SQL["a21_top_won_deals"].replace("LIMIT 5", "LIMIT 10")
+SQL["o2_full_sort"] = SQL["a5_tender_deals"]
+SQL["o3_rule_union"] = BOTH + f", {_DEBT} SELECT issue_category, type, count(*) AS records FROM debt GROUP BY 1, 2"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from salesloom.functions import predicates as P
 from salesloom.operators import deals as D
 from salesloom.operators import executive as E
@@ -92,6 +94,13 @@ TOOL_QUERIES = {
     "a32_ground_truth": lambda c: E.ground_truth(c.deals, c.orders),
     "a35_legacy_open_summary": lambda c: D.legacy_open_summary(c.deals),
     "a35_legacy_realization": lambda c: O.legacy_realization(c.deals, c.orders),
+    "j1_sector_join": lambda c: X.sector_dimension(c.spark).join(
+        F.broadcast(X.deals_by_sector(c.deals)), "sector", "left").na.fill(0),
+    "j4_scalar_combine": lambda c: O.won_bookings(c.deals).crossJoin(O.order_money(c.orders)),
+    "o1_top_won_ten": lambda c: D.top_won_deals(c.deals, 10),
+    "o2_full_sort": lambda c: D.tender_deals(c.deals),
+    "o3_rule_union": lambda c: Q.debt_records(c.deals, c.orders).groupBy("issue_category", "type").agg(
+        F.count(F.lit(1)).alias("records")),
     "j2_lifecycle": lambda c: X.lifecycle(c.deals, c.orders),
     "j3_linkage_measure": lambda c: X.linkage_measure(c.deals, c.orders),
     "j3_unmatched_keys": lambda c: X.unmatched_keys(c.deals, c.orders),

@@ -16,7 +16,7 @@ from salesloom.operators import verification as V
 from salesloom.plans.context import AS_OF, Context
 from salesloom.plans.labelled import QUESTIONS
 from salesloom.plans.registry import run
-from salesloom.streaming import admission, rollups
+from salesloom.streaming import admission, carryover, drain, rollups
 
 NOW = dt.datetime(2024, 1, 31, 0, 0, 0)
 # Turns added to the labelled questions so that follow-ups, refusals and ambiguous words occur.
@@ -34,17 +34,25 @@ def _pick(values: list[str], at: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
 
 
-def questions(c: Context) -> DataFrame:
+def questions(conversations: DataFrame) -> DataFrame:
     """User turns of the conversations; most are replaced by labelled questions, some keep their own text."""
     at = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(TURN_CYCLE))
     texts = [row[1] for row in QUESTIONS] + EXTRA_TURNS
-    return c.t.conversations.filter("role = 'user'").select(
+    return conversations.filter("role = 'user'").select(
         F.col("conv_id").alias("session_id"), "turn", at.cast("int").alias("at"),
         F.coalesce(_pick(texts, at), F.col("text")).alias("question"))
 
 
+def streamed_carry_over(c: Context) -> DataFrame:
+    """The conversation table read as a stream, its periods carried in per-session state."""
+    table = c.t.conversations
+    stream = drain.read_table_stream(c.spark, c.folder, table.schema, "conversations.parquet")
+    asked = questions(stream)
+    return drain.drain(carryover.carry_period_stream(asked), "carry-over")
+
+
 def understood(c: Context) -> DataFrame:
-    return QU.understand(questions(c))
+    return QU.understand(questions(c.t.conversations))
 
 
 def routed(c: Context) -> DataFrame:
@@ -244,7 +252,7 @@ def receipt(c: Context) -> DataFrame:
 
 TEXT_QUERIES = {
     # questions
-    "q1_policy_flags": lambda c: QU.policy_flags(questions(c)).groupBy("refused", "out_of_scope").agg(
+    "q1_policy_flags": lambda c: QU.policy_flags(questions(c.t.conversations)).groupBy("refused", "out_of_scope").agg(
         F.count(F.lit(1)).alias("questions")),
     "q2_period": lambda c: understood(c).select("session_id", "turn", "own_period"),
     "q3_deal_type_sector": lambda c: understood(c).select("session_id", "turn", "deal_type", "sector"),
@@ -252,7 +260,7 @@ TEXT_QUERIES = {
     "q5_route": lambda c: QU.route(understood(c)).select(
         "session_id", "turn", "tool", QU.args_text(F.col("args")).alias("args")),
     "q6_carried_period": lambda c: QU.carry_period(understood(c)).select("session_id", "turn", "period"),
-    "q7_ambiguity": lambda c: QU.ambiguity_hits(questions(c)).groupBy("term", "detected_intent").agg(
+    "q7_ambiguity": lambda c: QU.ambiguity_hits(questions(c.t.conversations)).groupBy("term", "detected_intent").agg(
         F.count(F.lit(1)).alias("hits")),
     # receipts and audits
     "r1_confidence": lambda c: A.confidence(confidence_runs(c)).select(
@@ -309,6 +317,7 @@ TEXT_QUERIES = {
         "run_id", "page", "state", F.size("events").alias("events"),
         F.element_at("events", 1)["event"].alias("first_event"), F.element_at("events", -1)["event"].alias("last_event")),
     "e7_freshness": lambda c: rollups.freshness(c.t.events, NOW, F.col("event_type"), 7200),
+    "e8_streamed_carry_over": streamed_carry_over,
     "e9_stage_board": lambda c: rollups.stage_board(run_events(c)).select(
         "run_id", "name", "stage_no", "status", "started_at", "duration_ms"),
     "o5_recent_runs": lambda c: rollups.recent_runs(run_events(c), 50),

@@ -53,7 +53,7 @@ def test_late_events_are_marked(spark, context, tmp_path):
 
 
 def test_period_carry_over(spark, context, tmp_path):
-    questions = TQ.questions(context)
+    questions = TQ.questions(context.t.conversations)
     questions.coalesce(1).write.parquet(str(tmp_path / "q"))
     stream = drain.read_table_stream(spark, str(tmp_path / "q"), questions.schema)
     got = drain.drain(carryover.carry_period_stream(stream), "carry")
