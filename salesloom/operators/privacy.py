@@ -135,19 +135,15 @@ def find_names(texts: DataFrame, keys: DataFrame, text: str = "text", id: str =
     the keys while they are below its size limit and shuffles both sides beyond it.
     """
     longest = keys.agg(F.max("words")).first()[0] or 1
-    cut = texts.select(id, pieces(F.lower(F.col(text))).alias("_p"))
-
-    def runs(i):
-        def run(k):
-            gram = F.get("_p", i) if k == 1 else F.array_join(F.slice("_p", i + 1, 2 * k - 1), "")
-            return F.when(i + (2 * k - 2) < F.size("_p"), F.struct(
-                i.alias("at"), F.lit(2 * k - 1).alias("size"), gram.alias("gram")))
-        return F.array_compact(F.array(*[run(k) for k in range(1, longest + 1)]))
-
-    # Word runs and other characters alternate, so the words are every second piece.
-    first = F.when(F.get("_p", F.lit(0)).rlike(STARTS_WITH_WORD), 0).otherwise(1)
-    words = F.when(first < F.size("_p"), F.sequence(first, F.size("_p") - 1, F.lit(2)))
-    grams = cut.select(id, F.inline(F.flatten(F.transform(words, runs))))
+    low = texts.select(id, F.lower(F.col(text)).alias("_low"))
+    # Every run of k words, overlapping, in word order. Words are every second piece of the text.
+    runs = lambda k: F.regexp_extract_all("_low", F.lit(rf"(?U)(?<!\w)(?=(\w+(?:\W+\w+){{{k - 1}}}))"), F.lit(1))
+    by_length = F.array(*[F.struct(F.lit(2 * k - 1).alias("size"), runs(k).alias("_runs"))
+                          for k in range(1, longest + 1)])
+    first = F.when(F.col("_low").rlike(STARTS_WITH_WORD), 0).otherwise(1)
+    cut = low.select(id, first.alias("_first"), F.inline(by_length))
+    grams = cut.select(id, "_first", "size", F.posexplode("_runs").alias("_word", "gram")).select(
+        id, (F.col("_first") + 2 * F.col("_word")).alias("at"), "size", "gram")
     return grams.join(keys.drop("words"), "gram").drop("gram")
 
 

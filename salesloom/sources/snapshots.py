@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
@@ -77,6 +78,7 @@ def refresh(spark: SparkSession, folder: str, load, now: dt.datetime, force: boo
     except Exception:
         if last is None:
             raise
+        logging.getLogger(__name__).exception("load failed; snapshot %s stays in use", last)
         return last
     return new_id
 

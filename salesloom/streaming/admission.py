@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from salesloom import contracts as C
@@ -89,6 +89,13 @@ class CallBudget:
 
 # ---------------------------------------------------------------- batch
 
+def _micros(events: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970; a time without zone is read as it stands, whatever the session's zone."""
+    if dict(events.dtypes)[ts] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def with_busy_stretch(events: DataFrame, key: str, ts: str, idle_seconds: int) -> DataFrame:
     """Number the stretches of each key that no idle gap interrupts.
 
@@ -96,7 +103,7 @@ def with_busy_stretch(events: DataFrame, key: str, ts: str, idle_seconds: int) -
     independent and a hot key splits into many. Gaps are found on one row per key and
     idle-wide time cell: their number is bounded by the time span, not by the traffic.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros = _micros(events, ts)
     idle = idle_seconds * MICROS
     placed = events.withColumns({"_us": micros, "_cell": F.floor(micros / idle)})
     cells = placed.groupBy(key, "_cell").agg(F.min("_us").alias("_from"), F.max("_us").alias("_to"))
@@ -191,7 +198,7 @@ def admit_stream(events: DataFrame, rule, key: str = "user_id", ts: str = "ts",
                  delay: str = "1 minute") -> DataFrame:
     """The same rule on a stream. Needs the RocksDB state store."""
     stamped = events.select(key, id, F.col(ts).cast("timestamp").alias("seen_at"),
-                            F.unix_micros(F.col(ts).cast("timestamp")).alias("micros")).withWatermark("seen_at", delay)
+                            _micros(events, ts).alias("micros")).withWatermark("seen_at", delay)
     types = dict(stamped.dtypes)
     return stamped.groupBy(key).transformWithStateInPandas(
         AdmissionProcessor(rule, key, id), f"{key} {types[key]}, {id} {types[id]}, {OUTCOME}, late boolean",
