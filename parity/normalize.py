@@ -318,3 +318,19 @@ SQL["a27_brief_table"] = _BRIEF + f""" SELECT u.kpi, {inr('u.v')} AS value, u.no
   ('Realized Billing', billed_excl_gst, {pct_text('realization_rate_pct')} || ' billed vs contracted'),
   ('Cash Receipts', collected_incl_gst, 'With tax'), ('Outstanding Receivables', receivable_amount, 'Still to be recovered'),
   ('Unbilled Delivery Backlog', unbilled_backlog, 'Still to be invoiced')) AS u(kpi, v, note)"""
+
+
+def _brief_facts() -> str:
+    from parity.tools import _fact_rows
+    return _fact_rows(_BRIEF, "brief", [
+        (1, "open_pipeline_value", "open_value", "INR", "", True, "primary"),
+        (2, "wo_contracted_value", "amount_excl_gst", "INR", "", True, "primary"),
+        (3, "wo_billed_value", "billed_excl_gst", "INR", "", True, "support"),
+        (4, "wo_collected_value", "collected_incl_gst", "INR", "", True, "support"),
+        (5, "wo_receivable_value", "receivable_amount", "INR", "", True, "support"),
+        (6, "unbilled_backlog", "unbilled_backlog", "INR", "", False, "support"),
+        (7, "realization_rate_pct", "realization_rate_pct", "pct", "", False, "support"),
+        (8, "operational_risks_count", "operational_risks", "count", "risks", True, "caveat")])
+
+
+SQL["facts_leadership_brief"] = _brief_facts()

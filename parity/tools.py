@@ -272,3 +272,63 @@ SQL["j4_scalar_combine"] = BOTH + f""", {_ladder_cte()} SELECT * EXCLUDE (realiz
 SQL["o1_top_won_ten"] = SQL["a21_top_won_deals"].replace("LIMIT 5", "LIMIT 10")
 SQL["o2_full_sort"] = SQL["a5_tender_deals"]
 SQL["o3_rule_union"] = BOTH + f", {_DEBT} SELECT issue_category, type, count(*) AS records FROM debt GROUP BY 1, 2"
+
+
+def _fact_rows(prefix: str, source: str, rows: list[tuple]) -> str:
+    """Facts from a one-row source: (id, metric, value, unit, noun, must_mention, role)."""
+    def line(i, metric, value, unit, noun, must, role):
+        v = f"CAST({value} AS DOUBLE)"
+        if unit == "pct":
+            v = f"round({v}, 1)"
+        shown = inr(v) if unit == "INR" else pct_text(v) if unit == "pct" else count_text(value, noun)
+        return f"('F{i}', '{metric}', {v}, '{unit}', {shown}, {str(must).upper()}, '{role}')"
+    values = ", ".join(line(*r) for r in rows)
+    return f"{prefix} SELECT {_FACT_COLS} FROM {source}, LATERAL (VALUES {values}) AS u({_FACT_COLS})"
+
+
+_wl = f"WITH t AS ({_win_loss()})"
+SQL["facts_win_loss_analysis"] = _fact_rows(_wl, "t", [
+    (1, "won_deals_count", "won_count", "count", "deals", True, "support"),
+    (2, "won_deals_value", "won_value", "INR", "", True, "primary"),
+    (3, "win_rate_count", "win_rate_count", "pct", "", False, "support"),
+    (4, "win_rate_value", "win_rate_value", "pct", "", False, "support"),
+    (5, "lost_deals_count", "lost_count", "count", "deals", False, "support")])
+SQL["facts_owner_performance"] = _fact_rows(f"WITH t AS ({SQL['a9_unassigned_deals']})", "t", [
+    (1, "active_owners_count", "owners_count", "count", "owners", False, "support"),
+    (2, "unassigned_deals_count", "unassigned_deals", "count", "deals", False, "caveat"),
+    (3, "top_owner_pipeline", "top_owner_value", "INR", "", False, "primary")])
+_rec = f"WITH t AS ({SQL['a11_receivables']})"
+SQL["facts_receivables_summary"] = _fact_rows(_rec, "t", [
+    (1, "wo_receivable_value", "total_receivable", "INR", "", True, "primary"),
+    (2, "credit_notes_count", "credit_notes_count", "count", "credits", False, "caveat"),
+    (3, "gross_receivable_positive", "positive_debtors_sum", "INR", "", False, "support"),
+    (4, "outstanding_receivables", "total_receivable", "INR", "", False, "support")])
+SQL["facts_collected_cash"] = _fact_rows(_rec, "t", [
+    (1, "collected_cash", "total_collected", "INR", "", True, "primary"),
+    (2, "total_billed_value", "total_billed", "INR", "", False, "support"),
+    (3, "outstanding_receivables", "total_receivable", "INR", "", False, "support")])
+_hl = f"WITH t AS ({ORDERS + _health()})"
+SQL["facts_workorder_health"] = _fact_rows(_hl, "t", [
+    (1, "total_work_orders", "total_orders", "count", "work orders", True, "primary"),
+    (2, "completed_work_orders_count", "completed_count", "count", "completed", False, "support"),
+    (3, "completion_rate_pct", "completion_rate_pct", "pct", "", False, "support"),
+    (4, "delayed_work_orders_count", "delayed_count", "count", "delayed", False, "caveat"),
+    (5, "completed_unbilled_count", "completed_unbilled_count", "count", "orders", False, "caveat"),
+    (6, "completed_unbilled_value", "completed_unbilled_value", "INR", "", False, "caveat")])
+SQL["facts_ongoing_orders"] = _fact_rows(_hl, "t", [
+    (1, "ongoing_orders", "ongoing_count", "count", "orders", True, "primary"),
+    (2, "ongoing_contracted_value", "ongoing_value", "INR", "", False, "support"),
+    (3, "total_work_orders", "total_orders", "count", "total", False, "support")])
+SQL["facts_tender_mode"] = _fact_rows(f"WITH t AS ({SQL['a5_tender_view']})", "t", [
+    (1, "tender_share_pct", "tender_share_pct", "pct", "", True, "primary"),
+    (2, "tender_pipeline_value", "tender_value", "INR", "", False, "support"),
+    (3, "tender_deal_count", "tender_count", "count", "deals", False, "support"),
+    (4, "open_pipeline", "open_value", "INR", "", False, "support")])
+SQL["facts_compare_periods"] = _fact_rows(f"WITH t AS ({SQL['a28_compare_billed']})", "t", [
+    (1, "billed_FY98-99 Q1", "value_a", "INR", "", True, "support"),
+    (2, "billed_FY98-99 Q2", "value_b", "INR", "", True, "support"),
+    (3, "billed_delta_value", "delta", "INR", "", True, "support"),
+    (4, "billed_delta_pct", "delta_pct", "pct", "", True, "support")])
+SQL["facts_stale_deals"] = _fact_rows(f"WITH t AS ({SQL['a26_stale_totals']})", "t", [
+    (1, "stale_deals_count", "stale_count", "count", "stale deals", True, "primary"),
+    (2, "stale_deals_value", "stale_value", "INR", "", False, "support")])

@@ -34,6 +34,11 @@ def money_sum_if(cond: Column, col: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, money(col))).cast("double"), F.lit(0.0))
 
 
+def moment(value) -> Column:
+    """A date and time as it stands, whatever the session's zone."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 

@@ -36,7 +36,7 @@ def brief_row(deals: DataFrame, orders: DataFrame, ledger: DataFrame, period=Non
         "realization_rate_pct")
     health = O.health_totals(P.keep(orders, O.health_condition(period=period, as_of=as_of)), as_of).select(
         "delayed_count", "completed_unbilled_count", "completion_rate_pct")
-    quality = Q.ledger_totals(ledger).select("total_anomalies", F.col("high_severity").alias("high_dq_count"))
+    quality = Q.ledger_totals(Q.as_frame(ledger)).select("total_anomalies", F.col("high_severity").alias("high_dq_count"))
     row = pipeline.crossJoin(money).crossJoin(health).crossJoin(quality)
     return row.withColumn("operational_risks", F.col("delayed_count") + F.col("high_dq_count"))
 

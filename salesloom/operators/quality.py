@@ -17,8 +17,13 @@ from salesloom.operators.results import ToolResult, as_facts, fact
 STALE_TYPES = ["stale_open_deals", "stale_deals", "stale"]
 
 
-def scorecard(ledger: DataFrame, board=None, severity=None, code=None) -> DataFrame:
-    return P.keep(ledger, P.ledger_filter(board, code, severity)).select(
+def as_frame(ledger) -> DataFrame:
+    """A ledger may come as a function, called only where it is read."""
+    return ledger() if callable(ledger) else ledger
+
+
+def scorecard(ledger, board=None, severity=None, code=None) -> DataFrame:
+    return P.keep(as_frame(ledger), P.ledger_filter(board, code, severity)).select(
         "code", P.board_of_rule(F.col("code")).alias("board"), "rule_name", "severity", "affected_count",
         "description", "resolution")
 

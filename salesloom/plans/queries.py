@@ -106,6 +106,17 @@ TOOL_QUERIES = {
     "j3_unmatched_keys": lambda c: X.unmatched_keys(c.deals, c.orders),
     "facts_pipeline_summary": _facts("pipeline_summary"),
     "facts_revenue_ladder": _facts("revenue_ladder"),
+    "facts_win_loss_analysis": _facts("win_loss_analysis"),
+    "facts_owner_performance": _facts("owner_performance"),
+    "facts_receivables_summary": _facts("receivables_summary"),
+    "facts_collected_cash": _facts("receivables_summary", metric="collected_cash"),
+    "facts_workorder_health": _facts("workorder_health"),
+    "facts_ongoing_orders": _facts("work_order_health", status="Ongoing"),
+    "facts_tender_mode": _facts("pipeline_summary", deal_type="Tender"),
+    "facts_compare_periods": _facts("compare_periods", metric="billed", period_a="last quarter",
+                                    period_b="this quarter"),
+    "facts_stale_deals": _facts("data_debt_list", type="stale_open_deals"),
+    "facts_leadership_brief": _facts("leadership_brief"),
 }
 
 QUERIES = {**TOOL_QUERIES, **BOARD_QUERIES, **TEXT_QUERIES}

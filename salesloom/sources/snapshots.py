@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from salesloom import contracts as C
-from salesloom.functions.scalars import money
+from salesloom.functions.scalars import moment, money
 
 MANIFEST = "snapshot_id long, synced_at timestamp_ntz, deals_count long, work_orders_count long, checksum string"
 
@@ -34,7 +34,7 @@ def write(spark: SparkSession, folder: str, snapshot_id: int, deals: DataFrame,
         frame.write.mode("overwrite").parquet(f"{folder}/{name}/{part}")
     stored = [spark.read.parquet(f"{folder}/{name}/{part}") for name in ("deals", "work_orders")]
     row = checksum(*stored).select(
-        F.lit(snapshot_id).cast("long").alias("snapshot_id"), F.lit(synced_at).cast("timestamp_ntz").alias("synced_at"),
+        F.lit(snapshot_id).cast("long").alias("snapshot_id"), moment(synced_at).alias("synced_at"),
         "deals_count", "work_orders_count", "checksum")
     row.coalesce(1).write.mode("append").json(f"{folder}/manifest")
 
@@ -87,8 +87,7 @@ def status(snapshots: DataFrame, now: dt.datetime, as_of: dt.date = C.DEFAULT_AS
            ttl: int = C.SNAPSHOT_TTL_SECONDS) -> DataFrame:
     """Counts, age, staleness, source label and badge of the newest snapshot, as one row."""
     newest = snapshots.agg(F.max_by(F.struct(*snapshots.columns), "snapshot_id").alias("s")).select("s.*")
-    moment = F.lit(now).cast("timestamp_ntz")
-    age = F.timestamp_diff("SECOND", F.col("synced_at"), moment)
+    age = F.timestamp_diff("SECOND", F.col("synced_at"), moment(now))
     stale = age >= ttl
     label = F.when(stale, "stale_snapshot").otherwise(F.lit(source))
     badge = F.concat(F.when(stale, "Stale snapshot").otherwise(F.initcap(F.lit(source))), F.lit(" · synced "),

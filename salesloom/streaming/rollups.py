@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from salesloom import contracts as C
-from salesloom.functions.scalars import count_if
+from salesloom.functions.scalars import count_if, moment
 from salesloom.operators.numbering import number_within
 
 
@@ -77,8 +77,7 @@ def recent_runs(events: DataFrame, n: int = C.RECENT_RUNS) -> DataFrame:
 
 def freshness(events: DataFrame, now: dt.datetime, source: Column, ttl: int = C.SNAPSHOT_TTL_SECONDS) -> DataFrame:
     """Fresh or stale by the age of the last sync of each source. Table or stream (update mode)."""
-    moment = F.lit(now).cast("timestamp_ntz")
-    age = F.timestamp_diff("SECOND", F.col("last_sync"), moment)
+    age = F.timestamp_diff("SECOND", F.col("last_sync"), moment(now))
     return events.groupBy(source.alias("source")).agg(F.max("ts").alias("last_sync")).withColumns(
         {"age_seconds": age, "state": F.when(age < ttl, "fresh").otherwise("stale")})
 

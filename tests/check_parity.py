@@ -80,7 +80,12 @@ def main():
     import __spark_entry__ as entry
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     parts = sys.argv[2:]
-    spark = build("local[8]")
+    if os.environ.get("CHECK_ZONE"):  # a session without this library's settings, in another time zone
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", os.environ["CHECK_ZONE"]).config(
+            "spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = build("local[8]")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
