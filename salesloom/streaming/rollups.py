@@ -10,6 +10,8 @@ from salesloom import contracts as C
 from salesloom.functions.scalars import count_if, moment
 from salesloom.operators.numbering import number_within
 
+QUANTILE_ACCURACY = 100_000  # exact for groups up to that size, one rank in that many beyond
+
 
 def stage_latency(events: DataFrame, window: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Count, mean, median, p95 and maximum duration by stage and status. Table or stream.
@@ -23,9 +25,10 @@ def stage_latency(events: DataFrame, window: str | None = None, delay: str = "10
     duration = F.col("duration_ms")
     rolled = grouped.agg(
         F.count(F.lit(1)).alias("events"),
-        F.round(F.sum(duration.cast("decimal(18,4)")).cast("double") / F.count(duration), 4).alias("mean_ms"),
-        F.percentile_approx(duration, 0.5).alias("p50_ms"),
-        F.percentile_approx(duration, 0.95).alias("p95_ms"), F.max(duration).alias("max_ms"))
+        F.round((F.sum(duration.cast("decimal(18,4)")) / F.count(duration).cast("decimal(20,0)")).cast("decimal(28,10)"), 4)
+        .cast("double").alias("mean_ms"),
+        F.percentile_approx(duration, 0.5, QUANTILE_ACCURACY).alias("p50_ms"),
+        F.percentile_approx(duration, 0.95, QUANTILE_ACCURACY).alias("p95_ms"), F.max(duration).alias("max_ms"))
     if not window:
         return rolled
     return rolled.select(F.col("window.start").alias("window_start"), *keys, "events", "mean_ms", "p50_ms", "p95_ms",
