@@ -39,6 +39,7 @@ RULES = (
     Rule("symbols_to_words", "n_symbols", "n_words", most=10),
     Rule("stop_words", "n_stop_words", "n_words", least=4),
     Rule("shouted_words", "n_shouted", "n_words", most=30),
+    Rule("stuttered_words", "n_stuttered", "n_words", most=20),
     Rule("repeated_lines", "n_dup_lines", "n_lines", most=30),
     Rule("cut_lines", "n_cut_lines", "n_lines", most=30),
 )
@@ -94,6 +95,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: dict[st
     bare = lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))
     more = {
         "n_stop_words": F.size(F.filter(F.col("_words"), lambda w: F.array_contains(stops, bare(w)))).cast("long"),
+        "n_stuttered": F.size(F.filter(F.col("_words"), lambda w, i: w == F.get(F.col("_words"), i - 1))).cast("long"),
         "n_shouted": F.size(F.filter(F.col("_words"), lambda w: w.endswith("!!"))).cast("long"),
     }
     out = split.withColumns({**base_counts(F.col("_text"), F.col("_words")), **more}).drop("_text", "_words")

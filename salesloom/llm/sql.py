@@ -41,6 +41,7 @@ c AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_trans
              len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…) *$')))::BIGINT AS n_cut_lines,
              len(list_filter(words, lambda x: list_contains([{_STOPS}], lower(rtrim(x, '.,;:!?')))))::BIGINT AS n_stop_words,
              len(list_filter(words, lambda x: ends_with(x, '!!')))::BIGINT AS n_shouted,
+             len(list_filter(words, lambda x, i: i > 1 AND x = words[i - 1]))::BIGINT AS n_stuttered,
              coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,11 @@ from salesloom.session import stored
 #: Labelled rows in the index, half of them of each label if there are as many; terms; neighbours; examples in a block.
 SAMPLE, TERMS, NEIGHBOURS, BLOCK = 4096, 4096, 15, 64
 #: Least chi-square of a term against the label, and the weight of the base rate among the votes.
-TELLING, PRIOR = 15.0, 0.5
+TELLING, PRIOR = 25.0, 0.5
+#: A word is a term, and so is its beginning in each of these lengths, which catches inflected and compound forms.
+STEMS = (3, 5, 7)
+#: Words whose terms a task remembers; a full memory starts anew.
+REMEMBERED = 300_000
 _WORD = re.compile(r"\w+")
 
 
@@ -67,8 +72,12 @@ class Index:
         return (vote + PRIOR * self.base) / (total + PRIOR), near
 
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+def terms_of(word: str) -> list[str]:
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+
+
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
 
 def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
@@ -88,7 +97,7 @@ def telling_terms(drawn: DataFrame, most: int = TERMS) -> list[str]:
     """The terms with the largest chi-square against the label, most of them at most."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(t, y) for text, y in zip(batch["text"], batch["toxic"]) for t in word_counts(text)]
+            rows = [(t, y) for text, y in zip(batch["text"], batch["toxic"]) for t in {t for w in set(words_of(text)) for t in terms_of(w)}]
             yield pd.DataFrame(rows, columns=["term", "toxic"]).groupby("term")["toxic"].agg(["sum", "count"]).reset_index()
     n = drawn.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("y")).first()
     a, with_term = F.sum("sum").alias("a"), F.sum("count").alias("c")
@@ -104,11 +113,16 @@ def hits(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = shared.value
+        place, known = shared.value, {}
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                got = Counter(t for w in _WORD.findall(text.lower()) if (t := place.get(w)) is not None) if text else {}
+                found = words_of(text)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w in set(found) - known.keys():
+                    known[w] = [place[t] for t in terms_of(w) if t in place]
+                got = Counter(chain.from_iterable(map(known.__getitem__, found)))
                 rows.append(sorted(got.items()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": [[t for t, _ in r] for r in rows],
                                 "counts": [[n for _, n in r] for r in rows]})
