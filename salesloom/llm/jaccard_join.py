@@ -76,11 +76,11 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
 
 
 def frequent_tokens(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> np.ndarray:
-    """Tokens of more than `often` documents, counted over all documents in the first half of their tokens, from which
-    prefixes come; the most frequent `most` of them."""
+    """Tokens that more than `often` documents have in their prefix, with a few more in place of frequent ones; of these
+    the most frequent `most`. Counted over all documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [s[:2 * (len(s) - needed(len(s)) + 1)] for s in map(shingles, batch["text"])]
+            parts = [s[:(len(s) - needed(len(s)) + 1) * 6 // 5] for s in map(shingles, batch["text"])]
             token, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             yield pd.DataFrame({"token": token.view(np.int64), "n": n})
     table = docs.select("text").filter("text IS NOT NULL").mapInPandas(count, "token long, n long")
@@ -131,13 +131,11 @@ def linked_pairs(docs: DataFrame, classes: DataFrame):
     return verify
 
 
-def alike(pairs: DataFrame, complete: bool) -> DataFrame:
+def alike(pairs: DataFrame) -> DataFrame:
     """Drops pairs whose sizes differ too much or, if both index rare tokens only, that share too few of them: tokens
     behind the shorter prefix are all that can be common besides."""
     x, y = F.abs("size_a"), F.abs("size_b")
     pairs = pairs.filter((4 * x >= 3 * y) & (4 * y >= 3 * x))
-    if not complete:
-        return pairs
     behind = F.ceil(3 * F.greatest(x, y) / 4) - 1
     enough = PART * (F.col("shared") + behind) >= WHOLE * (x + y)
     return pairs.filter((F.col("size_a") < 0) | (F.col("size_b") < 0) | enough)

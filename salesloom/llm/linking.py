@@ -64,12 +64,12 @@ def ordered(left: DataFrame) -> DataFrame:
                        pick("size_y", "size_x").alias("size_b"), "shared")
 
 
-def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame, bool], DataFrame],
+def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame],
             rounds: int = ROUNDS) -> DataFrame:
     """id and comp of all ids with a link.
 
     posts: distinct (sig, id, size), size being whatever alike looks at; verify: keeps of pairs (a, b) those that are linked; alike: drops pairs (a, b,
-    size_a, size_b, shared) that cannot be linked, told whether `shared` counts all buckets that the pair has in common.
+    size_a, size_b, shared) that cannot be linked if `shared` is the number of all buckets that the two have in common.
     """
     comp = links = tried = None
     for turn in range(rounds):
@@ -82,8 +82,9 @@ def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: C
                                         F.col("l.comp").alias("comp_y")), "leaders")
         met = posts.join(leaders, "sig").filter("comp != comp_y").groupBy(F.col("id").alias("a"), F.col("y").alias("b")).agg(
             F.first("size").alias("size_a"), F.first("size_y").alias("size_b"), F.count(F.lit(1)).alias("shared"))
-        # Every member meets the leader with which it shares most.
-        best = alike(met, False).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        # Every member meets the leader with which it shares most, if that looks promising; what is left out here is
+        # tested below.
+        best = alike(met).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         comp, links, tried = joined(pairs, verify, links, tried)
     posts = open_buckets(posts, comp)
@@ -100,7 +101,7 @@ def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: C
     pairs = one.join(other, "sig").filter("comp_x != comp_y AND (in_main OR x < y)")
     pairs = ordered(pairs.withColumn("shared", F.lit(1))).groupBy("a", "b").agg(
         F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"))
-    comp, *_ = joined(alike(pairs, True).select("a", "b"), verify, links, tried)
+    comp, *_ = joined(alike(pairs).select("a", "b"), verify, links, tried)
     return comp
 
 
