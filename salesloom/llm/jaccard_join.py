@@ -27,7 +27,7 @@ WORDS = 5
 PART, WHOLE = 7, 3
 #: A token of more documents than this is frequent. The frequent class holds the MOST most frequent of these, which
 #: bounds what is broadcast; others are indexed as rare ones, and large buckets cost no more than their members.
-OFTEN, MOST = 50, 1 << 19
+OFTEN, MOST = 10, 1 << 19
 #: Up to so many ids are broadcast; more meet in a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -80,7 +80,7 @@ def frequent_tokens(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> np
     the most frequent `most`. Counted over all documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [s[:(len(s) - needed(len(s)) + 1) * 6 // 5] for s in map(shingles, batch["text"])]
+            parts = [s[:(len(s) - needed(len(s)) + 1) * 7 // 4] for s in map(shingles, batch["text"])]
             token, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             yield pd.DataFrame({"token": token.view(np.int64), "n": n})
     table = docs.select("text").filter("text IS NOT NULL").mapInPandas(count, "token long, n long")
