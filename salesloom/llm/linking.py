@@ -20,31 +20,30 @@ ROUNDS = 2
 def components(links: DataFrame) -> DataFrame:
     """id and comp, the smallest id that links (a, b) reach, for every id that has a link.
 
-    Large and small stars in turn until the edges stand still. The smallest neighbour of each id is written before the
-    edges meet it, so that the rows of an id with very many edges can be split among tasks.
+    Large and small stars in turn until every id but a centre has one edge, to a centre. The smallest neighbour of each
+    id is written before the edges meet it, so that the rows of an id with very many edges can be split among tasks.
     """
     edges = stored(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
                    "edges")
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    before = mark(edges)
-    while before[0]:
+    while not stars_only(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large-stars")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        met = large.join(least, "u")
+        met = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = met.select("u", F.col("m").alias("v")).unionByName(
             met.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = stored(small.distinct(), "edges")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     own = edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(own)
 
 
+def stars_only(edges: DataFrame) -> bool:
+    """Every u has one edge, and no u is a v."""
+    ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select(F.col("u").alias("id"), "n", F.lit(0).alias("side"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("side")))
+    return ends.groupBy("id").agg(F.max("n").alias("n"), F.max("side").alias("v")).filter("n > 1 OR n = 1 AND v = 1").isEmpty()
+
+
 def open_buckets(posts: DataFrame, comp: DataFrame | None) -> DataFrame:
     """posts with comp (the id itself if it has none), of buckets with members of different groups."""
     if comp is None:
@@ -86,7 +85,7 @@ def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: C
         # tested below.
         best = alike(met).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        comp, links, tried = joined(pairs, verify, links, tried)
+        comp, links, tried = joined(pairs, verify, comp, links, tried)
     posts = open_buckets(posts, comp)
     if posts.isEmpty():
         return none_or(comp, posts)
@@ -101,15 +100,17 @@ def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: C
     pairs = one.join(other, "sig").filter("comp_x != comp_y AND (in_main OR x < y)")
     pairs = ordered(pairs.withColumn("shared", F.lit(1))).groupBy("a", "b").agg(
         F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"))
-    comp, *_ = joined(alike(pairs).select("a", "b"), verify, links, tried)
-    return comp
+    comp, *_ = joined(alike(pairs).select("a", "b"), verify, comp, links, tried)
+    return none_or(comp, posts)
 
 
-def joined(pairs: DataFrame, verify, links: DataFrame | None, tried: DataFrame | None):
+def joined(pairs: DataFrame, verify, comp: DataFrame | None, links: DataFrame | None, tried: DataFrame | None):
     """Test new pairs; groups by all links so far, these links, and all pairs tested so far."""
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
+    if pairs.isEmpty():
+        return comp, links, tried
     found = stored(verify(pairs).select("a", "b"), "links")
     links = found if links is None else links.unionByName(found)
     tried = pairs if tried is None else tried.unionByName(pairs)
