@@ -87,8 +87,14 @@ def column_names(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(*cells))).filter("entity IS NOT NULL AND entity != ''").distinct()
 
 
+def minted_catalog(df: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The catalogue and, continuing its counters, tokens for names of the maskable columns that it lacks."""
+    return catalog.unionByName(mint(catalog, column_names(df)).select(*catalog.columns))
+
+
 def tokenize_columns(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Replace the name columns by tokens. Names missing from the catalogue become null: mint them first."""
+    """Replace the name columns by tokens. Names missing from the catalogue get the tokens of `minted_catalog`."""
+    catalog = minted_catalog(df, catalog)
     for c in [c for c in df.columns if kind_of_column(c)]:
         lookup = catalog.select(F.col("entity").alias("_entity"), F.col("token").alias("_token"))
         masked = F.when(F.coalesce(F.col(c), F.lit("")) == "", F.col(c)).otherwise(F.col("_token"))

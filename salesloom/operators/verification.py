@@ -92,7 +92,9 @@ def _cells(v: Column) -> Column:
 
     Two numbers within either tolerance are in the same or in neighbouring cells.
     """
-    absolute = F.struct(F.lit("a").alias("scale"), F.floor(v / C.MATCH_ABSOLUTE).cast("long").alias("cell"))
+    # From here on doubles lie further apart than the absolute tolerance: only the relative one is left.
+    small = F.abs(v) / C.MATCH_ABSOLUTE < float(1 << 53)
+    absolute = F.when(small, F.struct(F.lit("a").alias("scale"), F.floor(v / C.MATCH_ABSOLUTE).cast("long").alias("cell")))
     relative = F.when(v > 0, F.struct(F.lit("r").alias("scale"), F.floor(F.log(v) / _LOG_STEP).cast("long").alias("cell")))
     return F.array_compact(F.array(absolute, relative))
 
@@ -154,7 +156,7 @@ def verdicts(answers: DataFrame, facts: DataFrame, truths: DataFrame | None = No
 
 def facts_by_answer(facts: DataFrame) -> DataFrame:
     """The facts of an answer in fact order, as one array. An answer has the few facts its tool defines."""
-    number = F.substring("id", 2, 9).cast("int").alias("n")
+    number = F.substring("id", 2, 9).try_cast("int").alias("n")
     fact = F.struct(number, "id", "label", "display", "role", "must_mention")
     return facts.groupBy(ANSWER).agg(F.array_sort(F.collect_list(fact)).alias("_facts"))
 
@@ -251,7 +253,7 @@ def select_blocks(answers: DataFrame, facts: DataFrame) -> DataFrame:
     with_role = facts.groupBy(ANSWER).agg(F.max(is_shown).alias("_any"))
     shown = facts.join(with_role, ANSWER).filter(is_shown | ~F.col("_any"))  # without such a role all facts count
     order = W.partitionBy(ANSWER).orderBy(F.when(F.col("role") == "primary", 0).otherwise(1),
-                                          F.substring("id", 2, 9).cast("int"))
+                                          F.substring("id", 2, 9).try_cast("int"))
     ranked = shown.withColumn("card", F.row_number().over(order)).filter(
         F.col("card") <= max(row[0] for row in C.BLOCK_LIMITS.values()))
     joined = df.join(ranked.select(ANSWER, "card", "id", "label", "display"), ANSWER)

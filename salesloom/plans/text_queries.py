@@ -46,7 +46,7 @@ def questions(conversations: DataFrame) -> DataFrame:
 def streamed_carry_over(c: Context) -> DataFrame:
     """The conversation table read as a stream, its periods carried in per-session state."""
     table = c.t.conversations
-    stream = drain.read_table_stream(c.spark, c.folder, table.schema, "conversations.parquet")
+    stream = drain.read_table_stream(c.spark, f"{c.folder}/conversations.parque[t]", table.schema)  # a file or a folder of them
     asked = questions(stream)
     return drain.drain(carryover.carry_period_stream(asked), "carry-over")
 

@@ -4,35 +4,52 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Window as W, functions as F
 
 from salesloom import contracts as C
 from salesloom.functions.scalars import count_if, moment
 from salesloom.operators.numbering import number_within
 
-QUANTILE_ACCURACY = 100_000  # exact for groups up to that size, one rank in that many beyond
+QUANTILES = {"p50_ms": (50, 100), "p95_ms": (95, 100)}
+#: On streams: a quantile is off by one rank in so many at most.
+STREAM_ACCURACY = 100_000
 
 
 def stage_latency(events: DataFrame, window: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Count, mean, median, p95 and maximum duration by stage and status. Table or stream.
 
-    Reads ts, name, status, duration_ms. On a stream the watermark closes each window.
+    Reads ts, name, status, duration_ms. Quantiles of a table are exact at every size. On a stream the watermark closes
+    each window, and quantiles are approximate and called p50_ms_approx and p95_ms_approx.
     """
-    if events.isStreaming:
-        events = events.withWatermark("ts", delay)
     keys = ["name", "status"]
-    grouped = events.groupBy(*([F.window("ts", window)] if window else []), *keys)
+    by = [*([F.window("ts", window).alias("window")] if window else []), *keys]
     duration = F.col("duration_ms")
-    rolled = grouped.agg(
-        F.count(F.lit(1)).alias("events"),
-        F.round((F.sum(duration.cast("decimal(18,4)")) / F.count(duration).cast("decimal(20,0)")).cast("decimal(28,10)"), 4)
-        .cast("double").alias("mean_ms"),
-        F.percentile_approx(duration, 0.5, QUANTILE_ACCURACY).alias("p50_ms"),
-        F.percentile_approx(duration, 0.95, QUANTILE_ACCURACY).alias("p95_ms"), F.max(duration).alias("max_ms"))
+    mean = lambda total, n: F.round((total / n.cast("decimal(20,0)")).cast("decimal(28,10)"), 4).cast("double")
+    if events.isStreaming:
+        rolled = events.withWatermark("ts", delay).groupBy(*by).agg(
+            F.count(F.lit(1)).alias("events"), mean(F.sum(duration.cast("decimal(18,4)")), F.count(duration)).alias("mean_ms"),
+            *[F.percentile_approx(duration, p / of, STREAM_ACCURACY).alias(f"{name}_approx")
+              for name, (p, of) in QUANTILES.items()], F.max(duration).alias("max_ms"))
+    else:
+        rolled = _exact_latency(events.groupBy(*by, "duration_ms"), [*(["window"] if window else []), *keys], mean)
     if not window:
         return rolled
-    return rolled.select(F.col("window.start").alias("window_start"), *keys, "events", "mean_ms", "p50_ms", "p95_ms",
-                         "max_ms")
+    return rolled.select(F.col("window.start").alias("window_start"), *[c for c in rolled.columns if c != "window"])
+
+
+def _exact_latency(by_duration: GroupedData, keys: list[str], mean) -> DataFrame:
+    """Equal durations are counted first, so a window holds the distinct durations of a group and nothing else."""
+    duration, n = F.col("duration_ms"), F.col("n")
+    counts = by_duration.agg(F.count(F.lit(1)).alias("n"), F.count("duration_ms").alias("known"))
+    group = W.partitionBy(*keys)
+    counts = counts.withColumns({
+        "_all": F.sum("known").over(group),
+        "_upto": F.sum("known").over(group.orderBy("duration_ms").rowsBetween(W.unboundedPreceding, W.currentRow))})
+    at = lambda p, of: F.min(F.when((F.col("known") > 0) & (F.col("_upto") * of >= F.col("_all") * p), duration))
+    total = F.sum(duration.cast("decimal(18,4)") * F.col("known").cast("decimal(20,0)"))
+    return counts.groupBy(*keys).agg(
+        F.sum(n).alias("events"), mean(total, F.sum("known")).alias("mean_ms"),
+        *[at(p, of).alias(name) for name, (p, of) in QUANTILES.items()], F.max(duration).alias("max_ms"))
 
 
 def run_summary(events: DataFrame) -> DataFrame:

@@ -69,6 +69,7 @@ def test_windowed_latency(spark, context, tmp_path):
     got = drain.drain(rollups.stage_latency(log_stream.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours",
                                             "1 hour"), "latency")
     want = rollups.stage_latency(log.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours")
+    want = want.withColumnsRenamed({"p50_ms": "p50_ms_approx", "p95_ms": "p95_ms_approx"})  # a few rows: no error yet
     assert rows(got.filter(F.col("window_start") < FAR)) == rows(want)
 
 
@@ -80,3 +81,20 @@ def test_update_mode_rollups(spark, context, tmp_path):
     assert rows(summary.filter("run_id >= 0")) == rows(rollups.run_summary(log))
     stages = drain.drain_updates(rollups.current_stages(log_stream), ["run_id", "name"], "stages")
     assert rows(stages.filter("run_id >= 0")) == rows(rollups.current_stages(log))
+
+
+def test_quantiles_are_exact_in_large_groups(spark):
+    n = 300_000
+    log = spark.range(n).select(F.lit("a").alias("name"), F.lit("ok").alias("status"), ((F.col("id") * 7919) % n).alias("duration_ms"))
+    row = rollups.stage_latency(log.unionByName(log.limit(0))).first()
+    assert (row.events, row.p50_ms, row.p95_ms, row.max_ms) == (n, n // 2 - 1, n * 95 // 100 - 1, n - 1)
+
+
+def test_carry_over_reads_tables_of_many_files(spark, tmp_path):
+    from salesloom.plans.context import Context
+    from salesloom.plans.text_queries import streamed_carry_over
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").filter("conv_id < 12")
+    table.coalesce(1).write.parquet(str(tmp_path / "one" / "conversations.parquet"))
+    table.repartitionByRange(3, "turn").write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    counts = [streamed_carry_over(Context(spark, str(tmp_path / p))).count() for p in ("one", "many")]
+    assert counts[0] == counts[1] == table.filter("role = 'user'").count() > 0

@@ -242,3 +242,20 @@ def test_admission_matches_a_plain_walk(spark, rule):
         want[i] = result[0]
     got = {r["event_id"]: r["admitted"] for r in admission.admit(df, rule).collect()}
     assert got == want and len(set(want.values())) == 2
+
+
+def test_numbers_of_any_length_are_checked(spark):
+    from salesloom.operators.verification import grounded
+    claimed = spark.createDataFrame([("a", 1e22), ("a", 999999999999999999.0), ("a", 5e29), ("a", 7.0)], "answer_id string, number double")
+    truths = spark.createDataFrame([("a", 1.001e22), ("a", 999999999999999999.0), ("a", 7.04)], "answer_id string, truth double")
+    assert sorted(r.number for r in grounded(claimed, truths).collect()) == [7.0, 999999999999999999.0, 1e22]
+
+
+def test_names_the_catalogue_lacks_are_minted(spark):
+    catalog = T.build_catalog(spark.createDataFrame([("Acme", "client"), ("Bond", "owner")], "entity string, entity_type string"))
+    df = spark.createDataFrame([("Acme", "Bond"), ("Unknown Co", None), ("Unknown Co", "")], "client_id string, owner_id string")
+    masked = T.tokenize_columns(df, catalog)
+    got = [tuple(r) for r in masked.collect()]
+    assert None not in {c for c, _ in got} and got.count(got[1]) + got.count(got[2]) >= 2 and got[1][0] == got[2][0] != got[0][0]
+    back = T.rehydrate_columns(masked, T.minted_catalog(df, catalog))
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
