@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -42,6 +42,17 @@ class Index:
     bounds: np.ndarray   # term x block: largest weight
     postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]  # (term, block) -> examples in it, weights
     base: float          # share of label 1 among examples without any term
+    opened: dict[int, np.ndarray] = field(default_factory=dict)  # a task's blocks: term x example
+
+    def block(self, at: int) -> np.ndarray:
+        """The weights of a block's postings; a term is one row, so a text's terms are summed in one product."""
+        if at not in self.opened:
+            rows = np.zeros((len(self.terms), BLOCK))
+            for term in range(len(self.terms)):
+                if (p := self.postings.get((term, at))) is not None:
+                    rows[term, p[0]] = p[1]
+            self.opened[at] = rows
+        return self.opened[at]
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         v = (1 + np.log(counts)) * self.idf[terms]
@@ -50,16 +61,14 @@ class Index:
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k largest cosines above 0 and their examples; of equal ones the first examples."""
         q = self.vector(terms, counts)
-        bound = q @ self.bounds[terms]
+        bound = np.einsum("i,ij->j", q, self.bounds[terms])  # no threads of its own in a task
         best: list[tuple[float, int]] = []
         for block in np.argsort(-bound, kind="stable"):
             if bound[block] <= 0 or len(best) == k and bound[block] < best[-1][0] - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), q):
-                if (p := self.postings.get((t, int(block)))) is not None:
-                    score[p[0]] += x * p[1]
-            found = np.flatnonzero(score > 0)
+            score = np.einsum("i,ij->j", q, self.block(int(block))[terms])
+            least = best[-1][0] - 1e-9 if len(best) == k else 0.0
+            found = np.flatnonzero(score > max(least, 0.0))
             best += [(round(float(score[i]), 9), int(block) * BLOCK + int(i)) for i in found]
             best.sort(key=lambda x: (-x[0], x[1]))
             del best[k:]
