@@ -129,8 +129,9 @@ def hits(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
                 found = words_of(text)
                 if len(known) > REMEMBERED:
                     known.clear()
-                for w in set(found) - known.keys():
-                    known[w] = [place[t] for t in terms_of(w) if t in place]
+                for w in set(found):  # a difference of sets would walk the whole memory for every text
+                    if w not in known:
+                        known[w] = [place[t] for t in terms_of(w) if t in place]
                 got = Counter(chain.from_iterable(map(known.__getitem__, found)))
                 rows.append(sorted(got.items()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": [[t for t, _ in r] for r in rows],
