@@ -131,11 +131,16 @@ def linked_pairs(docs: DataFrame, classes: DataFrame):
     return verify
 
 
+def fits(pairs: DataFrame) -> DataFrame:
+    """Drops pairs whose sizes differ too much."""
+    x, y = F.abs("size_a"), F.abs("size_b")
+    return pairs.filter((4 * x >= 3 * y) & (4 * y >= 3 * x))
+
+
 def alike(pairs: DataFrame) -> DataFrame:
-    """Drops pairs whose sizes differ too much or, if both index rare tokens only, that share too few of them: tokens
-    behind the shorter prefix are all that can be common besides."""
+    """Drops pairs that both index rare tokens only and share too few of them: tokens behind the shorter prefix are all
+    that can be common besides."""
     x, y = F.abs("size_a"), F.abs("size_b")
-    pairs = pairs.filter((4 * x >= 3 * y) & (4 * y >= 3 * x))
     behind = F.ceil(3 * F.greatest(x, y) / 4) - 1
     enough = PART * (F.col("shared") + behind) >= WHOLE * (x + y)
     return pairs.filter((F.col("size_a") < 0) | (F.col("size_b") < 0) | enough)
@@ -159,7 +164,7 @@ def similar(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> DataFrame:
     posts = rows.select(F.explode("sigs").alias("sig"), "id", "size")
     twice = stored(posts.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "shared-sigs")
     posts = posts.join(twice, "sig", "left_semi").distinct()
-    comp = grouped(posts, linked_pairs(docs, classes), alike)
+    comp = grouped(posts, linked_pairs(docs, classes), fits, alike)
     whole = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     whole = stored(whole, "class-groups")
     least = stored(whole.groupBy("comp").agg(F.min("first").alias("component_id")), "group-ids")

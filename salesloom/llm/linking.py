@@ -63,12 +63,14 @@ def ordered(left: DataFrame) -> DataFrame:
                        pick("size_y", "size_x").alias("size_b"), "shared")
 
 
-def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame],
-            rounds: int = ROUNDS) -> DataFrame:
+def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[DataFrame], DataFrame],
+            alike: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, rounds: int = ROUNDS) -> DataFrame:
     """id and comp of all ids with a link.
 
-    posts: distinct (sig, id, size), size being whatever alike looks at; verify: keeps of pairs (a, b) those that are linked; alike: drops pairs (a, b,
-    size_a, size_b, shared) that cannot be linked if `shared` is the number of all buckets that the two have in common.
+    posts: distinct (sig, id, size), size being whatever fits and alike look at; verify: keeps of pairs (a, b) those that
+    are linked; fits: drops pairs (size_a, size_b) that cannot be linked, where they meet and before they are shuffled;
+    alike: drops pairs (a, b, size_a, size_b, shared) that cannot be linked if `shared` is the number of all buckets that
+    the two have in common.
     """
     comp = links = tried = None
     for turn in range(rounds):
@@ -79,8 +81,10 @@ def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: C
         leaders = posts.groupBy("sig").agg(F.min_by(F.struct("id", "size", "comp"), rank).alias("l"))
         leaders = stored(leaders.select("sig", F.col("l.id").alias("y"), F.col("l.size").alias("size_y"),
                                         F.col("l.comp").alias("comp_y")), "leaders")
-        met = posts.join(leaders, "sig").filter("comp != comp_y").groupBy(F.col("id").alias("a"), F.col("y").alias("b")).agg(
-            F.first("size").alias("size_a"), F.first("size_y").alias("size_b"), F.count(F.lit(1)).alias("shared"))
+        met = posts.join(leaders, "sig").filter("comp != comp_y").select(
+            F.col("id").alias("a"), F.col("y").alias("b"), F.col("size").alias("size_a"), F.col("size_y").alias("size_b"))
+        met = fits(met).groupBy("a", "b").agg(
+            F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.count(F.lit(1)).alias("shared"))
         # Every member meets the leader with which it shares most, if that looks promising; what is left out here is
         # tested below.
         best = alike(met).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
@@ -98,7 +102,7 @@ def grouped(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: C
     other = tagged.select("sig", F.col("id").alias("y"), F.col("size").alias("size_y"), F.col("comp").alias("comp_y"),
                           (F.col("comp") == F.col("main")).alias("in_main"))
     pairs = one.join(other, "sig").filter("comp_x != comp_y AND (in_main OR x < y)")
-    pairs = ordered(pairs.withColumn("shared", F.lit(1))).groupBy("a", "b").agg(
+    pairs = fits(ordered(pairs.withColumn("shared", F.lit(1)))).groupBy("a", "b").agg(
         F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("shared").alias("shared"))
     comp, *_ = joined(alike(pairs).select("a", "b"), verify, comp, links, tried)
     return none_or(comp, posts)
