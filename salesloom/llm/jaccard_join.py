@@ -11,7 +11,7 @@ common for certain. Indexing is linear in n, and no linked pair is missed whiche
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,9 +63,7 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
     n = len(tokens)
     if not n:
         return tokens, True
-    often = np.zeros(n, bool)
-    if len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+    often = among(tokens, frequent)
     rare, common = tokens[~often], tokens[often]
     first = n - needed(n) + 1
     if len(rare) >= first:
@@ -75,12 +73,23 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
     return np.concatenate([rare, pairs[:max(0, len(pairs) - shared + 1)]]), False
 
 
-def frequent_tokens(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> np.ndarray:
-    """Tokens that more than `often` documents have in their prefix, with a few more in place of frequent ones; of these
-    the most frequent `most`. Counted over all documents."""
+def among(tokens: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    """Which tokens are in the sorted set."""
+    if not len(sorted_set):
+        return np.zeros(len(tokens), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, tokens), len(sorted_set) - 1)] == tokens
+
+
+def reach(n: int) -> int:
+    """How many of n tokens are counted: the prefix, and a few more in place of frequent ones."""
+    return (n - needed(n) + 1) * 7 // 4
+
+
+def most_frequent(docs: DataFrame, counted: Callable[[np.ndarray], np.ndarray], often: int, most: int) -> np.ndarray:
+    """Of the counted part of all sets, the tokens of more than `often` documents, `most` at most; sorted."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [s[:(len(s) - needed(len(s)) + 1) * 7 // 4] for s in map(shingles, batch["text"])]
+            parts = [counted(shingles(text)) for text in batch["text"]]
             token, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             yield pd.DataFrame({"token": token.view(np.int64), "n": n})
     table = docs.select("text").filter("text IS NOT NULL").mapInPandas(count, "token long, n long")
@@ -89,6 +98,25 @@ def frequent_tokens(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> np
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
+def frequent_tokens(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> np.ndarray:
+    """Tokens that more than `often` documents have in the first part of their set or, once those are set aside, in
+    what stands in their place; `most` at most. Counted over all documents."""
+    first = most_frequent(docs, lambda tokens: tokens[:reach(len(tokens))], often, most)
+    if not len(first) or len(first) >= most:
+        return first
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
+    def behind(tokens: np.ndarray) -> np.ndarray:
+        """Tokens that move up into the first part when frequent ones leave it."""
+        n = reach(len(tokens))
+        if n >= len(tokens):
+            return tokens[:0]
+        rare = tokens[~among(tokens, shared.value)][:n]
+        return rare[rare > tokens[n - 1]]
+
+    return np.union1d(first, most_frequent(docs, behind, often, most - len(first)))
+
+
 def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """doc_id, id (fingerprint of the set), size (negative: not rare tokens only) and sigs of every row; written once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
