@@ -337,6 +337,20 @@ def test_lines_equal_brute_force(spark, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_line_votes_do_not_run_over(spark):
+    """One line of 70,000 distinct words, and one text in 1,500 rows without an id."""
+    spell = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    often = " ".join(spell(500000 + 37 * i) for i in range(66))
+    rows = [(None, often)] * 1500 + [(3, often)]
+    schema = "doc_id long, text string"
+    huge = spark.createDataFrame([(1, " ".join(spell(100000 + i) for i in range(70000)))], schema)
+    marks = line_dedup.occurrences(spark.createDataFrame(rows, schema).unionByName(huge), 5).collect()
+    assert len(marks) == len(rows) + 1 and all(r.bits is not None for r in marks)
+    assert len({r.bits for r in marks if r.doc_id != 1}) == 1
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.n_dropped) for r in got} == {(None, 0), (3, 1)}
+
+
 def test_shards(docs, none):
     got = sharding.shard(docs).collect()
     size = lambda t: len((t or "").encode()) + 1
