@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame, Window as W, functions as F
+from tokenizers import Tokenizer
 
 from salesloom.llm.bpe import byte_alphabet
 from salesloom.session import stored
@@ -37,17 +38,30 @@ def byte_tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.lru_cache(2)
+def library_tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def token_ids(text: str | None, path: str) -> np.ndarray:
+    """Ids of any text. On a run of some hundred thousand white spaces the split pattern exceeds its stack; the
+    tokenizers library, which is slower, then gives the same ids."""
+    tokenizer = byte_tokenizer(path)
+    try:
+        return tokenizer.encode_to_numpy(text or "", allowed_special=tokenizer.special_tokens_set)
+    except ValueError:
+        return np.array(library_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and the place of a piece among those of its length in its task."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, seen = byte_tokenizer(path), np.zeros(capacity + 1, np.int64)
-        special = tokenizer.special_tokens_set
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                # Its recursion limit aside, the encoder takes any text; a null one has no ids but the end.
-                ids = tokenizer.encode_to_numpy(text or "", allowed_special=special)
-                ids = np.append(ids, np.uint32(END)).astype("<u4")
+                # A null text has no ids but the end.
+                ids = np.append(token_ids(text, path), np.uint32(END)).astype("<u4")
                 first = len(ids) % capacity or min(len(ids), capacity)
                 at = 0
                 for k, stop in enumerate(range(first, len(ids) + 1, capacity)):

@@ -129,6 +129,18 @@ def test_packing(docs, none):
     assert packing.pack(none, BYTE_BPE).count() == 0
 
 
+def test_packing_of_long_white_space():
+    """Runs that the split pattern cannot take; shorter runs show what the ids must be."""
+    for c in " \n":
+        short = packing.token_ids(f"one{c * 20001} two <|endoftext|>", BYTE_BPE).tolist()
+        long = packing.token_ids(f"one{c * 2000001} two <|endoftext|>", BYTE_BPE).tolist()
+        with pytest.raises(ValueError):
+            packing.byte_tokenizer(BYTE_BPE).encode(f"one{c * 2000001} two")
+        assert long[:20] == short[:20] and long[-20:] == short[-20:]
+        decoded = packing.byte_tokenizer(BYTE_BPE).decode(long)
+        assert decoded == f"one{c * 2000001} two <|endoftext|>"
+
+
 def fewest(items, capacity):
     items, best = sorted(items, reverse=True), [len(items)]
 
