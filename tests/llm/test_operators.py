@@ -349,6 +349,27 @@ def test_lines_equal_brute_force(spark, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_lines_recall_by_edit_similarity_alone(spark):
+    """Lines of 10 to 40 words and near copies of them with a changed word or some typos; no SimHash in the truth."""
+    r = random.Random(5)
+    spell = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8)))
+    lines = []
+    for i in range(120):
+        words = [spell() for _ in range(r.randint(10, 40))]
+        copy = list(words)
+        if i % 2:
+            copy[r.randrange(len(copy))] = spell()
+        else:
+            for k in r.sample(range(len(copy)), len(copy) // 10):
+                copy[k] = copy[k][:-1] + "z"
+        lines += [" ".join(words), " ".join(copy)]
+    alike = lambda x, y: edit_distance(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9)
+    want = {2 * i + 1 for i in range(120) if alike(lines[2 * i], lines[2 * i + 1])}
+    got = line_dedup.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    gone = {x.doc_id for x in got if x.n_dropped}
+    assert len(want) > 90 and gone <= want and len(gone) >= 0.95 * len(want), (len(gone), len(want))
+
+
 def test_line_votes_do_not_run_over(spark):
     """One line of 70,000 distinct words, and one text in 1,500 rows without an id."""
     spell = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
