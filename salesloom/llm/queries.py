@@ -8,7 +8,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salesloom.llm import (bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules,
+from salesloom.llm import (bpe, collocations, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules,
                            sharding, toxicity)
 
 WORD_BPE = os.environ.get("SALESLOOM_WORD_BPE", public_tokenizers.path("word_bpe_49k.json"))
@@ -67,5 +67,9 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mined(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_main_text, op3_best_fit_packing, op4_exact_dedup, op5_language,
-                                   op6_quality_rules, op7_toxicity, op8_line_dedup, op9_jaccard_groups, op10_sharding)}
+                                   op6_quality_rules, op7_toxicity, op8_line_dedup, op9_jaccard_groups, op10_sharding, op12_collocations)}

@@ -61,4 +61,32 @@ SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS comp
 FROM t JOIN reach ON reach.a = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id
 """
 
-ORACLES = {"op4_exact_dedup": EXACT_DEDUP, "op6_quality_rules": QUALITY, "op9_jaccard_groups": JACCARD}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _phrases(n: int) -> str:
+    return (f"SELECT lang, {n} AS size, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: "
+            f"array_to_string(w[i:i + {n - 1}], ' '))) AS phrase FROM p")
+
+
+COLLOCATIONS = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, count(*) AS f
+      FROM ({" UNION ALL ".join(map(_phrases, (1, 2, 3, 4)))}) GROUP BY lang, size, phrase HAVING count(*) >= 30),
+cut AS (SELECT lang, phrase, f AS a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)),
+scored AS (SELECT cut.*, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f + r.f))::BIGINT AS score
+           FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+spans AS (SELECT lang, f, size, w, m, unnest(range(1, size - m + 2)) AS i
+          FROM (SELECT *, unnest(range(2, size)) AS m FROM f WHERE size > 2)),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM spans GROUP BY 1, 2),
+ranked AS (SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, encode(w.phrase)) AS rank,
+                  w.phrase, a, l, r, score FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+           WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op12_collocations": COLLOCATIONS, "op4_exact_dedup": EXACT_DEDUP, "op6_quality_rules": QUALITY, "op9_jaccard_groups": JACCARD}
