@@ -8,8 +8,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salesloom.llm import (bpe, collocations, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules,
-                           sharding, toxicity)
+from salesloom.llm import (bpe, chat_format, collocations, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules,
+                           sharding, toxicity, whitening)
 
 WORD_BPE = os.environ.get("SALESLOOM_WORD_BPE", public_tokenizers.path("word_bpe_49k.json"))
 BYTE_BPE = os.environ.get("SALESLOOM_BYTE_BPE", public_tokenizers.path("byte_bpe_50k.json"))
@@ -67,9 +67,19 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = chat_format.with_probe(table(spark, folder, "conversations"))
+    return chat_format.read_back(chat_format.formatted(turns))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mined(table(spark, folder, "documents"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_main_text, op3_best_fit_packing, op4_exact_dedup, op5_language,
-                                   op6_quality_rules, op7_toxicity, op8_line_dedup, op9_jaccard_groups, op10_sharding, op12_collocations)}
+                                   op6_quality_rules, op7_toxicity, op8_line_dedup, op9_jaccard_groups, op10_sharding, op11_chat_format, op12_collocations,
+                                   op13_whitening)}
