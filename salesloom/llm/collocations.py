@@ -4,7 +4,7 @@ Words of a chunk of texts are hashed, and prefix polynomials over these hashes,
 phrase in arrays. A task counts equal fingerprints of a chunk, compares each occurrence with the first one word by word,
 and hands on one row: count and pointer to the first occurrence. A shuffle sums counts by fingerprint. Only where the sum
 is large are pointers followed and phrases written out; these texts are counted once more, which parts phrases that share
-a fingerprint. A phrase can be frequent only if its parts are, so phrases grow from words to pairs to longer ones, and
+a fingerprint. A phrase can be frequent only if its parts are: counts of words and of pairs go ahead without pointers, and
 what a filter of fixed size proves to have a rare part is not handed on.
 """
 
@@ -31,7 +31,7 @@ FILTER_BITS = 1 << 26
 #: Words beyond so many bytes are hashed and compared one by one.
 LONG_WORD = 64
 BASE = 0x9E3779B97F4A7C15
-PARTIAL = "n int, fp long, c long, row long, at int, end int"
+PARTIAL = ["n int", "fp long", "c long", "row long", "at int", "end int"]
 
 
 def byte_classes() -> np.ndarray:
@@ -173,46 +173,47 @@ def passes(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return (test(fp & last) & test((fp >> np.uint64(32)) & last)).astype(bool)
 
 
-def counted(rows: DataFrame, sizes: tuple[int, ...], parts: int | None = None, bits: np.ndarray | None = None,
-            chunk: int = CHUNK) -> DataFrame:
-    """(n, fp, c, row, at, end) of each phrase of each chunk, with its first occurrence: bytes at to end of a row's text.
+def counted(rows: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray], pointers: bool, chunk: int = CHUNK) -> DataFrame:
+    """(n, fp, c) of each phrase of each chunk; with pointers also its first occurrence, bytes at to end of a row's text.
 
-    bits: filter of the frequent phrases of `parts` words; phrases with another one in them are left out. With words
-    also goes a row of n = 0 for each language of a chunk, c being all its words.
+    filters: by their number of words, filters of the frequent phrases. A phrase is left out if it has a part of the largest
+    such number up to its own that is not in the filter. With pointers goes also a row of n = 0 for each language of a chunk,
+    c being all its words.
     """
-    shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)
+    shared = rows.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if shared is None else shared.value
+        known = shared.value
         for batch in batches:
             for texts, row, starts in chunks_of(batch, chunk):
-                good = None
-                if known is not None:
-                    heads = texts.phrases(parts)
-                    good = np.zeros(len(texts.start) + LONGEST, bool)
-                    good[heads[passes(known, texts.fingerprints(heads, parts))]] = True
+                good = {}
+                for m, bits in known.items():
+                    heads = texts.phrases(m)
+                    good[m] = np.zeros(len(texts.start) + LONGEST, bool)
+                    good[m][heads[passes(bits, texts.fingerprints(heads, m))]] = True
                 for n in sizes:
                     at = texts.phrases(n)
-                    if good is not None:
-                        for i in range(n - parts + 1):
-                            at = at[good[at + i]]
+                    m = max((m for m in known if m <= n), default=0)
+                    for i in range(n - m + 1 if m else 0):
+                        at = at[good[m][at + i]]
                     fp, first, c = texts.tally(at, n, texts.fingerprints(at, n))
-                    yield partial(n, fp, c, texts, row, starts, first, first + n - 1)
-                if sizes[0] == 1 and len(texts.start):
+                    yield partial(n, fp, c, *(occurrence(texts, row, starts, first, n) if pointers else ()))
+                if pointers and len(texts.start):
                     _, first, c = np.unique(texts.lang, return_index=True, return_counts=True)
                     nothing = np.zeros(len(c), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nothing.astype(np.int32)), pa.array(nothing), pa.array(c), pa.array(row[texts.text[first]]),
-                         *[pa.array(nothing.astype(np.int32))] * 2], names=["n", "fp", "c", "row", "at", "end"])
-    return rows.mapInArrow(run, PARTIAL)
+                    yield partial(0, nothing, c, row[texts.text[first]], nothing, nothing)
+    return rows.mapInArrow(run, ", ".join(PARTIAL if pointers else PARTIAL[:3]))
 
 
-def partial(n: int, fp, c, texts: Chunk, row, starts, first, last) -> pa.RecordBatch:
-    text = texts.text[first]
-    at, end = texts.start[first] - starts[text], texts.start[last] + texts.size[last] - starts[text]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(fp), n, np.int32)), pa.array(fp.view(np.int64)), pa.array(c), pa.array(row[text]),
-         pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32))], names=["n", "fp", "c", "row", "at", "end"])
+def occurrence(texts: Chunk, row: np.ndarray, starts: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    text, last = texts.text[first], first + n - 1
+    return row[text], texts.start[first] - starts[text], texts.start[last] + texts.size[last] - starts[text]
+
+
+def partial(n: int, fp: np.ndarray, c: np.ndarray, *pointer: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(fp), n, np.int32)), pa.array(fp.view(np.int64)), pa.array(c)]
+    columns += [pa.array(p.astype(t)) for p, t in zip(pointer, (np.int64, np.int32, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PARTIAL[:len(columns)]])
 
 
 def filter_of(frequent: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
@@ -236,19 +237,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, filte
     texts = docs.filter("text != ''").select(F.monotonically_increasing_id().alias("row"), lang.alias("lang"), text.alias("text"))
     texts = stored(texts, "phrase-texts")  # fixes the row numbers
     rows = texts.select("row", F.xxhash64("lang").alias("lang"), "text")
-    pointers = []
-
-    def level(sizes, parts=None, bits=None):
-        each = stored(counted(rows, sizes, parts, bits, chunk), "phrase-pointers")
-        sums = each.groupBy("n", "fp").agg(F.sum("c").alias("f")).filter(F.col("f") >= least).select("n", "fp")
-        frequent = stored(sums, "frequent-fingerprints")
-        pointers.append(each.join(frequent, ["n", "fp"], "left_semi"))
-        return frequent
-
-    words = level((1,))
-    pairs = level((2,), 1, filter_of(words.filter("n = 1"), filter_bits))
-    level((3, 4), 2, filter_of(pairs, filter_bits))
-    every = functools.reduce(DataFrame.unionByName, pointers)
+
+    def frequent(partials: DataFrame) -> DataFrame:
+        return partials.groupBy("n", "fp").agg(F.sum("c").alias("f")).filter(F.col("f") >= least).select("n", "fp")
+
+    filters = {}
+    for n in (1, 2):
+        filters[n] = filter_of(stored(frequent(counted(rows, (n,), filters, False, chunk)), "frequent-parts"), filter_bits)
+    each = stored(counted(rows, tuple(range(1, LONGEST + 1)), filters, True, chunk), "phrase-pointers")
+    every = each.join(stored(frequent(each), "frequent-fingerprints"), ["n", "fp"], "left_semi")
     # Places of one text: never more than its phrases.
     places = every.groupBy("row").agg(F.collect_list(F.struct("n", "c", "at", "end")).alias("p"))
     met = texts.join(places, "row").withColumn("_bytes", F.col("text").cast("binary"))
