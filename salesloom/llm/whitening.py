@@ -25,7 +25,7 @@ LARGEST = 2.0 ** 56
 #: Orthonormal enough; no variance at all; most passes.
 CLOSE, NOTHING, PASSES = 1e-12, 1e-9, 12
 #: Least share of the largest eigenvalue that counts as variance.
-FLAT = 1e-15
+FLAT = 1e-26
 BLOCK = 4096
 EXACT = 1 << 62
 
@@ -129,11 +129,12 @@ def triangular(fit: DataFrame, centre: Centre) -> np.ndarray:
         return rows
 
     product = np.eye(d)
-    for turn in range(PASSES):
+    for turn in range(PASSES + 1):
         g = gram(fit, d, orthogonal)
-        w = np.linalg.eigvalsh(g)
-        if turn and np.all((np.abs(w - 1) < CLOSE * d) | (w < NOTHING)):
-            break
+        w, v = np.linalg.eigh(g)
+        if turn and (turn == PASSES or np.all((np.abs(w - 1) < CLOSE * d) | (w < NOTHING))):
+            # What is left of a direction without variance is rounding: it is taken out of R.
+            return np.linalg.qr((v * np.sqrt(np.where(w < NOTHING, 0.0, w))) @ v.T @ product)[1]
         trace = float(np.trace(g))
         if trace == 0:
             return np.zeros((d, d))
@@ -142,7 +143,6 @@ def triangular(fit: DataFrame, centre: Centre) -> np.ndarray:
         r = cholesky(g, shift)
         factors.append(r)
         product = r @ product
-    return product
 
 
 @dataclass(frozen=True)
