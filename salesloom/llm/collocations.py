@@ -26,8 +26,10 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 LONGEST = 4
 #: Bytes of text that a task counts at once (a longer text is taken whole), and bits of the filter of frequent parts.
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 FILTER_BITS = 1 << 26
+#: A task merges its sums of fingerprints at so many, and gives out rows by so many.
+MOST_SUMS, GIVEN = 3_000_000, 1 << 16
 #: Words beyond so many bytes are hashed and compared one by one.
 LONG_WORD = 64
 BASE = 0x9E3779B97F4A7C15
@@ -173,36 +175,79 @@ def passes(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return (test(fp & last) & test((fp >> np.uint64(32)) & last)).astype(bool)
 
 
-def counted(rows: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray], pointers: bool, chunk: int = CHUNK) -> DataFrame:
-    """(n, fp, c) of each phrase of each chunk; with pointers also its first occurrence, bytes at to end of a row's text.
+def chosen(texts: Chunk, n: int, filters: dict[int, np.ndarray]) -> np.ndarray:
+    """First words of the phrases of n words all of whose parts, of the most words that there is a filter for, pass it."""
+    at = texts.phrases(n)
+    m = max((m for m in filters if m <= n), default=0)
+    if m:
+        heads = texts.phrases(m)
+        good = np.zeros(len(texts.start) + LONGEST, bool)
+        good[heads[passes(filters[m], texts.fingerprints(heads, m))]] = True
+        for i in range(n - m + 1):
+            at = at[good[at + i]]
+    return at
+
+
+class Sums:
+    """Counts by fingerprint of many chunks; given out when there are many."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, fp: np.ndarray, c: np.ndarray) -> None:
+        self.parts.append((fp, c))
+        self.size += len(fp)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        fp, c = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(fp)
+        fp, c = fp[order], c[order]
+        head = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
+        self.parts, self.size = [(fp[head], np.add.reduceat(c, head))], len(head)
+        return self.parts[0]
+
+    def due(self, last: bool) -> Iterator[pa.RecordBatch]:
+        if self.size > MOST_SUMS or (last and len(self.parts) > 1):
+            self.merged()
+        if self.size > MOST_SUMS // 2 or (last and self.size):
+            fp, c = self.parts[0]
+            for i in range(0, len(fp), GIVEN):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i:i + GIVEN].view(np.int64)), pa.array(c[i:i + GIVEN])], names=["fp", "c"])
+            self.parts, self.size = [], 0
+
+
+def sums(rows: DataFrame, n: int, filters: dict[int, np.ndarray], chunk: int) -> DataFrame:
+    """(fp, c): how often each task meets a fingerprint of n words. What shares one is not told apart."""
+    shared = rows.sparkSession.sparkContext.broadcast(filters)
 
-    filters: by their number of words, filters of the frequent phrases. A phrase is left out if it has a part of the largest
-    such number up to its own that is not in the filter. With pointers goes also a row of n = 0 for each language of a chunk,
-    c being all its words.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Sums()
+        for batch in batches:
+            for texts, *_ in chunks_of(batch, chunk):
+                found.add(*np.unique(texts.fingerprints(chosen(texts, n, shared.value), n), return_counts=True))
+                yield from found.due(False)
+        yield from found.due(True)
+    # Tasks have summed already: one exchange, no sums before it.
+    return rows.mapInArrow(run, "fp long, c long").repartition("fp").groupBy("fp").agg(F.sum("c").alias("f"))
+
+
+def pointed(rows: DataFrame, filters: dict[int, np.ndarray], chunk: int) -> DataFrame:
+    """(n, fp, c, row, at, end) of the chosen phrases of each chunk: count and first occurrence, bytes at to end of a row's
+    text. A row of n = 0 for each language of a chunk has the number of its words."""
     shared = rows.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             for texts, row, starts in chunks_of(batch, chunk):
-                good = {}
-                for m, bits in known.items():
-                    heads = texts.phrases(m)
-                    good[m] = np.zeros(len(texts.start) + LONGEST, bool)
-                    good[m][heads[passes(bits, texts.fingerprints(heads, m))]] = True
-                for n in sizes:
-                    at = texts.phrases(n)
-                    m = max((m for m in known if m <= n), default=0)
-                    for i in range(n - m + 1 if m else 0):
-                        at = at[good[m][at + i]]
+                for n in range(1, LONGEST + 1):
+                    at = chosen(texts, n, shared.value)
                     fp, first, c = texts.tally(at, n, texts.fingerprints(at, n))
-                    yield partial(n, fp, c, *(occurrence(texts, row, starts, first, n) if pointers else ()))
-                if pointers and len(texts.start):
+                    yield partial(n, fp, c, *occurrence(texts, row, starts, first, n))
+                if len(texts.start):
                     _, first, c = np.unique(texts.lang, return_index=True, return_counts=True)
                     nothing = np.zeros(len(c), np.int64)
                     yield partial(0, nothing, c, row[texts.text[first]], nothing, nothing)
-    return rows.mapInArrow(run, ", ".join(PARTIAL if pointers else PARTIAL[:3]))
+    return rows.mapInArrow(run, ", ".join(PARTIAL))
 
 
 def occurrence(texts: Chunk, row: np.ndarray, starts: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -238,14 +283,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, filte
     texts = stored(texts, "phrase-texts")  # fixes the row numbers
     rows = texts.select("row", F.xxhash64("lang").alias("lang"), "text")
 
-    def frequent(partials: DataFrame) -> DataFrame:
-        return partials.groupBy("n", "fp").agg(F.sum("c").alias("f")).filter(F.col("f") >= least).select("n", "fp")
-
     filters = {}
     for n in (1, 2):
-        filters[n] = filter_of(stored(frequent(counted(rows, (n,), filters, False, chunk)), "frequent-parts"), filter_bits)
-    each = stored(counted(rows, tuple(range(1, LONGEST + 1)), filters, True, chunk), "phrase-pointers")
-    every = each.join(stored(frequent(each), "frequent-fingerprints"), ["n", "fp"], "left_semi")
+        frequent = sums(rows, n, filters, chunk).filter(F.col("f") >= least).select("fp")
+        filters = {**filters, n: filter_of(stored(frequent, "frequent-parts"), filter_bits)}
+    each = stored(pointed(rows, filters, chunk), "phrase-pointers")
+    frequent = each.groupBy("n", "fp").agg(F.sum("c").alias("f")).filter(F.col("f") >= least).select("n", "fp")
+    every = each.join(stored(frequent, "frequent-fingerprints"), ["n", "fp"], "left_semi")
     # Places of one text: never more than its phrases.
     places = every.groupBy("row").agg(F.collect_list(F.struct("n", "c", "at", "end")).alias("p"))
     met = texts.join(places, "row").withColumn("_bytes", F.col("text").cast("binary"))
