@@ -1,11 +1,12 @@
 """Collocations: phrases of two to four words that occur together more than their parts do.
 
 Words of a chunk of texts are hashed, and prefix polynomials over these hashes, modulo 2^64, give the fingerprint of every
-phrase in arrays. A task counts equal fingerprints of a chunk, compares each occurrence with the first one word by word,
-and hands on one row: count and pointer to the first occurrence. A shuffle sums counts by fingerprint. Only where the sum
-is large are pointers followed and phrases written out; these texts are counted once more, which parts phrases that share
-a fingerprint. A phrase can be frequent only if its parts are: counts of words and of pairs go ahead without pointers, and
-what a filter of fixed size proves to have a rare part is not handed on.
+phrase in arrays. A task counts equal fingerprints of a chunk and compares each occurrence with the first one word by word;
+a phrase that shares a fingerprint with another is counted for itself. What a task hands on is a count, a pointer to the
+first occurrence and a second fingerprint of another base, which keeps apart what met in other chunks: over tasks, phrases
+are equal if all 128 bits are. A shuffle sums the counts, and only where the sum is large is the pointer followed and the
+phrase written out. A phrase can be frequent only if its parts are: counts of words and of pairs go ahead without pointers,
+and what a filter of fixed size proves to have a rare part is not handed on.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ LONGEST = 4
 CHUNK = 6 << 20
 FILTER_BITS = 1 << 26
 #: A task merges its sums of fingerprints at so many, and gives out rows by so many.
-MOST_SUMS, GIVEN = 3_000_000, 1 << 16
+MOST_SUMS, GIVEN = 1_500_000, 1 << 16
 #: Words beyond so many bytes are hashed and compared one by one.
 LONG_WORD = 64
-BASE = 0x9E3779B97F4A7C15
-PARTIAL = ["n int", "fp long", "c long", "row long", "at int", "end int"]
+#: Odd bases of the polynomials of the two fingerprints.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+KINDS = {"fp": np.uint64, "mark": np.uint64, "n": np.int32, "c": np.int64, "row": np.int64, "at": np.int32, "end": np.int32}
 
 
 def byte_classes() -> np.ndarray:
@@ -53,7 +55,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(4)
 def powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -82,22 +84,28 @@ class Chunk:
         self.lang = langs[self.text]
         # Eight bytes from every place on, read as one number.
         self.eight = np.ndarray((len(self.low) - 7,), "<u8", self.low.tobytes(), strides=(1,))
-        h = self.word_hashes()
-        n = len(h)
-        self.back = powers(1 << max(n, 1).bit_length(), pow(BASE, -1, 1 << 64))
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * powers(1 << max(n, 1).bit_length(), BASE)[:n], out=self.prefix[1:])
-
-    def word_hashes(self) -> np.ndarray:
-        h = self.lang.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + self.size.astype(np.uint64)
+        self.sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def polynomial(self, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of word hashes times powers of the base, and the powers that undo them."""
+        if base not in self.sums:
+            h = self.word_hashes(np.uint64(base))
+            room = 1 << max(len(h), 1).bit_length()
+            prefix = np.zeros(len(h) + 1, np.uint64)
+            np.cumsum(h * powers(room, base)[:len(h)], out=prefix[1:])
+            self.sums[base] = prefix, powers(room, pow(base, -1, 1 << 64))
+        return self.sums[base]
+
+    def word_hashes(self, base: np.uint64) -> np.ndarray:
+        h = self.lang.astype(np.uint64) * base + self.size.astype(np.uint64)
         left = np.flatnonzero(self.size <= LONG_WORD)
         step = 0
         while len(left):
-            h[left] = mix(h[left] + self.part(left, step))
+            h[left] = mix((h[left] + self.part(left, step)) * base)
             step += 8
             left = left[self.size[left] > step]
         for i in np.flatnonzero(self.size > LONG_WORD):
-            digest = hashlib.blake2b(self.bytes_of(i), digest_size=8).digest()
+            digest = hashlib.blake2b(self.bytes_of(i), digest_size=8, salt=int(base).to_bytes(8, "little")).digest()
             h[i] ^= np.uint64(int.from_bytes(digest, "little"))
         return mix(h)
 
@@ -131,8 +139,9 @@ class Chunk:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.piece[n - 1:] == self.piece[:len(self.piece) - n + 1])
 
-    def fingerprints(self, at: np.ndarray, n: int) -> np.ndarray:
-        return mix((self.prefix[at + n] - self.prefix[at]) * self.back[at] + np.uint64(n))
+    def fingerprints(self, at: np.ndarray, n: int, base: int = BASES[0]) -> np.ndarray:
+        prefix, back = self.polynomial(base)
+        return mix((prefix[at + n] - prefix[at]) * back[at] + np.uint64(n))
 
     def tally(self, at: np.ndarray, n: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fingerprint, first occurrence and count of each phrase; phrases of one fingerprint are told apart by text."""
@@ -147,9 +156,7 @@ class Chunk:
                 same &= self.same_words(at + i, leader + i)
             found.append((fp[head], at[head], np.add.reduceat(same.astype(np.int64), head)))
             at, fp = at[~same], fp[~same]
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*found))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (fp, at, at)
 
 
 def chunks_of(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
@@ -189,76 +196,83 @@ def chosen(texts: Chunk, n: int, filters: dict[int, np.ndarray]) -> np.ndarray:
 
 
 class Sums:
-    """Counts by fingerprint of many chunks; given out when there are many."""
-
-    def __init__(self):
-        self.parts, self.size = [], 0
-
-    def add(self, fp: np.ndarray, c: np.ndarray) -> None:
-        self.parts.append((fp, c))
-        self.size += len(fp)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        fp, c = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(fp)
-        fp, c = fp[order], c[order]
-        head = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
-        self.parts, self.size = [(fp[head], np.add.reduceat(c, head))], len(head)
-        return self.parts[0]
+    """Counts of many chunks by fingerprint, and mark if there is one, with the pointer of the first; given out when there
+    are many."""
+
+    def __init__(self, *columns: str):
+        self.columns, self.parts, self.size = columns, [], 0
+
+    def add(self, *values: np.ndarray) -> None:
+        self.parts.append([v.astype(KINDS[c], copy=False) for c, v in zip(self.columns, values)])
+        self.size += len(values[0])
+
+    def merge(self) -> None:
+        values = [np.concatenate(x) for x in zip(*self.parts)]
+        order = np.argsort(values[0], kind="stable")
+        new = np.zeros(len(order), bool)
+        for i, c in enumerate(self.columns):
+            values[i] = values[i][order]
+            if c in ("fp", "mark"):
+                new[1:] |= values[i][1:] != values[i][:-1]
+        new[:1] = True
+        head = np.flatnonzero(new)
+        counts = np.add.reduceat(values[self.columns.index("c")], head) if len(head) else values[0][:0].view(np.int64)
+        self.parts, self.size = [[counts if c == "c" else v[head] for c, v in zip(self.columns, values)]], len(head)
 
     def due(self, last: bool) -> Iterator[pa.RecordBatch]:
         if self.size > MOST_SUMS or (last and len(self.parts) > 1):
-            self.merged()
+            self.merge()
         if self.size > MOST_SUMS // 2 or (last and self.size):
-            fp, c = self.parts[0]
-            for i in range(0, len(fp), GIVEN):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[i:i + GIVEN].view(np.int64)), pa.array(c[i:i + GIVEN])], names=["fp", "c"])
+            for part in self.parts:
+                signed = [v.view(np.int64) if v.dtype == np.uint64 else v for v in part]
+                for i in range(0, len(part[0]), GIVEN):
+                    yield pa.RecordBatch.from_arrays([pa.array(v[i:i + GIVEN]) for v in signed], names=list(self.columns))
             self.parts, self.size = [], 0
 
 
+def schema_of(*columns: str) -> str:
+    return ", ".join(f"{c} {'int' if KINDS[c] == np.int32 else 'long'}" for c in columns)
+
+
 def sums(rows: DataFrame, n: int, filters: dict[int, np.ndarray], chunk: int) -> DataFrame:
-    """(fp, c): how often each task meets a fingerprint of n words. What shares one is not told apart."""
+    """(fp, f): how often there are phrases of n words with a fingerprint. What shares one is not told apart."""
     shared = rows.sparkSession.sparkContext.broadcast(filters)
+    columns = "fp", "c"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Sums()
+        found = Sums(*columns)
         for batch in batches:
             for texts, *_ in chunks_of(batch, chunk):
                 found.add(*np.unique(texts.fingerprints(chosen(texts, n, shared.value), n), return_counts=True))
                 yield from found.due(False)
         yield from found.due(True)
     # Tasks have summed already: one exchange, no sums before it.
-    return rows.mapInArrow(run, "fp long, c long").repartition("fp").groupBy("fp").agg(F.sum("c").alias("f"))
+    return rows.mapInArrow(run, schema_of(*columns)).repartition("fp").groupBy("fp").agg(F.sum("c").alias("f"))
 
 
 def pointed(rows: DataFrame, filters: dict[int, np.ndarray], chunk: int) -> DataFrame:
-    """(n, fp, c, row, at, end) of the chosen phrases of each chunk: count and first occurrence, bytes at to end of a row's
-    text. A row of n = 0 for each language of a chunk has the number of its words."""
+    """(n, f, row, at, end) of the chosen phrases: count and first occurrence, bytes at to end of a row's text. A row of
+    n = 0 for each language has the number of its words."""
     shared = rows.sparkSession.sparkContext.broadcast(filters)
+    columns = "fp", "mark", "n", "c", "row", "at", "end"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Sums(*columns)
         for batch in batches:
             for texts, row, starts in chunks_of(batch, chunk):
                 for n in range(1, LONGEST + 1):
                     at = chosen(texts, n, shared.value)
                     fp, first, c = texts.tally(at, n, texts.fingerprints(at, n))
-                    yield partial(n, fp, c, *occurrence(texts, row, starts, first, n))
-                if len(texts.start):
-                    _, first, c = np.unique(texts.lang, return_index=True, return_counts=True)
-                    nothing = np.zeros(len(c), np.int64)
-                    yield partial(0, nothing, c, row[texts.text[first]], nothing, nothing)
-    return rows.mapInArrow(run, ", ".join(PARTIAL))
-
-
-def occurrence(texts: Chunk, row: np.ndarray, starts: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    text, last = texts.text[first], first + n - 1
-    return row[text], texts.start[first] - starts[text], texts.start[last] + texts.size[last] - starts[text]
-
-
-def partial(n: int, fp: np.ndarray, c: np.ndarray, *pointer: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(fp), n, np.int32)), pa.array(fp.view(np.int64)), pa.array(c)]
-    columns += [pa.array(p.astype(t)) for p, t in zip(pointer, (np.int64, np.int32, np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PARTIAL[:len(columns)]])
+                    text, last = texts.text[first], first + n - 1
+                    found.add(fp, texts.fingerprints(first, n, BASES[1]), np.full(len(fp), n), c, row[text],
+                              texts.start[first] - starts[text], texts.start[last] + texts.size[last] - starts[text])
+                langs, first, c = np.unique(texts.lang, return_index=True, return_counts=True)
+                nothing = np.zeros(len(c), np.int64)
+                found.add(langs.view(np.uint64), langs.view(np.uint64), nothing, c, row[texts.text[first]], nothing, nothing)
+                yield from found.due(False)
+        yield from found.due(True)
+    each = rows.mapInArrow(run, schema_of(*columns)).repartition("fp").groupBy("fp", "mark", "n")
+    return each.agg(F.sum("c").alias("f"), F.min(F.struct("row", "at", "end")).alias("first")).select("n", "f", "first.*")
 
 
 def filter_of(frequent: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
@@ -287,15 +301,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, filte
     for n in (1, 2):
         frequent = sums(rows, n, filters, chunk).filter(F.col("f") >= least).select("fp")
         filters = {**filters, n: filter_of(stored(frequent, "frequent-parts"), filter_bits)}
-    each = stored(pointed(rows, filters, chunk), "phrase-pointers")
-    frequent = each.groupBy("n", "fp").agg(F.sum("c").alias("f")).filter(F.col("f") >= least).select("n", "fp")
-    every = each.join(stored(frequent, "frequent-fingerprints"), ["n", "fp"], "left_semi")
+    frequent = pointed(rows, filters, chunk).filter(F.col("f") >= least)
     # Places of one text: never more than its phrases.
-    places = every.groupBy("row").agg(F.collect_list(F.struct("n", "c", "at", "end")).alias("p"))
+    places = stored(frequent.groupBy("row").agg(F.collect_list(F.struct("n", "f", "at", "end")).alias("p")), "phrase-pointers")
     met = texts.join(places, "row").withColumn("_bytes", F.col("text").cast("binary"))
-    cut = F.expr("transform(p, x -> struct(x.n AS n, x.c AS c, cast(substring(_bytes, x.at + 1, x.end - x.at) AS string) AS raw))")
-    named = met.select("lang", F.inline(cut)).select("lang", "n", "c", plain(F.col("raw")).alias("phrase"))
-    return stored(named.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least), "phrases")
+    cut = F.expr("transform(p, x -> struct(x.n AS n, x.f AS f, cast(substring(_bytes, x.at + 1, x.end - x.at) AS string) AS raw))")
+    named = met.select("lang", F.inline(cut)).select("lang", "n", plain(F.col("raw")).alias("phrase"), "f")
+    return stored(named, "phrases")
 
 
 def plain(raw: Column) -> Column:
