@@ -3,10 +3,11 @@
 Words of a chunk of texts are hashed, and prefix polynomials over these hashes, modulo 2^64, give the fingerprint of every
 phrase in arrays. A task counts equal fingerprints of a chunk and compares each occurrence with the first one word by word;
 a phrase that shares a fingerprint with another is counted for itself. What a task hands on is a count, a pointer to the
-first occurrence and a second fingerprint of another base, which keeps apart what met in other chunks: over tasks, phrases
-are equal if all 128 bits are. A shuffle sums the counts, and only where the sum is large is the pointer followed and the
-phrase written out. A phrase can be frequent only if its parts are: counts of words and of pairs go ahead without pointers,
-and what a filter of fixed size proves to have a rare part is not handed on.
+part of the texts where the phrase occurs first, and a second fingerprint of another base, which keeps apart what met in
+other chunks: over tasks, phrases are equal if all 128 bits are. A shuffle sums the counts. Only where the sum is large is
+the pointer followed: the task that reads that part finds the phrase in its texts and writes it out. A phrase can be
+frequent only if its parts are, so words are counted first, then pairs, then longer phrases, and what a filter of fixed
+size proves to have a rare part is not handed on.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ LONGEST = 4
 CHUNK = 6 << 20
 FILTER_BITS = 1 << 26
 #: A task merges its sums of fingerprints at so many, and gives out rows by so many.
-MOST_SUMS, GIVEN = 1_500_000, 1 << 16
+MOST_SUMS, GIVEN = 2_000_000, 1 << 16
+#: Bits of a row number within a part, as Spark gives them.
+PART_BITS = 33
 #: Words beyond so many bytes are hashed and compared one by one.
 LONG_WORD = 64
 #: Odd bases of the polynomials of the two fingerprints.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-KINDS = {"fp": np.uint64, "mark": np.uint64, "n": np.int32, "c": np.int64, "row": np.int64, "at": np.int32, "end": np.int32}
+KINDS = {"fp": np.uint64, "mark": np.uint64, "n": np.int32, "c": np.int64, "part": np.int32}
 
 
 def byte_classes() -> np.ndarray:
@@ -159,18 +162,18 @@ class Chunk:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (fp, at, at)
 
 
-def chunks_of(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
-    """The texts of a batch, so many bytes at a time, with their row numbers and starts."""
+def chunks_of(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[Chunk, int, int]]:
+    """The texts of a batch, so many bytes of one part at a time, with the part and the place of the first."""
     texts = batch.column("text").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    rows, langs = batch.column("row").to_numpy(), batch.column("lang").to_numpy()
+    parts, langs = batch.column("row").to_numpy() >> PART_BITS, batch.column("code").to_numpy()
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = at + int(np.searchsorted(parts[at:to] != parts[at], True))
         raw = np.concatenate([data[offsets[at]:offsets[to]], np.zeros(8, np.uint8)])
-        starts = offsets[at:to + 1] - offsets[at]
-        yield Chunk(raw, starts, langs[at:to]), rows[at:to], starts
+        yield Chunk(raw, offsets[at:to + 1] - offsets[at], langs[at:to]), int(parts[at]), at
         at = to
 
 
@@ -196,11 +199,12 @@ def chosen(texts: Chunk, n: int, filters: dict[int, np.ndarray]) -> np.ndarray:
 
 
 class Sums:
-    """Counts of many chunks by fingerprint, and mark if there is one, with the pointer of the first; given out when there
-    are many."""
+    """Counts of many chunks by fingerprint and mark, with the pointer of the first; given out when there are many."""
 
-    def __init__(self, *columns: str):
-        self.columns, self.parts, self.size = columns, [], 0
+    columns = tuple(KINDS)
+
+    def __init__(self):
+        self.parts, self.size = [], 0
 
     def add(self, *values: np.ndarray) -> None:
         self.parts.append([v.astype(KINDS[c], copy=False) for c, v in zip(self.columns, values)])
@@ -230,49 +234,69 @@ class Sums:
             self.parts, self.size = [], 0
 
 
-def schema_of(*columns: str) -> str:
-    return ", ".join(f"{c} {'int' if KINDS[c] == np.int32 else 'long'}" for c in columns)
-
+def counted(rows: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray], least: int, chunk: int) -> DataFrame:
+    """(n, fp, mark, f, part) of the chosen phrases that occur `least` times or more; part: the first that has it.
 
-def sums(rows: DataFrame, n: int, filters: dict[int, np.ndarray], chunk: int) -> DataFrame:
-    """(fp, f): how often there are phrases of n words with a fingerprint. What shares one is not told apart."""
+    With words goes a row of n = 0 for each language, f being the number of all its words. Stored.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(filters)
-    columns = "fp", "c"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Sums(*columns)
+        found = Sums()
         for batch in batches:
-            for texts, *_ in chunks_of(batch, chunk):
-                found.add(*np.unique(texts.fingerprints(chosen(texts, n, shared.value), n), return_counts=True))
+            for texts, part, _ in chunks_of(batch, chunk):
+                def add(n, fp, mark, c):
+                    found.add(fp, mark, np.full(len(fp), n), c, np.full(len(fp), part))
+                for n in sizes:
+                    at = chosen(texts, n, shared.value)
+                    fp, first, c = texts.tally(at, n, texts.fingerprints(at, n))
+                    add(n, fp, texts.fingerprints(first, n, BASES[1]), c)
+                if 1 in sizes:
+                    langs, c = np.unique(texts.lang, return_counts=True)
+                    add(0, langs.view(np.uint64), langs.view(np.uint64), c)
                 yield from found.due(False)
         yield from found.due(True)
     # Tasks have summed already: one exchange, no sums before it.
-    return rows.mapInArrow(run, schema_of(*columns)).repartition("fp").groupBy("fp").agg(F.sum("c").alias("f"))
+    schema = ", ".join(f"{c} {'int' if kind == np.int32 else 'long'}" for c, kind in KINDS.items())
+    each = rows.mapInArrow(run, schema).repartition("fp").groupBy("fp", "mark", "n")
+    sums = each.agg(F.sum("c").alias("f"), F.min("part").alias("part")).filter(F.col("f") >= least)
+    return stored(sums.select("n", "fp", "mark", "f", "part"), "frequent-fingerprints")
 
 
-def pointed(rows: DataFrame, filters: dict[int, np.ndarray], chunk: int) -> DataFrame:
-    """(n, f, row, at, end) of the chosen phrases: count and first occurrence, bytes at to end of a row's text. A row of
-    n = 0 for each language has the number of its words."""
-    shared = rows.sparkSession.sparkContext.broadcast(filters)
-    columns = "fp", "mark", "n", "c", "row", "at", "end"
+def written_out(rows: DataFrame, frequent: DataFrame, chunk: int, filter_bits: int) -> DataFrame:
+    """(n, fp, mark, lang, phrase) of frequent phrases, by the tasks that their pointers lead to, and of few others."""
+    owned = F.col("fp").bitwiseXOR(F.col("part").cast("long").bitwiseOR(F.shiftleft(F.col("part").cast("long"), 32)))
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(frequent.select(owned.alias("fp")), filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Sums(*columns)
+        done = set()
         for batch in batches:
-            for texts, row, starts in chunks_of(batch, chunk):
+            names = batch.column("lang")
+            for texts, part, place in chunks_of(batch, chunk):
+                own = np.uint64(part | part << 32)
+                _, first = np.unique(texts.lang, return_index=True)
+                found = [(0, texts.lang[first].view(np.uint64), texts.lang[first].view(np.uint64), first)]
                 for n in range(1, LONGEST + 1):
-                    at = chosen(texts, n, shared.value)
-                    fp, first, c = texts.tally(at, n, texts.fingerprints(at, n))
-                    text, last = texts.text[first], first + n - 1
-                    found.add(fp, texts.fingerprints(first, n, BASES[1]), np.full(len(fp), n), c, row[text],
-                              texts.start[first] - starts[text], texts.start[last] + texts.size[last] - starts[text])
-                langs, first, c = np.unique(texts.lang, return_index=True, return_counts=True)
-                nothing = np.zeros(len(c), np.int64)
-                found.add(langs.view(np.uint64), langs.view(np.uint64), nothing, c, row[texts.text[first]], nothing, nothing)
-                yield from found.due(False)
-        yield from found.due(True)
-    each = rows.mapInArrow(run, schema_of(*columns)).repartition("fp").groupBy("fp", "mark", "n")
-    return each.agg(F.sum("c").alias("f"), F.min(F.struct("row", "at", "end")).alias("first")).select("n", "f", "first.*")
+                    at = texts.phrases(n)
+                    fp = texts.fingerprints(at, n)
+                    good = passes(shared.value, fp ^ own)
+                    fp, first, _ = texts.tally(at[good], n, fp[good])
+                    found.append((n, fp, texts.fingerprints(first, n, BASES[1]), first))
+                out = []
+                for n, fp, mark, first in found:
+                    if n == 0:
+                        good = passes(shared.value, fp ^ own)
+                        fp, mark, first = fp[good], mark[good], first[good]
+                    for f, m, i in zip(fp.view(np.int64).tolist(), mark.view(np.int64).tolist(), first.tolist()):
+                        if (f, m) not in done:
+                            done.add((f, m))
+                            phrase = b" ".join(map(texts.bytes_of, range(i, i + n))).decode("utf-8")
+                            out.append((n, f, m, names[place + int(texts.text[i])].as_py(), phrase))
+                if out:
+                    kinds = pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                                                     names=["n", "fp", "mark", "lang", "phrase"])
+    return rows.mapInArrow(run, "n int, fp long, mark long, lang string, phrase string")
 
 
 def filter_of(frequent: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
@@ -294,25 +318,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, filte
     """
     text, lang = F.col("text"), F.coalesce("lang", F.lit(UNKNOWN))
     texts = docs.filter("text != ''").select(F.monotonically_increasing_id().alias("row"), lang.alias("lang"), text.alias("text"))
-    texts = stored(texts, "phrase-texts")  # fixes the row numbers
-    rows = texts.select("row", F.xxhash64("lang").alias("lang"), "text")
-
-    filters = {}
-    for n in (1, 2):
-        frequent = sums(rows, n, filters, chunk).filter(F.col("f") >= least).select("fp")
-        filters = {**filters, n: filter_of(stored(frequent, "frequent-parts"), filter_bits)}
-    frequent = pointed(rows, filters, chunk).filter(F.col("f") >= least)
-    # Places of one text: never more than its phrases.
-    places = stored(frequent.groupBy("row").agg(F.collect_list(F.struct("n", "f", "at", "end")).alias("p")), "phrase-pointers")
-    met = texts.join(places, "row").withColumn("_bytes", F.col("text").cast("binary"))
-    cut = F.expr("transform(p, x -> struct(x.n AS n, x.f AS f, cast(substring(_bytes, x.at + 1, x.end - x.at) AS string) AS raw))")
-    named = met.select("lang", F.inline(cut)).select("lang", "n", plain(F.col("raw")).alias("phrase"), "f")
-    return stored(named, "phrases")
-
-
-def plain(raw: Column) -> Column:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", "abcdefghijklmnopqrstuvwxyz "
-    return F.regexp_replace(F.translate(raw, upper, lower), " +", " ")
+    rows = stored(texts, "phrase-texts").withColumn("code", F.xxhash64("lang"))  # fixes the row numbers
+    filters, levels = {}, []
+    for sizes in ((1,), (2,), (3, 4)):
+        levels.append(counted(rows, sizes, filters, least, chunk))
+        if sizes[0] < 3:
+            filters = {**filters, sizes[0]: filter_of(levels[-1].filter(F.col("n") == sizes[0]), filter_bits)}
+    frequent = functools.reduce(DataFrame.unionByName, levels)
+    named = written_out(rows, frequent, chunk, filter_bits).dropDuplicates(["n", "fp", "mark"])
+    return stored(named.join(frequent, ["n", "fp", "mark"]).select("lang", "n", "phrase", "f"), "phrases")
 
 
 def run_of(words: Column, first, size) -> Column:
