@@ -29,7 +29,7 @@ UNKNOWN = "und"
 LONGEST = 4
 #: Bytes of text that a task counts at once (a longer text is taken whole), and bits of the filter of frequent parts.
 CHUNK = 6 << 20
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 #: A task merges its sums of fingerprints at so many, and gives out rows by so many.
 MOST_SUMS, GIVEN = 2_000_000, 1 << 16
 #: Bits of a row number within a part, as Spark gives them.
