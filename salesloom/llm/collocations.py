@@ -31,7 +31,7 @@ LONGEST = 4
 CHUNK = 6 << 20
 FILTER_BITS = 1 << 24
 #: A task merges its sums of fingerprints at so many, and gives out rows by so many.
-MOST_SUMS, GIVEN = 2_000_000, 1 << 16
+MOST_SUMS, GIVEN = 2_200_000, 1 << 16
 #: Bits of a row number within a part, as Spark gives them.
 PART_BITS = 33
 #: Words beyond so many bytes are hashed and compared one by one.
@@ -226,7 +226,7 @@ class Sums:
     def due(self, last: bool) -> Iterator[pa.RecordBatch]:
         if self.size > MOST_SUMS or (last and len(self.parts) > 1):
             self.merge()
-        if self.size > MOST_SUMS // 2 or (last and self.size):
+        if self.size > MOST_SUMS * 7 // 8 or (last and self.size):
             for part in self.parts:
                 signed = [v.view(np.int64) if v.dtype == np.uint64 else v for v in part]
                 for i in range(0, len(part[0]), GIVEN):
