@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from salesloom import contracts as C
 from salesloom.functions.scalars import contains_any, strip
+from salesloom.operators.cells import cells_of, may_hold
 from salesloom.operators.numbering import number_within
 from salesloom.session import stored
 
@@ -118,70 +121,118 @@ def pieces(text: Column) -> Column:
     return F.split(text, WORD_EDGE)
 
 
+def rank_of(kind: Column) -> Column:
+    """Place of an entity type in the order in which types claim a name."""
+    ranks = F.array(*[F.lit(row[0]) for row in C.TOKEN_FORMATS.values()])
+    return F.get(ranks, F.array_position(F.array(*[F.lit(k) for k in C.TOKEN_FORMATS]), kind).cast("int") - 1)
+
+
 def search_keys(catalog: DataFrame, min_length: int) -> DataFrame:
-    """Names as lower-case word runs. Punctuation at a name's ends is kept aside and checked later."""
+    """One row for each lower-case word run that names are made of, with all names of that form.
+
+    Punctuation at a name's ends is kept aside and compared at each hit. Names without a word character are not here.
+    """
     named = catalog.filter(F.length("entity") >= min_length).select(
-        "entity", "token", "entity_type",
-        F.regexp_extract("entity", r"(?U)^(\W*)", 1).alias("lead"),
-        F.regexp_extract("entity", r"(?U)(\W*)$", 1).alias("trail"))
+        "entity", "token", rank_of(F.col("entity_type")).alias("rank"),
+        F.regexp_extract("entity", r"(?U)^(\W*)", 1).alias("lead"), F.regexp_extract("entity", r"(?U)(\W*)$", 1).alias("trail"))
     core = F.expr("substring(entity, length(lead) + 1, length(entity) - length(lead) - length(trail))")
     keyed = named.withColumn("gram", F.lower(core)).filter("gram != ''")
-    rank = F.get(F.array(*[F.lit(row[0]) for row in C.TOKEN_FORMATS.values()]),
-                 F.array_position(F.array(*[F.lit(k) for k in C.TOKEN_FORMATS]), "entity_type").cast("int") - 1)
-    best = keyed.groupBy("gram", F.lower("lead").alias("lead"), F.lower("trail").alias("trail")).agg(
-        F.min_by(F.struct("entity", "token"), F.struct(rank, "entity")).alias("best"))
-    return best.select("gram", "lead", "trail", "best.entity", "best.token",
-                       ((F.size(pieces(F.col("gram"))) + 1) / 2).cast("int").alias("words"))
+    name = F.struct("entity", "token", "rank", F.lower("lead").alias("lead"), F.lower("trail").alias("trail"))
+    grams = keyed.groupBy("gram").agg(F.collect_list(name).alias("names"))  # spellings of one form
+    return grams.withColumn("words", ((F.size(pieces(F.col("gram"))) + 1) / 2).cast("int"))
+
+
+def candidates(texts: DataFrame, keys: DataFrame, text: str, id: str) -> DataFrame:
+    """(id, key, at, size, gram, raw, before, after) of the word runs that may be names: their first word and their length
+    go together in some name. Nothing else is exploded. at and size count pieces; key: hash of the text."""
+    first = F.get(pieces(F.col("gram")), 0)
+    cells = cells_of(keys, first, F.col("words"))
+    lengths = sorted(r["words"] for r in keys.select("words").distinct().collect())
+    cut = texts.select(F.col(id), F.xxhash64(text).alias("key"), pieces(F.col(text)).alias("_p"))
+    p, start = F.col("_p"), F.when(F.get("_p", 0).rlike(STARTS_WITH_WORD), 0).otherwise(1)
+
+    def runs(k: int) -> Column:
+        last = F.size(p) - (2 * k - 1)
+        starts = F.when(last >= start, F.sequence(start, last, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        likely = F.filter(starts, lambda at: may_hold(cells, F.lower(F.get(p, at)), F.lit(k)))
+        return F.transform(likely, lambda at: F.struct(
+            at.alias("at"), F.lit(2 * k - 1).alias("size"), F.array_join(F.slice(p, at + 1, F.lit(2 * k - 1)), "").alias("raw"),
+            F.coalesce(F.get(p, at - 1), F.lit("")).alias("before"), F.coalesce(F.get(p, at + 2 * k - 1), F.lit("")).alias("after")))
+
+    if not lengths:
+        lengths, cut = [1], cut.filter("false")
+    found = cut.select(id, "key", F.inline(F.concat(*[runs(k) for k in lengths])))
+    return found.withColumn("gram", F.lower("raw"))
 
 
 def find_names(texts: DataFrame, keys: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Whole-word hits of names in texts, any case: (id, at, size, entity, token, lead, trail).
+    """Whole-word hits of names in texts, any case: (id, key, at, size, entity, token, lead, trail).
 
-    Word runs of every length a name has are looked up by equality. Spark broadcasts
-    the keys while they are below its size limit and shuffles both sides beyond it.
+    Of the names of one lower-case form the longest wins at a hit, then the one spelled as the text spells it, then the
+    first by type and name. Rows repeated with one id and text give their hits once.
     """
-    longest = keys.agg(F.max("words")).first()[0] or 1
-    low = texts.select(id, F.lower(F.col(text)).alias("_low"))
-    # Every run of k words, overlapping, in word order. Words are every second piece of the text.
-    runs = lambda k: F.regexp_extract_all("_low", F.lit(rf"(?U)(?<!\w)(?=(\w+(?:\W+\w+){{{k - 1}}}))"), F.lit(1))
-    by_length = F.array(*[F.struct(F.lit(2 * k - 1).alias("size"), runs(k).alias("_runs"))
-                          for k in range(1, longest + 1)])
-    first = F.when(F.col("_low").rlike(STARTS_WITH_WORD), 0).otherwise(1)
-    cut = low.select(id, first.alias("_first"), F.inline(by_length))
-    grams = cut.select(id, "_first", "size", F.posexplode("_runs").alias("_word", "gram")).select(
-        id, (F.col("_first") + 2 * F.col("_word")).alias("at"), "size", "gram")
-    return grams.join(keys.drop("words"), "gram").drop("gram")
-
-
-def _choose_longest(hits: Column) -> Column:
-    """Hits that stay when longer names win over shorter ones they overlap, in text order."""
-    end = lambda h: h["at"] + h["size"]
-    ordered = F.array_sort(hits)
-    clash = F.exists(F.sequence(F.lit(1), F.size(ordered)), lambda k: F.coalesce(
-        F.get(ordered, k)["at"] < end(F.get(ordered, k - 1)), F.lit(False)))
-    by_length = F.transform(F.array_sort(F.transform(hits, lambda h: F.struct(
-        (-F.length(h["entity"])).alias("rank"), h.alias("h")))), lambda r: r["h"])
-    greedy = F.reduce(
-        F.slice(by_length, 2, F.size(by_length)), F.slice(by_length, 1, 1),
-        lambda kept, h: F.when(F.exists(kept, lambda k: (k["at"] < end(h)) & (h["at"] < end(k))), kept)
-        .otherwise(F.concat(kept, F.array(h))))
-    return F.when(clash, F.array_sort(greedy)).otherwise(ordered)
+    met = candidates(texts, keys, text, id).join(keys.drop("words"), "gram")
+    low = lambda c: F.lower(F.col(c))
+    fits = F.filter("names", lambda n: low("before").endswith(n["lead"]) & low("after").startswith(n["trail"]))
+    spelled = lambda n: F.concat(F.right(F.col("before"), F.length(n["lead"])), F.col("raw"),
+                                 F.left(F.col("after"), F.length(n["trail"])))
+    order = F.transform(fits, lambda n: F.struct((-F.length(n["entity"])).alias("o"), (spelled(n) != n["entity"]).alias("other"),
+                                                 n["rank"].alias("rank"), n["entity"].alias("entity"), n.alias("n")))
+    best = met.withColumn("_best", F.array_min(order)["n"]).filter("_best IS NOT NULL")
+    hits = best.select(id, "key", "at", "size", "_best.entity", "_best.token", "_best.lead", "_best.trail")
+    return hits.dropDuplicates([id, "key", "at", "size"])
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def longest_first(clusters: pd.Series) -> pd.Series:
+    """Of overlapping runs (at, end, length) the places of those that stay: the longest first, then the leftmost."""
+    def kept(runs):
+        if runs is None:
+            return None
+        taken, out = set(), []
+        for i in sorted(range(len(runs)), key=lambda i: (-runs[i]["length"], runs[i]["at"])):
+            span = range(runs[i]["at"], runs[i]["end"])
+            if taken.isdisjoint(span):
+                taken.update(span)
+                out.append(i)
+        return sorted(out)
+    return clusters.map(kept)
+
+
+def chosen_names(hits: DataFrame, id: str) -> DataFrame:
+    """(id, key, hits) with the hits that stay when longer names win over shorter ones they overlap, in text order.
+
+    A sweep along each text cuts its hits into clusters that overlap; a cluster of one stays as it is.
+    """
+    along = W.partitionBy(id, "key").orderBy("at", "size")
+    ended = F.max(F.col("at") + F.col("size")).over(along.rowsBetween(W.unboundedPreceding, -1))
+    swept = hits.withColumn("_new", F.coalesce(F.col("at") >= ended, F.lit(True)))
+    swept = swept.withColumn("_cluster", F.count_if("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    hit = F.struct("at", "size", "entity", "token", "lead", "trail")
+    clusters = swept.groupBy(id, "key", "_cluster").agg(F.collect_list(hit).alias("_hits"))
+    many = F.when(F.size("_hits") > 1, F.transform("_hits", lambda h: F.struct(
+        h["at"].alias("at"), (h["at"] + h["size"]).alias("end"), F.length(h["entity"]).alias("length"))))
+    stay = clusters.withColumn("_stay", longest_first(many))
+    stay = stay.withColumn("_hits", F.when(F.col("_stay").isNull(), F.col("_hits")).otherwise(
+        F.transform("_stay", lambda i: F.get("_hits", i))))
+    return stay.groupBy(id, "key").agg(F.array_sort(F.flatten(F.collect_list("_hits"))).alias("_kept"))
 
 
 def tokenize_text(texts: DataFrame, catalog: DataFrame, text: str = "text", id: str = "doc_id",
                   min_length: int = C.MIN_MASKED_LENGTH) -> DataFrame:
-    """Replace every catalogued name by its token in one pass, the longest name first."""
-    hits = find_names(texts, search_keys(catalog, min_length), text, id)
-    grouped = hits.groupBy(id).agg(F.collect_list(F.struct("at", "size", "entity", "token", "lead", "trail"))
-                                   .alias("_hits"))
-    df = texts.join(grouped, id, "left").withColumn("_p", pieces(F.col(text)))
-    before = lambda h: F.coalesce(F.get(F.col("_p"), h["at"] - 1), F.lit(""))
-    after = lambda h: F.coalesce(F.get(F.col("_p"), h["at"] + h["size"]), F.lit(""))
-    real = F.filter(F.coalesce("_hits", F.expr("array()").cast(grouped.schema["_hits"].dataType)),
-                    lambda h: F.lower(before(h)).endswith(h["lead"]) & F.lower(after(h)).startswith(h["trail"]))
-    df = df.withColumn("_real", real).withColumn("_kept", F.when(F.size("_real") > 0, _choose_longest(F.col("_real")))
-                                                 .otherwise(F.col("_real")))
+    """Replace every catalogued name by its token, the longest name first; names without a word character come last.
+
+    A null text stays null. Rows may share an id; equal texts of one id are masked alike.
+    """
+    masked = _with_word_names(texts, search_keys(catalog, min_length), text, id)
+    marks = catalog.filter((F.length("entity") >= min_length) & ~F.col("entity").rlike(r"(?U)\w"))
+    return masked if marks.isEmpty() else _with_mark_names(masked, marks, text, id)
 
+
+def _with_word_names(texts: DataFrame, keys: DataFrame, text: str, id: str) -> DataFrame:
+    kept = chosen_names(find_names(texts, keys, text, id), id).withColumnsRenamed({id: "_id", "key": "_key"})
+    df = texts.join(kept, F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    df = df.withColumn("_p", F.when(F.col("_kept").isNotNull(), pieces(F.col(text))))
     kept = F.col("_kept")
 
     def gap(previous_end, previous_trail, next_start, next_lead):
@@ -196,17 +247,47 @@ def tokenize_text(texts: DataFrame, catalog: DataFrame, text: str = "text", id:
             gap(prior(i)["at"] + prior(i)["size"], prior(i)["trail"], h["at"], h["lead"])), h["token"]))
     last = F.try_element_at(kept, F.lit(-1))
     tail = gap(last["at"] + last["size"], last["trail"], F.size("_p"), nothing)
-    masked = F.when(F.size(kept) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col(text))
-    return df.withColumn(text, masked).drop("_hits", "_p", "_real", "_kept")
+    masked = F.when(kept.isNotNull(), F.concat(F.array_join(parts, ""), tail)).otherwise(F.col(text))
+    return df.withColumn(text, masked).drop("_id", "_key", "_kept", "_p")
+
+
+def _with_mark_names(texts: DataFrame, names: DataFrame, text: str, id: str) -> DataFrame:
+    """Names made of punctuation alone. Such a name lies within one run of other than word characters."""
+    lengths = sorted(r["n"] for r in names.select(F.length("entity").alias("n")).distinct().collect())
+    cells = cells_of(names, F.col("entity"))
+    cut = texts.select(F.col(id), F.xxhash64(text).alias("key"), F.posexplode(pieces(F.col(text))).alias("piece", "run"))
+    cut = cut.filter(~F.col("run").rlike(STARTS_WITH_WORD))
+
+    def spots(n: int) -> Column:
+        last = F.length("run") - n + 1
+        at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        here = lambda i: F.substring(F.col("run"), i, F.lit(n))
+        return F.transform(F.filter(at, lambda i: may_hold(cells, here(i))), lambda i: F.struct(
+            i.alias("at"), F.lit(n).alias("size"), here(i).alias("entity")))
+
+    found = cut.select(id, "key", "piece", "run", F.inline(F.concat(*[spots(n) for n in lengths])))
+    met = found.join(names.select("entity", "token"), "entity").dropDuplicates([id, "key", "piece", "at", "size"])
+    runs = met.groupBy(id, "key", "piece", "run").agg(F.array_sort(F.collect_list(F.struct("at", "size", "token"))).alias("_h"))
+    spans = F.transform("_h", lambda h: F.struct(h["at"].alias("at"), (h["at"] + h["size"]).alias("end"), h["size"].alias("length")))
+    runs = runs.withColumn("_h", F.transform(longest_first(spans), lambda i: F.get("_h", i)))
+    h = F.col("_h")
+    end = lambda i: F.when(i == 0, 1).otherwise(F.get(h, i - 1)["at"] + F.get(h, i - 1)["size"])
+    parts = F.transform(h, lambda x, i: F.concat(F.substring(F.col("run"), end(i), x["at"] - end(i)), x["token"]))
+    rest = F.substring(F.col("run"), end(F.size(h)), F.length("run"))
+    new = runs.select(id, "key", F.struct("piece", F.concat(F.array_join(parts, ""), rest).alias("run")).alias("_new"))
+    new = new.groupBy(id, "key").agg(F.map_from_entries(F.collect_list("_new")).alias("_new")).withColumnsRenamed({id: "_id", "key": "_key"})
+    df = texts.join(new, F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    whole = F.array_join(F.transform(pieces(F.col(text)), lambda p, i: F.coalesce(F.try_element_at("_new", i), p)), "")
+    return df.withColumn(text, F.when(F.col("_new").isNull(), F.col(text)).otherwise(whole)).drop("_id", "_key", "_new")
 
 
 def rehydrate_text(texts: DataFrame, catalog: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Put the names back for every token in the texts; tokens nobody knows stay."""
     found = F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
-    tokens = texts.select(id, F.explode(F.array_distinct(found)).alias("token"))
-    known = tokens.join(catalog.select("token", "entity"), "token").groupBy(id).agg(
+    tokens = texts.select(F.col(id).alias("_id"), F.explode(F.array_distinct(found)).alias("token")).distinct()
+    known = tokens.join(catalog.select("token", "entity"), "token").groupBy("_id").agg(
         F.map_from_entries(F.collect_list(F.struct("token", "entity"))).alias("_names"))
-    df = texts.join(known, id, "left")
+    df = texts.join(known, F.col(id).eqNullSafe(F.col("_id")), "left").drop("_id")
     gaps = F.split(F.col(text), TOKEN_PATTERN)
     rebuilt = F.array_join(F.transform(found, lambda t, i: F.concat(
         F.get(gaps, i), F.coalesce(F.try_element_at(F.col("_names"), t), t))), "")
@@ -214,9 +295,38 @@ def rehydrate_text(texts: DataFrame, catalog: DataFrame, text: str = "text", id:
     return df.withColumn(text, F.when(F.col("_names").isNull(), F.col(text)).otherwise(whole)).drop("_names")
 
 
+# ---------------------------------------------------------------- leaks
+
+def quads(text: Column) -> Column:
+    """All runs of four characters, overlapping, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{C.MIN_LEAK_LENGTH}}}))"), F.lit(1))
+
+
 def leaks(texts: DataFrame, catalog: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Catalogued names of four characters or more that still stand in a text: (id, entity)."""
-    return find_names(texts, search_keys(catalog, C.MIN_LEAK_LENGTH), text, id).select(id, "entity").distinct()
+    """Catalogued names of four characters or more that stand in a text, any case, inside longer words too: (id, entity).
+
+    Each name is looked for by the one of its four-character runs that the fewest texts have; a name with a run that no
+    text has is nowhere. Texts with that run are searched for the name itself. All spellings of a form are reported.
+    """
+    forms = catalog.filter(F.length("entity") >= C.MIN_LEAK_LENGTH).groupBy(F.lower("entity").alias("form")).agg(
+        F.collect_set("entity").alias("entities"))
+    grams = stored(forms.select("form", F.explode(F.array_distinct(quads(F.col("form")))).alias("gram")), "name-grams")
+    low = texts.filter(F.col(text).isNotNull()).select(F.col(id), F.xxhash64(text).alias("key"), F.lower(text).alias("low"))
+
+    def with_grams(wanted: DataFrame) -> DataFrame:
+        cells = cells_of(wanted, F.col("gram"))
+        likely = F.filter(quads(F.col("low")), lambda g: may_hold(cells, g))
+        return low.select(id, "key", F.explode(F.array_distinct(likely)).alias("gram"))
+
+    held = with_grams(grams).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = grams.join(held, "gram", "left").groupBy("form").agg(
+        F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("r"))
+    chosen = stored(rarest.filter("r.texts > 0").select("form", "r.gram"), "rarest-grams")
+    pairs = with_grams(chosen).join(chosen, "gram").groupBy(id, "key").agg(F.collect_set("form").alias("_forms"))
+    pairs = pairs.withColumnsRenamed({id: "_id", "key": "_key"})
+    met = low.join(pairs, F.col(id).eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    found = met.select(id, F.explode(F.filter("_forms", lambda f: F.contains(F.col("low"), f))).alias("form"))
+    return found.join(forms, "form").select(id, F.explode("entities").alias("entity")).distinct()
 
 
 def session_catalog(catalog: DataFrame, minted: DataFrame) -> DataFrame:

@@ -30,18 +30,17 @@ class SlidingWindow:
     def idle(self) -> int:
         return self.window
 
-    def start(self) -> list[float]:
-        return []
+    def start(self, numbers: list[float] = ()) -> deque:
+        return deque(int(x) for x in numbers)
 
-    def step(self, state: list[float], now: int):
-        kept = deque(state)
+    def step(self, kept: deque, now: int):
         while kept and now - kept[0] >= self.window * MICROS:
             kept.popleft()
         if len(kept) >= self.limit:
             retry = max(1, int(self.window - (now - kept[0]) / MICROS))
-            return list(kept), (False, 0.0, retry)
+            return kept, (False, 0.0, retry)
         kept.append(now)
-        return list(kept), (True, float(self.limit - len(kept)), 0)
+        return kept, (True, float(self.limit - len(kept)), 0)
 
 
 @dataclass(frozen=True)
@@ -54,8 +53,8 @@ class TokenBucket:
     def idle(self) -> int:
         return int(self.capacity / self.rate) + 1
 
-    def start(self) -> list[float]:
-        return []
+    def start(self, numbers: list[float] = ()) -> list[float]:
+        return list(numbers)
 
     def step(self, state: list[float], now: int):
         tokens, last = state if state else (self.capacity, now)
@@ -75,8 +74,8 @@ class CallBudget:
     def idle(self) -> int:
         return self.window
 
-    def start(self) -> list[float]:
-        return []
+    def start(self, numbers: list[float] = ()) -> list[float]:
+        return list(numbers)
 
     def step(self, state: list[float], now: int):
         calls, resets = state if state else (0, None)
@@ -140,55 +139,95 @@ def admit(events: DataFrame, rule, key: str = "user_id", ts: str = "ts", id: str
 # ---------------------------------------------------------------- streaming
 
 class AdmissionProcessor(StatefulProcessor):
-    """One rule per key on a stream. Events wait until the watermark has passed them and are then taken in time
-    order; events older than the watermark are counted and marked late."""
+    """One rule per key on a stream. Events wait until the watermark has passed them and are then taken in time order;
+    events older than the watermark are counted and marked late.
+
+    A key has one timer at most: for the first event that waits, or else for the moment from which an idle rule is as good
+    as new, when all that is known of the key is forgotten. Whatever is due when it goes off is taken at once, so a batch
+    of many events of one key costs one sort of them.
+    """
 
     def __init__(self, rule, key: str, id: str):
         self.rule, self.key, self.id = rule, key, id
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "numbers array<double>")
+        self.state = handle.getValueState("state", "numbers array<double>, last long")
         self.waiting = handle.getListState("waiting", "us long, id long")
+        self.timer = handle.getValueState("timer", "ms long")
         self.late = handle.getValueState("late", "n long")
 
-    def _rows(self, key, rows):
-        return pd.DataFrame([(key[0], *r) for r in rows],
-                            columns=[self.key, self.id, "admitted", "remaining", "retry_after", "late"])
+    def _rows(self, key, columns):
+        who = pd.Series([key[0]] * len(columns[0]))
+        return pd.DataFrame(dict(zip([self.key, self.id, "admitted", "remaining", "retry_after", "late"], [who, *columns])))
+
+    def _wake_at(self, ms: int | None) -> None:
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if now == ms:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+        if ms is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        late, waits = [], []
+        first = None
         for batch in rows:
-            for us, event in zip(batch["micros"], batch[self.id]):
-                (late if us // 1000 < mark else waits).append((int(us), int(event)))
-        if waits:
-            self.waiting.appendList(waits)
-            for ms in {us // 1000 for us, _ in waits}:
-                self.handle.registerTimer(ms + 1)
-        if late:
-            before = self.late.get()[0] if self.late.exists() else 0
-            self.late.update((before + len(late),))
-            yield self._rows(key, [(event, False, 0.0, 0, True) for _, event in late])
+            us, ids = batch["micros"].to_numpy("int64"), batch[self.id].to_numpy("int64")
+            old = us // 1000 < mark
+            if old.any():
+                n = int(old.sum())
+                self.late.update(((self.late.get()[0] if self.late.exists() else 0) + n,))
+                yield self._rows(key, [ids[old], [False] * n, [0.0] * n, [0] * n, [True] * n])
+            if not old.all():
+                self.waiting.appendList(list(zip(us[~old].tolist(), ids[~old].tolist())))
+                least = int(us[~old].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            now = self.timer.get()[0] if self.timer.exists() else None
+            idle = not self._still_waiting(now)
+            self._wake_at(first // 1000 + 1 if now is None or idle else min(now, first // 1000 + 1))
+
+    def _still_waiting(self, now: int | None) -> bool:
+        """Is the timer one for a waiting event rather than for the end of an idle time?"""
+        if now is None:
+            return False
+        last = self.state.get()[1] if self.state.exists() else None
+        return last is None or now != self._idle_from(last)
+
+    def _idle_from(self, last: int) -> int:
+        return last // 1000 + self.rule.idle * 1000 + 2
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs()
-        every = sorted(self.waiting.get())
-        due = [w for w in every if w[0] // 1000 < upto]
+        self.timer.clear()
+        upto = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        every = list(self.waiting.get())
+        due = sorted(w for w in every if w[0] // 1000 < upto)
         if not due:
+            if every:
+                self._wake_at(min(w[0] for w in every) // 1000 + 1)
+            else:
+                self.state.clear()
             return
-        state = list(self.state.get()[0]) if self.state.exists() else self.rule.start()
+        state = self.rule.start(self.state.get()[0] if self.state.exists() else ())
         out = []
         for us, event in due:
             state, result = self.rule.step(state, us)
             out.append((event, *result, False))
-        self.state.update(([float(x) for x in state],))
-        left = every[len(due):]
+        last = due[-1][0]
+        self.state.update(([float(x) for x in state], last))
+        left = [w for w in every if w[0] // 1000 >= upto]
         if left:
             self.waiting.put(left)
+            self._wake_at(min(w[0] for w in left) // 1000 + 1)
         else:
             self.waiting.clear()
-        yield self._rows(key, out)
+            self._wake_at(self._idle_from(last))
+        yield self._rows(key, list(zip(*out)))
 
     def close(self) -> None:
         pass

@@ -18,6 +18,25 @@ def read_table_stream(spark: SparkSession, path: str, schema, glob: str = "*.par
             .parquet(path))
 
 
+def replayed(events: DataFrame, folder: str, closing: dict[str, int], ts: str = "ts", slices: int = 4, files: int = 100) -> DataFrame:
+    """A table as a stream in time order: slices of equal length, one after the other, and at last a row far in the future
+    that moves the watermark past all others. closing: values of that row; its other columns are null.
+
+    A fixed number of writes, each by many tasks; a batch takes many files.
+    """
+    at = F.col(ts).cast("timestamp")
+    low, high = events.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    low, high = low or 0, high or 0
+    place = F.floor((F.unix_micros(at) - low) * slices / (high - low + 1))
+    for i in range(slices):
+        events.filter(place == i).write.mode("append").parquet(folder)
+    spark = events.sparkSession
+    values = {ts: "2200-01-01", **closing}
+    end = spark.range(1).select(*[F.lit(values.get(c)).cast(t).alias(c) for c, t in events.dtypes])
+    end.write.mode("append").parquet(folder)
+    return read_table_stream(spark, folder, events.schema, files=files)
+
+
 def _with_rocksdb(spark: SparkSession, start):
     before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ROCKSDB)

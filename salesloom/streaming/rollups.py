@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, GroupedData, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from salesloom import contracts as C
 from salesloom.functions.scalars import count_if, moment
 from salesloom.operators.numbering import number_within
+from salesloom.operators.ranks import exact_quantiles
+from salesloom.session import stored
 
 QUANTILES = {"p50_ms": (50, 100), "p95_ms": (95, 100)}
 #: On streams: a quantile is off by one rank in so many at most.
@@ -38,18 +41,16 @@ def stage_latency(events: DataFrame, window: str | None = None, delay: str = "10
 
 
 def _exact_latency(by_duration: GroupedData, keys: list[str], mean) -> DataFrame:
-    """Equal durations are counted first, so a window holds the distinct durations of a group and nothing else."""
-    duration, n = F.col("duration_ms"), F.col("n")
-    counts = by_duration.agg(F.count(F.lit(1)).alias("n"), F.count("duration_ms").alias("known"))
-    group = W.partitionBy(*keys)
-    counts = counts.withColumns({
-        "_all": F.sum("known").over(group),
-        "_upto": F.sum("known").over(group.orderBy("duration_ms").rowsBetween(W.unboundedPreceding, W.currentRow))})
-    at = lambda p, of: F.min(F.when((F.col("known") > 0) & (F.col("_upto") * of >= F.col("_all") * p), duration))
+    """Equal durations are counted first; quantiles are then found among the counts by rank."""
+    duration = F.col("duration_ms")
+    counts = stored(by_duration.agg(F.count(F.lit(1)).alias("n"), F.count("duration_ms").alias("known")), "durations")
     total = F.sum(duration.cast("decimal(18,4)") * F.col("known").cast("decimal(20,0)"))
-    return counts.groupBy(*keys).agg(
-        F.sum(n).alias("events"), mean(total, F.sum("known")).alias("mean_ms"),
-        *[at(p, of).alias(name) for name, (p, of) in QUANTILES.items()], F.max(duration).alias("max_ms"))
+    whole = counts.groupBy(*keys).agg(F.sum("n").alias("events"), mean(total, F.sum("known")).alias("mean_ms"),
+                                      F.max(duration).alias("max_ms"))
+    ranked = exact_quantiles(counts.filter(duration.isNotNull()), keys, "duration_ms", "known", QUANTILES)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    met = whole.join(ranked.withColumnsRenamed({k: f"_{k}" for k in keys}), same, "left")
+    return met.select(*keys, "events", "mean_ms", *QUANTILES, "max_ms")
 
 
 def run_summary(events: DataFrame) -> DataFrame:
