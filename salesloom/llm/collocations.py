@@ -4,7 +4,7 @@ Words of a chunk of texts are hashed, and prefix polynomials over these hashes,
 phrase in arrays. A task counts equal fingerprints of a chunk and compares each occurrence with the first one word by word;
 a phrase that shares a fingerprint with another is counted for itself. What a task hands on is a count, a pointer to the
 part of the texts where the phrase occurs first, and a second fingerprint of another base, which keeps apart what met in
-other chunks: over tasks, phrases are equal if all 128 bits are. A shuffle sums the counts. Only where the sum is large is
+other chunks: over tasks, phrases are equal if all 96 bits are. A shuffle sums the counts. Only where the sum is large is
 the pointer followed: the task that reads that part finds the phrase in its texts and writes it out. A phrase can be
 frequent only if its parts are, so words are counted first, then pairs, then longer phrases, and what a filter of fixed
 size proves to have a rare part is not handed on.
@@ -28,17 +28,17 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 LONGEST = 4
 #: Bytes of text that a task counts at once (a longer text is taken whole), and bits of the filter of frequent parts.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 FILTER_BITS = 1 << 24
 #: A task merges its sums of fingerprints at so many, and gives out rows by so many.
-MOST_SUMS, GIVEN = 2_200_000, 1 << 16
+MOST_SUMS, GIVEN = 2_000_000, 1 << 16
 #: Bits of a row number within a part, as Spark gives them.
 PART_BITS = 33
 #: Words beyond so many bytes are hashed and compared one by one.
 LONG_WORD = 64
 #: Odd bases of the polynomials of the two fingerprints.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-KINDS = {"fp": np.uint64, "mark": np.uint64, "n": np.int32, "c": np.int64, "part": np.int32}
+KINDS = {"fp": np.uint64, "mark": np.uint32, "n": np.int32, "c": np.int64, "part": np.int32}
 
 
 def byte_classes() -> np.ndarray:
@@ -198,6 +198,10 @@ def chosen(texts: Chunk, n: int, filters: dict[int, np.ndarray]) -> np.ndarray:
     return at
 
 
+def signed_of(values: np.ndarray) -> np.ndarray:
+    return values.view({np.dtype(np.uint64): np.int64, np.dtype(np.uint32): np.int32}.get(values.dtype, values.dtype))
+
+
 class Sums:
     """Counts of many chunks by fingerprint and mark, with the pointer of the first; given out when there are many."""
 
@@ -224,18 +228,18 @@ class Sums:
         self.parts, self.size = [[counts if c == "c" else v[head] for c, v in zip(self.columns, values)]], len(head)
 
     def due(self, last: bool) -> Iterator[pa.RecordBatch]:
-        if self.size > MOST_SUMS or (last and len(self.parts) > 1):
-            self.merge()
-        if self.size > MOST_SUMS * 7 // 8 or (last and self.size):
-            for part in self.parts:
-                signed = [v.view(np.int64) if v.dtype == np.uint64 else v for v in part]
-                for i in range(0, len(part[0]), GIVEN):
-                    yield pa.RecordBatch.from_arrays([pa.array(v[i:i + GIVEN]) for v in signed], names=list(self.columns))
+        if not self.size or not (last or self.size > MOST_SUMS):
+            return
+        self.merge()
+        if last or self.size > MOST_SUMS * 7 // 8:
+            signed = [signed_of(v) for v in self.parts[0]]
+            for i in range(0, self.size, GIVEN):
+                yield pa.RecordBatch.from_arrays([pa.array(v[i:i + GIVEN]) for v in signed], names=list(self.columns))
             self.parts, self.size = [], 0
 
 
-def counted(rows: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarray], least: int, chunk: int) -> DataFrame:
-    """(n, fp, mark, f, part) of the chosen phrases that occur `least` times or more; part: the first that has it.
+def counted(rows: DataFrame, n: int, filters: dict[int, np.ndarray], least: int, chunk: int) -> DataFrame:
+    """(n, fp, mark, f, part) of the chosen phrases of n words that occur `least` times or more; part: the first that has it.
 
     With words goes a row of n = 0 for each language, f being the number of all its words. Stored.
     """
@@ -245,19 +249,17 @@ def counted(rows: DataFrame, sizes: tuple[int, ...], filters: dict[int, np.ndarr
         found = Sums()
         for batch in batches:
             for texts, part, _ in chunks_of(batch, chunk):
-                def add(n, fp, mark, c):
-                    found.add(fp, mark, np.full(len(fp), n), c, np.full(len(fp), part))
-                for n in sizes:
-                    at = chosen(texts, n, shared.value)
-                    fp, first, c = texts.tally(at, n, texts.fingerprints(at, n))
-                    add(n, fp, texts.fingerprints(first, n, BASES[1]), c)
-                if 1 in sizes:
+                at = chosen(texts, n, shared.value)
+                fp, first, c = texts.tally(at, n, texts.fingerprints(at, n))
+                found.add(fp, texts.fingerprints(first, n, BASES[1]), np.full(len(fp), n), c, np.full(len(fp), part))
+                if n == 1:
                     langs, c = np.unique(texts.lang, return_counts=True)
-                    add(0, langs.view(np.uint64), langs.view(np.uint64), c)
+                    code = langs.view(np.uint64)
+                    found.add(code, code, np.zeros(len(c)), c, np.full(len(c), part))
                 yield from found.due(False)
         yield from found.due(True)
     # Tasks have summed already: one exchange, no sums before it.
-    schema = ", ".join(f"{c} {'int' if kind == np.int32 else 'long'}" for c, kind in KINDS.items())
+    schema = ", ".join(f"{c} {'int' if np.dtype(kind).itemsize == 4 else 'long'}" for c, kind in KINDS.items())
     each = rows.mapInArrow(run, schema).repartition("fp").groupBy("fp", "mark", "n")
     sums = each.agg(F.sum("c").alias("f"), F.min("part").alias("part")).filter(F.col("f") >= least)
     return stored(sums.select("n", "fp", "mark", "f", "part"), "frequent-fingerprints")
@@ -287,16 +289,16 @@ def written_out(rows: DataFrame, frequent: DataFrame, chunk: int, filter_bits: i
                     if n == 0:
                         good = passes(shared.value, fp ^ own)
                         fp, mark, first = fp[good], mark[good], first[good]
-                    for f, m, i in zip(fp.view(np.int64).tolist(), mark.view(np.int64).tolist(), first.tolist()):
+                    for f, m, i in zip(*(signed_of(x).tolist() for x in (fp, mark.astype(KINDS["mark"]), first))):
                         if (f, m) not in done:
                             done.add((f, m))
                             phrase = b" ".join(map(texts.bytes_of, range(i, i + n))).decode("utf-8")
                             out.append((n, f, m, names[place + int(texts.text[i])].as_py(), phrase))
                 if out:
-                    kinds = pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()
+                    kinds = pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string()
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                                      names=["n", "fp", "mark", "lang", "phrase"])
-    return rows.mapInArrow(run, "n int, fp long, mark long, lang string, phrase string")
+    return rows.mapInArrow(run, "n int, fp long, mark int, lang string, phrase string")
 
 
 def filter_of(frequent: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
@@ -320,10 +322,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, chunk: int = CHUNK, filte
     texts = docs.filter("text != ''").select(F.monotonically_increasing_id().alias("row"), lang.alias("lang"), text.alias("text"))
     rows = stored(texts, "phrase-texts").withColumn("code", F.xxhash64("lang"))  # fixes the row numbers
     filters, levels = {}, []
-    for sizes in ((1,), (2,), (3, 4)):
-        levels.append(counted(rows, sizes, filters, least, chunk))
-        if sizes[0] < 3:
-            filters = {**filters, sizes[0]: filter_of(levels[-1].filter(F.col("n") == sizes[0]), filter_bits)}
+    for n in range(1, LONGEST + 1):
+        levels.append(counted(rows, n, filters, least, chunk))
+        if n < LONGEST:
+            filters = {n: filter_of(levels[-1].filter(F.col("n") == n), filter_bits)}
     frequent = functools.reduce(DataFrame.unionByName, levels)
     named = written_out(rows, frequent, chunk, filter_bits).dropDuplicates(["n", "fp", "mark"])
     return stored(named.join(frequent, ["n", "fp", "mark"]).select("lang", "n", "phrase", "f"), "phrases")
