@@ -215,12 +215,13 @@ def run_events(table: DataFrame) -> DataFrame:
         F.when(e % 3 == 0, 0).otherwise(e % 20).alias("rows_out"))
 
 
-def streamed_events(c: Context) -> DataFrame:
+def streamed_events(c: Context) -> tuple[DataFrame, str]:
     return drain.replayed(c.t.events, c.scratch("events"), {"event_id": -1, "user_id": -1})
 
 
 def admitted_stream(c: Context, rule) -> DataFrame:
-    return drain.drain(admission.admit_stream(streamed_events(c), rule), "admitted").filter("event_id >= 0")
+    events, delay = streamed_events(c)
+    return drain.drain(admission.admit_stream(events, rule, delay=delay), "admitted").filter("event_id >= 0")
 
 
 def confidence_runs(c: Context) -> DataFrame:
@@ -342,9 +343,9 @@ TEXT_QUERIES = {
     "e2_stream": lambda c: admitted_stream(c, BUCKET).select("event_id", "admitted", "remaining"),
     "e3_stream": lambda c: admitted_stream(c, BUDGET).select("event_id", "admitted"),
     "e5_stream": lambda c: drain.drain_updates(
-        rollups.run_summary(run_events(streamed_events(c))), ["run_id"], "run-summary").filter("run_id >= 0"),
+        rollups.run_summary(run_events(streamed_events(c)[0])), ["run_id"], "run-summary").filter("run_id >= 0"),
     "e9_stream": lambda c: drain.drain_updates(
-        rollups.current_stages(run_events(streamed_events(c))), ["run_id", "name"], "stages").filter("run_id >= 0"),
+        rollups.current_stages(run_events(streamed_events(c)[0])), ["run_id", "name"], "stages").filter("run_id >= 0"),
     "e8_streamed_carry_over": streamed_carry_over,
     "e9_stage_board": lambda c: rollups.stage_board(run_events(c.t.events)).select(
         "run_id", "name", "stage_no", "status", "started_at", "duration_ms"),

@@ -18,11 +18,13 @@ def read_table_stream(spark: SparkSession, path: str, schema, glob: str = "*.par
             .parquet(path))
 
 
-def replayed(events: DataFrame, folder: str, closing: dict[str, int], ts: str = "ts", slices: int = 4, files: int = 100) -> DataFrame:
-    """A table as a stream in time order: slices of equal length, one after the other, and at last a row far in the future
-    that moves the watermark past all others. closing: values of that row; its other columns are null.
+def replayed(events: DataFrame, folder: str, closing: dict[str, int], ts: str = "ts", slices: int = 4,
+             files: int = 100) -> tuple[DataFrame, str]:
+    """A table as a stream in time order, and the watermark delay with which none of its rows is late.
 
-    A fixed number of writes, each by many tasks; a batch takes many files.
+    Slices of equal length are written one after the other, each by many tasks, and at last a row far in the future that
+    moves the watermark past all others; closing: values of that row, whose other columns are null. Files of a slice come
+    in any order, so the delay is the length of a slice.
     """
     at = F.col(ts).cast("timestamp")
     low, high = events.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
@@ -34,7 +36,7 @@ def replayed(events: DataFrame, folder: str, closing: dict[str, int], ts: str =
     values = {ts: "2200-01-01", **closing}
     end = spark.range(1).select(*[F.lit(values.get(c)).cast(t).alias(c) for c, t in events.dtypes])
     end.write.mode("append").parquet(folder)
-    return read_table_stream(spark, folder, events.schema, files=files)
+    return read_table_stream(spark, folder, events.schema, files=files), f"{(high - low) // slices // 1_000_000 + 1} seconds"
 
 
 def _with_rocksdb(spark: SparkSession, start):
