@@ -173,6 +173,14 @@ _sum = lambda src, amount, cond: f"SELECT count(*) AS rows, {msum(amount)} AS am
 SQL = {
     "s1_board_items": DIRTY + """SELECT "Deal Name" AS id, "Deal Name" AS name, CAST(11 AS INTEGER) AS cells FROM copies""",
     "s2_wide_board": DIRTY + f"""SELECT {", ".join(f'"{t}"' for t in TITLES)} FROM copies""",
+    "s2_unlisted_titles": DIRTY + " UNION ALL ".join(
+        f"""SELECT {q(t)} AS title, count(nullif("{t}", '')) AS cells FROM copies HAVING count(nullif("{t}", '')) > 0""" for t in list(TITLES)[5:]),
+    "s3_wide_export": DIRTY + """, n AS (SELECT *, CAST(regexp_extract("Deal Name", '(\\d+)$', 1) AS BIGINT) AS no FROM copies)
+      SELECT CASE WHEN no % 10 = 0 THEN "Deal Name" || chr(10) || 'second "line", with a comma' ELSE "Deal Name" END AS "Deal Name",
+        nullif("Deal Status", '') AS "Deal Status", CASE WHEN no % 7 = 0 THEN 'more, of it|last' END AS surplus FROM n""",
+    "s3_wide_export_losses": DIRTY + """, n AS (SELECT CAST(regexp_extract("Deal Name", '(\\d+)$', 1) AS BIGINT) AS no FROM copies)
+      SELECT count(*) AS rows, count(CASE WHEN no % 7 = 0 THEN 1 END) AS wide_rows, 2 * count(CASE WHEN no % 7 = 0 THEN 1 END) AS surplus_cells,
+        count(CASE WHEN no % 10 = 0 THEN 1 END) AS broken_names, count(DISTINCT no) AS deals FROM n""",
     "s3_floating_header": DIRTY + f"""SELECT {", ".join(f'"{t}"' for t in TITLES)} FROM copies""",
     "s4_renamed_columns": ORDERS + f"SELECT {', '.join(f'{_filled(c)} AS {c}' for c in ORDER_COLS)} FROM orders_src",
     "s5_typed_board": DIRTY + """SELECT "Deal Name" AS deal_name, "Owner code" AS owner_code, "Client Code" AS client_code,

@@ -11,6 +11,7 @@ from salesloom.functions import predicates as P
 from salesloom.functions import scalars as S
 from salesloom.functions.periods import resolve
 from salesloom.operators.results import ToolResult, accounting, as_facts, fact
+from salesloom.operators.skew import left_join_split
 
 RANKINGS = {"open_pipeline": "open_pipeline_val", "pipeline": "open_pipeline_val", "won": "won_deal_val",
             "won_deals": "won_deal_val", "won_value": "won_deal_val", "billed": "billed_excl_gst",
@@ -95,7 +96,10 @@ def sector_performance(deals: DataFrame, orders: DataFrame, metric="order_book",
 # ---------------------------------------------------------------- linkage
 
 def lifecycle(deals: DataFrame, orders: DataFrame) -> DataFrame:
-    """Deals with their work orders on the join key. An audit view only: names are masked independently."""
+    """Deals with their work orders on the join key. An audit view only: names are masked independently.
+
+    Orders without a name share one placeholder key; such keys do not end in one task.
+    """
     d = deals.select("deal_name", F.col("owner_code").alias("deal_owner"), F.col("client_code").alias("deal_client"),
                      "deal_status", "deal_stage", "deal_value", "weighted_deal_value",
                      F.col("sector").alias("deal_sector"), "closure_probability", "join_key")
@@ -105,7 +109,7 @@ def lifecycle(deals: DataFrame, orders: DataFrame) -> DataFrame:
                       F.col("collected_incl_gst").alias("wo_collected_incl_gst"),
                       F.col("to_be_billed_excl_gst").alias("wo_unbilled_excl_gst"),
                       F.col("receivable_amount").alias("wo_receivable"), F.lit(1).alias("_hit"), "join_key")
-    return (d.join(w, "join_key", "left").drop("join_key")
+    return (left_join_split(d, w, "join_key").drop("join_key")
             .withColumn("has_work_order", F.coalesce("_hit", F.lit(0))).drop("_hit"))
 
 
@@ -133,7 +137,7 @@ def linkage_measure(deals: DataFrame, orders: DataFrame) -> DataFrame:
 
 def unmatched_keys(deals: DataFrame, orders: DataFrame) -> DataFrame:
     """Deals whose key has no work order, per status."""
-    return (deals.join(orders.select("join_key"), "join_key", "left_anti").groupBy("deal_status")
+    return (deals.join(orders.select("join_key").distinct(), "join_key", "left_anti").groupBy("deal_status")
             .agg(F.count(F.lit(1)).alias("unmatched_deals")))
 
 

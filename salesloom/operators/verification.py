@@ -5,12 +5,9 @@ Answers: (answer_id, question, draft, top_n). Facts: (answer_id, id, value_doubl
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from salesloom import contracts as C
-from salesloom.functions.scalars import count_if
 
 ANSWER = "answer_id"
 
@@ -53,11 +50,7 @@ def allowed_by_question(answers: DataFrame) -> DataFrame:
 
 def citations(answers: DataFrame, facts: DataFrame) -> DataFrame:
     """Every [[F#]] of a draft with its place and whether that fact exists."""
-    cited = answers.select(ANSWER, F.posexplode(
-        F.regexp_extract_all("draft", F.lit(C.FACT_REFERENCE), F.lit(1))).alias("position", "id"))
-    known = facts.select(ANSWER, "id", F.lit(True).alias("_known")).distinct()
-    return cited.join(known, [ANSWER, "id"], "left").select(
-        ANSWER, "position", "id", F.coalesce("_known", F.lit(False)).alias("valid"))
+    return with_evidence(answers, facts, facts.sparkSession.createDataFrame([], TRUTHS)).select(ANSWER, F.inline("_cited"))
 
 
 def masked(draft: Column) -> Column:
@@ -69,64 +62,104 @@ def masked(draft: Column) -> Column:
 
 def claims(answers: DataFrame) -> DataFrame:
     """Distinct claims: (answer_id, kind, span, number). Kind 'bare' is a number outside every pattern's span."""
-    text = answers.select(ANSWER, masked(F.col("draft")).alias("_m"))
+    found = answers.select(ANSWER, F.inline(claimed_spans(F.col("draft"))))
+    return found.select(ANSWER, "kind", "span", F.explode(numbers_of_span(F.col("span"))).alias("number")).distinct()
+
 
+def claimed_spans(draft: Column) -> Column:
+    """(kind, span) of every claim in a draft."""
     def spans(kind: str, text: Column, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)),
                            lambda s: F.struct(F.lit(kind).alias("kind"), F.btrim(s).alias("span")))
 
-    every = [spans(kind, F.col("_m"), pattern) for kind, pattern in C.CLAIMS.items()]
-    every.append(spans("bare", F.regexp_replace("_m", C.BARE_NUMBER_NOISE, ""), C.NUMBER))
-    found = text.select(ANSWER, F.inline(F.flatten(F.array(*every))))
-    numbers = numbers_in(F.replace("span", F.lit(","), F.lit("")))
-    return found.select(ANSWER, "kind", "span", F.explode(numbers).alias("number")).distinct()
+    def every(text: Column) -> Column:
+        found = [spans(kind, text, pattern) for kind, pattern in C.CLAIMS.items()]
+        found.append(spans("bare", F.regexp_replace(text, C.BARE_NUMBER_NOISE, ""), C.NUMBER))
+        return F.flatten(F.array(*found))
+
+    return F.transform(F.array(masked(draft)), every)[0]
+
+
+def numbers_of_span(span: Column) -> Column:
+    return numbers_in(F.replace(span, F.lit(","), F.lit("")))
 
 
 # ---------------------------------------------------------------- grounding
 
-_LOG_STEP = math.log1p(C.MATCH_RELATIVE * 1.05)
+TRUTHS = f"{ANSWER} long, truth double"
+#: What rounding may add to the bounds between which a match can lie.
+SLACK = 1e-9
+
+
+def first_at_least(values: Column, bound: Column) -> Column:
+    """Place of the first element of a sorted array that is not below the bound, by binary search."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        open_ = s["low"] < s["high"]
+        below = open_ & (F.get(values, middle) < bound)
+        return F.struct(F.when(below, middle + 1).otherwise(s["low"]).alias("low"),
+                        F.when(open_ & ~below, middle).otherwise(s["high"]).alias("high"))
 
+    return F.aggregate(steps, start, step, lambda s: s["low"])
 
-def _cells(v: Column) -> Column:
-    """Cells a number falls into: one of absolute width, one of relative width.
 
-    Two numbers within either tolerance are in the same or in neighbouring cells.
+def close(n: Column, g: Column) -> Column:
+    return (F.abs(n - g) < C.MATCH_ABSOLUTE) | ((g != 0) & (F.abs(n - g) < C.MATCH_RELATIVE * F.abs(g)))
+
+
+def is_grounded(n: Column, known: Column) -> Column:
+    """Is there a number within tolerance in the sorted array? Claimed numbers are never negative.
+
+    Matches lie between two bounds; between their places the first exact match ends the search.
     """
-    # From here on doubles lie further apart than the absolute tolerance: only the relative one is left.
-    small = F.abs(v) / C.MATCH_ABSOLUTE < float(1 << 53)
-    absolute = F.when(small, F.struct(F.lit("a").alias("scale"), F.floor(v / C.MATCH_ABSOLUTE).cast("long").alias("cell")))
-    relative = F.when(v > 0, F.struct(F.lit("r").alias("scale"), F.floor(F.log(v) / _LOG_STEP).cast("long").alias("cell")))
-    return F.array_compact(F.array(absolute, relative))
+    low = F.least(n - C.MATCH_ABSOLUTE, n / (1 + C.MATCH_RELATIVE)) * (1 - SLACK) - SLACK
+    high = F.greatest(n + C.MATCH_ABSOLUTE, n / (1 - C.MATCH_RELATIVE)) * (1 + SLACK) + SLACK
+    first, after = first_at_least(known, low), first_at_least(known, high)
+    return F.exists(F.slice(known, first + 1, F.greatest(after - first, F.lit(0))), lambda g: close(n, g))
 
 
 def grounded(claimed: DataFrame, truths: DataFrame) -> DataFrame:
-    """Distinct (answer_id, number) with a known number within tolerance.
+    """Distinct (answer_id, number) with a known number of their answer within tolerance."""
+    known = truths.groupBy(ANSWER).agg(F.array_sort(F.collect_set("truth")).alias("_known"))
+    found = claimed.select(ANSWER, "number").distinct().join(known, ANSWER)
+    return found.filter(is_grounded(F.col("number"), F.col("_known"))).select(ANSWER, "number")
+
 
-    The theta match is cut into cells, so it is an equality semi join with a residual
-    check; no pair is ever emitted. Claimed numbers are never negative.
+def with_evidence(answers: DataFrame, facts: DataFrame, truths: DataFrame | None = None) -> DataFrame:
+    """answers with _numbers, the distinct claimed numbers with grounded and allowed, and _cited, their references.
+
+    Facts are gathered once per answer, their numbers in all spellings as one sorted array; every claim is then looked up
+    in its own row. An answer's facts are the few its tool defines, or the truths given instead of them. One row per answer.
     """
-    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d.cast("long"))
-    probe = claimed.select(ANSWER, "number").distinct().withColumn("_c", F.explode(_cells(F.col("number"))))
-    probe = probe.select(ANSWER, "number", F.col("_c.scale").alias("scale"), (F.col("_c.cell")).alias("_cell"))
-    probe = probe.withColumn("_near", F.explode(near)).withColumn("cell", F.col("_cell") + F.col("_near"))
-    known = truths.filter(F.col("truth") > -C.MATCH_ABSOLUTE).select(ANSWER, "truth", F.inline(_cells(F.col("truth")))).distinct()
-    n, g = F.col("number"), F.col("truth")
-    close = (F.abs(n - g) < C.MATCH_ABSOLUTE) | ((g != 0) & (F.abs(n - g) < C.MATCH_RELATIVE * F.abs(g)))
-    k = known.select(F.col(ANSWER).alias("_a"), F.col("scale").alias("_s"), F.col("cell").alias("_k"), "truth")
-    hit = probe.join(k, (F.col(ANSWER) == F.col("_a")) & (F.col("scale") == F.col("_s")) & (F.col("cell") == F.col("_k"))
-                     & close, "left_semi")
-    return hit.select(ANSWER, "number").distinct()
+    known = facts.groupBy(ANSWER).agg(F.collect_set("id").alias("_ids"), F.collect_set("value_double").alias("_values"))
+    spelled = F.flatten(F.transform(F.coalesce("_values", F.array().cast("array<double>")), scaled))
+    df = answers.join(known, ANSWER, "left")
+    if truths is not None:
+        given = truths.groupBy(ANSWER).agg(F.collect_set("truth").alias("_truths"))
+        df = df.join(given, ANSWER, "left")
+        spelled = F.coalesce("_truths", F.array().cast("array<double>"))
+    asked = numbers_in(F.replace(F.coalesce("question", F.lit("")), F.lit(","), F.lit("")))
+    every = F.concat(spelled, asked, F.array(F.col("top_n").cast("double")))
+    claimed = F.array_distinct(F.array_compact(F.flatten(F.transform(
+        claimed_spans(F.col("draft")), lambda s: numbers_of_span(s["span"])))))
+    cited = F.regexp_extract_all("draft", F.lit(C.FACT_REFERENCE), F.lit(1))
+    ids = F.coalesce("_ids", F.array().cast("array<string>"))
+    df = df.withColumns({"_known": F.array_sort(F.array_distinct(F.array_compact(every))), "_claimed": claimed})
+    numerals = [float(x) for x in C.ALLOWED_NUMERALS]
+    return df.withColumns({
+        "_numbers": F.transform("_claimed", lambda n: F.struct(
+            n.alias("number"), is_grounded(n, F.col("_known")).alias("grounded"), n.isin(numerals).alias("allowed"))),
+        "_cited": F.transform(cited, lambda c, i: F.struct(
+            i.alias("position"), c.alias("id"), F.array_contains(ids, c).alias("valid"))),
+    }).drop("_ids", "_values", "_truths", "_known", "_claimed")
 
 
 def judged_numbers(answers: DataFrame, facts: DataFrame, truths: DataFrame | None = None) -> DataFrame:
     """Distinct numbers of each answer: grounded, allowed anyway, or neither."""
-    truths = truth_numbers(facts) if truths is None else truths
-    known = truths.select(ANSWER, "truth").unionByName(allowed_by_question(answers)).distinct()
-    numbers = claims(answers).select(ANSWER, "number").distinct()
-    hit = grounded(numbers, known).withColumn("_g", F.lit(True))
-    joined = numbers.join(hit, [ANSWER, "number"], "left")
-    allowed = F.col("number").isin([float(x) for x in C.ALLOWED_NUMERALS])
-    return joined.select(ANSWER, "number", F.coalesce("_g", F.lit(False)).alias("grounded"), allowed.alias("allowed"))
+    return with_evidence(answers, facts, truths).select(ANSWER, F.inline("_numbers"))
 
 
 def ungrounded_claims(answers: DataFrame, facts: DataFrame) -> DataFrame:
@@ -135,13 +168,12 @@ def ungrounded_claims(answers: DataFrame, facts: DataFrame) -> DataFrame:
 
 def verdicts(answers: DataFrame, facts: DataFrame, truths: DataFrame | None = None) -> DataFrame:
     """Per answer: verified or not, confidence, grounded items, bad numbers, invalid references."""
-    numbers = judged_numbers(answers, facts, truths).groupBy(ANSWER).agg(
-        count_if(F.col("grounded")).alias("_grounded"),
-        count_if(~F.col("grounded") & ~F.col("allowed")).alias("bad_numbers"))
-    cited = citations(answers, facts).groupBy(ANSWER).agg(
-        count_if(F.col("valid")).alias("valid_citations"), count_if(~F.col("valid")).alias("invalid_citations"))
-    df = answers.join(numbers, ANSWER, "left").join(cited, ANSWER, "left").na.fill(
-        0, ["_grounded", "bad_numbers", "valid_citations", "invalid_citations"])
+    many = lambda of, test: F.coalesce(F.size(F.filter(of, test)), F.lit(0)).cast("long")
+    df = with_evidence(answers, facts, truths).withColumns({
+        "_grounded": many("_numbers", lambda n: n["grounded"]),
+        "bad_numbers": many("_numbers", lambda n: ~n["grounded"] & ~n["allowed"]),
+        "valid_citations": many("_cited", lambda c: c["valid"]),
+        "invalid_citations": many("_cited", lambda c: ~c["valid"])}).drop("_numbers", "_cited")
     bad, invalid = F.col("bad_numbers"), F.col("invalid_citations")
     exact = lambda text: F.lit(text).cast("decimal(4,2)")
     penalty = bad.cast("decimal(18,0)") * exact("0.15") + invalid.cast("decimal(18,0)") * exact("0.20")

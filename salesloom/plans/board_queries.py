@@ -116,6 +116,28 @@ def floating_sheet(c: Context) -> DataFrame:
     return sheets.read_floating_header(c.spark, f"{path}/*", len(sheet.columns))
 
 
+def wide_sheet(c: Context) -> DataFrame:
+    """The deals sheet with line breaks and quotes in its names and, in some rows, two cells more than its header has."""
+    path = c.scratch("wide")
+    sheet = _unique_sheet(c)
+    number = F.regexp_extract(F.col("Deal Name"), r"(\d+)$", 1).cast("long")
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+    name = F.when(number % 10 == 0, F.concat("Deal Name", F.lit('\nsecond "line", with a comma'))).otherwise(F.col("Deal Name"))
+    cells = [quoted(name), *[quoted(F.coalesce(F.col(f"`{t}`"), F.lit(""))) for t in sheet.columns[1:]]]
+    more = F.when(number % 7 == 0, F.lit(',"more, of it",last')).otherwise("")
+    c.spark.range(1).select(F.lit(",".join(sheet.columns)).alias("value")).coalesce(1).write.text(f"{path}/a")
+    sheet.select(F.concat(F.array_join(F.array(*cells), ","), more).alias("value")).write.text(f"{path}/b")
+    return sheets.read_floating_header(c.spark, f"{path}/*", len(sheet.columns), surplus="surplus")
+
+
+def wide_sheet_losses(c: Context) -> DataFrame:
+    return wide_sheet(c).agg(
+        F.count(F.lit(1)).alias("rows"), S.count_if(F.col("surplus").isNotNull()).alias("wide_rows"),
+        F.coalesce(F.sum(F.size("surplus")), F.lit(0)).alias("surplus_cells"),
+        S.count_if(F.contains("Deal Name", F.lit("\nsecond"))).alias("broken_names"),
+        F.count_distinct(F.regexp_extract("Deal Name", r"^Deal-(\d+)", 1)).alias("deals"))
+
+
 def snapshot(c: Context) -> str:
     path = c.scratch("snapshot")
     old = c.deals.filter(F.col("status") == "Open")
@@ -171,7 +193,10 @@ BOARD_QUERIES = {
     # sources and sinks
     "s1_board_items": lambda c: board_capture(c).select("id", "name", F.size("column_values").alias("cells")),
     "s2_wide_board": lambda c: boards.widen(board_capture(c), SHEET_COLUMNS, "Deal Name"),
+    "s2_unlisted_titles": lambda c: boards.unlisted(board_capture(c), SHEET_COLUMNS[:5], "Deal Name"),
     "s3_floating_header": floating_sheet,
+    "s3_wide_export": lambda c: wide_sheet(c).select("Deal Name", "Deal Status", F.array_join("surplus", "|").alias("surplus")),
+    "s3_wide_export_losses": wide_sheet_losses,
     "s4_renamed_columns": lambda c: N.order_titles(c.orders_sheet).agg(
         *[F.count(n).alias(n) for n in [*C.ORDER_COLUMNS.values(), C.SOFTWARE_COLUMN]]),
     "s5_typed_board": lambda c: sheets.apply_schema_map(c.deals_sheet, sheets.DEALS_SCHEMA_MAP),

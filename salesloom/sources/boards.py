@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 ITEM = T.StructType([
     T.StructField("id", T.StringType()),
@@ -47,13 +47,34 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return page_items(read_pages(spark, path))
 
 
-def widen(items: DataFrame, titles: list[str], name_title: str) -> DataFrame:
-    """One column per title. Blank text is null; of repeated titles the last one counts.
+def title_of(cell: Column) -> Column:
+    return F.coalesce(cell["column"]["title"], cell["id"], F.lit(""))
+
+
+def unlisted_cells(titles: list[str], name_title: str) -> Column:
+    """Cells of an item with a text under a title that is not listed, and those that a later cell of their title hides."""
+    listed = F.array(*[F.lit(t) for t in dict.fromkeys([*titles, name_title])])
+    places = F.transform("column_values", title_of)
+    cells = F.transform("column_values", lambda cv, i: F.struct(
+        title_of(cv).alias("title"), cv["text"].alias("text"),
+        (~F.array_contains(listed, title_of(cv)) | (F.array_position(F.slice(places, i + 2, F.size(places)), title_of(cv)) > 0)).alias("out")))
+    left = F.filter(cells, lambda c: c["out"] & (F.coalesce(c["text"], F.lit("")) != ""))
+    return F.coalesce(F.transform(left, lambda c: F.struct(c["title"].alias("title"), c["text"].alias("text"))),
+                      F.array().cast("array<struct<title:string,text:string>>"))
+
+
+def unlisted(items: DataFrame, titles: list[str], name_title: str) -> DataFrame:
+    """(title, cells) of all that `widen` with these titles has no column for."""
+    return items.select(F.inline(unlisted_cells(titles, name_title))).groupBy("title").agg(F.count(F.lit(1)).alias("cells"))
+
+
+def widen(items: DataFrame, titles: list[str], name_title: str, rest: str | None = None) -> DataFrame:
+    """One column per title. Blank text is null; of repeated titles the last one counts. `rest` names a column for all
+    other cells with a text, as (title, text).
 
     Titles are given, not discovered, and every item carries its own values, so
     this is a row-local projection: no explode, no pivot, no shuffle.
     """
-    title_of = lambda cv: F.coalesce(cv["column"]["title"], cv["id"], F.lit(""))
 
     def value(title: str):
         hits = F.filter("column_values", lambda cv: title_of(cv) == title)
@@ -61,7 +82,8 @@ def widen(items: DataFrame, titles: list[str], name_title: str) -> DataFrame:
 
     named = F.filter("column_values", lambda cv: title_of(cv) == name_title)
     name = F.when(F.size(named) > 0, value(name_title)).otherwise(F.coalesce("name", F.lit("")))
-    return items.select(name.alias(name_title), *[value(t).alias(t) for t in titles if t != name_title])
+    more = [unlisted_cells(titles, name_title).alias(rest)] if rest else []
+    return items.select(name.alias(name_title), *[value(t).alias(t) for t in titles if t != name_title], *more)
 
 
 def write_pages(rows: DataFrame, page, name_title: str, path: str) -> str:
