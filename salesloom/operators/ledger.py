@@ -11,13 +11,15 @@ LEDGER_COLUMNS = ["code", "rule_name", "severity", "description", "affected_coun
                   "sample_identifiers"]
 
 
-def rule_samples(df: DataFrame, rules: dict[str, Column], name: Column) -> DataFrame:
-    """Up to five smallest row names per rule.
+def rule_samples(df: DataFrame, rules: dict[str, Column], name: Column, copies: dict[str, Column] | None = None) -> DataFrame:
+    """Up to five smallest row names per rule; copies: for which rules a row stands for so many.
 
     The row limit per rule is applied inside every task before the shuffle, so a
     rule that hits a third of all rows still sends only a handful of them.
     """
-    hits = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), code) for code, cond in rules.items()]))
+    times = lambda code: F.least((copies or {}).get(code, F.lit(1)), F.lit(C.DQ_SAMPLE_SIZE)).cast("int")
+    hits = F.flatten(F.array(*[F.array_repeat(F.lit(code), F.when(F.coalesce(cond, F.lit(False)), times(code)).otherwise(0))
+                               for code, cond in rules.items()]))
     flagged = df.select(F.explode(hits).alias("code"), name.cast("string").alias("sample"))
     order = W.partitionBy("code").orderBy("sample")
     few = flagged.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= C.DQ_SAMPLE_SIZE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -110,35 +111,36 @@ def as_is(df: DataFrame, name: str) -> DataFrame:
 def normalize_deals(sheet: DataFrame, as_of: dt.date = C.DEFAULT_AS_OF, keep=as_is) -> Normalized:
     """Raw deals export to clean deals and rules DQ001-DQ007.
 
-    Header rows are filtered, copies collapse in one aggregation that also counts
-    them, and all row rules are counted in a single pass. With keep=session.stored the
-    clean rows are written once and the ledger reads only the columns it needs from there.
+    Copies collapse in one aggregation that also counts them, and all rules are counted in a single pass. With
+    keep=session.stored the rows, stray headers among them, are written once: the export is read for that alone, and
+    the ledger takes counts and samples from two scans of the few columns it needs.
     """
-    header = is_stray_header(sheet)
     first = F.col(f"`{sheet.columns[0]}`")
-    counted = with_copies(sheet.filter(~header))
-    rows = keep(derive_deals(typed_deals(counted), as_of), "clean-deals")
-
-    is_open = F.col("status") == "Open"
-    largest = F.max_by(F.struct("deal_alias", "deal_value"), F.struct("deal_value", "deal_alias"))
-    rules = deal_rules()
-    totals = rows.agg(
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("DQ002"),
+    counted = with_copies(sheet)
+    counted = counted.withColumns({"_header": is_stray_header(counted), "_first": first})
+    every = keep(derive_deals(typed_deals(counted), as_of), "clean-deals")
+    header = F.col("_header")
+
+    is_open = (F.col("status") == "Open") & ~header
+    largest = F.max_by(F.when(~header, F.struct("deal_alias", "deal_value")), F.when(~header, F.struct("deal_value", "deal_alias")))
+    rules = {code: cond & ~header for code, cond in deal_rules().items()}
+    totals = every.agg(
+        F.coalesce(F.sum(F.when(header, F.col("_copies"))), F.lit(0)).alias("DQ001"),
+        F.coalesce(F.sum(F.when(~header, F.col("_copies") - 1)), F.lit(0)).alias("DQ002"),
         *[S.count_if(cond).alias(code) for code, cond in rules.items()],
         S.money_sum_if(is_open & (F.col("sector") == C.OUTLIER_SECTOR), F.col("deal_value")).alias("outlier_value"),
         S.money_sum_if(is_open, F.col("deal_value")).alias("open_value"),
         largest.alias("largest"),
     )
-    headers = sheet.agg(S.count_if(header).alias("DQ001"))
-    counts = (L.counts_to_rows(headers, ["DQ001"])
-              .unionByName(L.counts_to_rows(totals, ["DQ002", *rules])))
+    totals = keep(totals, "deal-totals")  # one row, read by several parts of the ledger
+    counts = L.counts_to_rows(totals, ["DQ001", "DQ002", *rules])
 
-    samples = L.rule_samples(sheet, {"DQ001": header}, first)
-    repeated = L.rule_samples(rows, {"DQ002": F.col("_copies") > 1,
-                                     **{c: rules[c] for c in SAMPLED_DEAL_RULES}}, F.col("deal_alias"))
+    samples = L.rule_samples(every, {"DQ001": header, "DQ002": (F.col("_copies") > 1) & ~header,
+                                     **{c: rules[c] for c in SAMPLED_DEAL_RULES}},
+                             F.when(header, F.col("_first")).otherwise(F.col("deal_alias")), {"DQ001": F.col("_copies")})
     biggest = totals.filter(F.col("largest").isNotNull()).select(
         F.lit("DQ007").alias("code"), F.array("largest.deal_alias").alias("sample_identifiers"))
-    samples = samples.unionByName(repeated).unionByName(biggest)
+    samples = samples.unionByName(biggest)
 
     share = S.percent(F.col("outlier_value"), F.col("open_value"))
     described = totals.select(F.inline(F.array(
@@ -150,7 +152,8 @@ def normalize_deals(sheet: DataFrame, as_of: dt.date = C.DEFAULT_AS_OF, keep=as_
             F.coalesce(F.col("largest.deal_alias"), F.lit("")), F.lit(" = "),
             S.format_inr(F.coalesce(F.col("largest.deal_value"), F.lit(0.0))), F.lit("."))
             .alias("found_description")))))
-    return Normalized(rows.drop("_copies"), L.build_ledger(counts, samples, described))
+    rows = every.filter(~header).drop("_copies", "_header", "_first")
+    return Normalized(rows, L.build_ledger(counts, samples, described))
 
 
 # ---------------------------------------------------------------- work orders
@@ -227,15 +230,35 @@ def empty_columns(sheet: DataFrame) -> DataFrame:
 
 def normalize_orders(sheet: DataFrame, as_of: dt.date = C.DEFAULT_AS_OF, keep=as_is) -> Normalized:
     """Raw work-order export to clean work orders and rules DQ008-DQ016; keep as for deals."""
-    rows = keep(derive_orders(typed_orders(sheet), as_of), "clean-orders")
+    marked = sheet.withColumns({f"_filled{i}": bits for i, bits in enumerate(filled_bits(sheet))})
+    every = keep(derive_orders(typed_orders(marked), as_of), "clean-orders")
     rules = order_rules()
-    empty = empty_columns(sheet).filter("is_empty")
-    counts = L.rule_counts(rows, rules).unionByName(
+    marks = [c for c in every.columns if c.startswith("_filled")]
+    totals = every.agg(*[S.count_if(cond).alias(code) for code, cond in rules.items()],
+                       *[F.coalesce(F.bit_or(c), F.lit(0)).alias(c) for c in marks])
+    totals = keep(totals, "order-totals")
+    empty = totals.select(F.inline(F.array(*[
+        F.struct(F.lit(c.strip()).alias("title"), (bit_of(i) == 0).alias("is_empty")) for i, c in enumerate(sheet.columns)]))).filter("is_empty")
+    counts = L.counts_to_rows(totals, list(rules)).unionByName(
         empty.agg(F.count(F.lit(1)).alias("affected_count")).select(F.lit("DQ008").alias("code"), "affected_count"))
-    samples = L.rule_samples(rows, {c: rules[c] for c in SAMPLED_ORDER_RULES}, F.col("deal_alias")).unionByName(
+    samples = L.rule_samples(every, {c: rules[c] for c in SAMPLED_ORDER_RULES}, F.col("deal_alias")).unionByName(
         empty.agg(F.array_sort(F.collect_list("title")).alias("sample_identifiers"))
         .select(F.lit("DQ008").alias("code"), "sample_identifiers"))
-    return Normalized(rows, L.build_ledger(counts, samples))
+    return Normalized(every.drop(*marks), L.build_ledger(counts, samples))
+
+
+#: Columns whose presence is told by the bits of one number.
+MARKED = 62
+
+
+def filled_bits(sheet: DataFrame) -> list[Column]:
+    """Numbers whose bits tell which columns of a row have a value, so that one aggregate finds the empty ones."""
+    bits = [F.when(F.col(f"`{c}`").isNotNull(), F.lit(1 << (i % MARKED))).otherwise(0).cast("long") for i, c in enumerate(sheet.columns)]
+    return [reduce(lambda x, y: x.bitwiseOR(y), bits[i:i + MARKED]) for i in range(0, len(bits), MARKED)]
+
+
+def bit_of(column: int) -> Column:
+    return F.shiftright(f"_filled{column // MARKED}", column % MARKED).bitwiseAND(F.lit(1))
 
 
 def drop_empty_columns(rows: DataFrame, empty_titles: list[str]) -> DataFrame:

@@ -45,7 +45,7 @@ def _pick(values: list[str], key: Column) -> Column:
 def _rule(board: str, code: str):
     """Affected rows and samples of one rule."""
     def query(c: Context) -> DataFrame:
-        ledger = (c.clean_deals if board == "deals" else c.clean_orders).ledger
+        ledger = (c.kept_deals if board == "deals" else c.kept_orders).ledger
         return ledger.filter(F.col("code") == code).select(
             "code", "severity", "affected_count", F.concat_ws(", ", "sample_identifiers").alias("samples"))
     return query
@@ -160,7 +160,7 @@ def snapshot_status(c: Context) -> DataFrame:
 
 
 def ledger_export(c: Context) -> DataFrame:
-    path = L.export_csv(c.clean_deals.ledger, c.scratch("ledger"))
+    path = L.export_csv(c.kept_deals.ledger, c.scratch("ledger"))
     return c.spark.read.option("header", True).csv(path).withColumn(
         "Affected Rows", F.col("Affected Rows").cast("long")).select(
         "DQ Code", "Rule Name", "Severity", "Affected Rows", "Resolution Strategy", "Sample Identifiers")
@@ -241,7 +241,7 @@ BOARD_QUERIES = {
     "nw7_dates": lambda c: c.clean_orders.rows.agg(*[F.count(d).alias(d) for d in C.ORDER_DATES]),
     "nw8_missing_delivery": _rule("orders", "DQ010"),
     "nw9_overdue": _rule("orders", "DQ011"),
-    "nw10_linkage_rules": lambda c: c.clean_orders.ledger.filter(F.col("code").isin("DQ015", "DQ016")).select(
+    "nw10_linkage_rules": lambda c: c.kept_orders.ledger.filter(F.col("code").isin("DQ015", "DQ016")).select(
         "code", "affected_count"),
     "nw10_client_code_ranges": lambda c: X.client_code_ranges(c.deals, c.orders),
     "nw11_execution_status": lambda c: c.clean_orders.rows.groupBy("execution_status").agg(
@@ -307,7 +307,7 @@ BOARD_QUERIES = {
     "a27_brief_table": lambda c: E.brief_table(E.brief_row(c.deals, c.orders, c.ledger, as_of=AS_OF)),
     "a29_metric_phrases": lambda c: E.explain_metrics(phrases(c, METRIC_PHRASES)).groupBy("phrase", "metric", "unit")
         .agg(F.count(F.lit(1)).alias("rows")),
-    "a33_quality_summary": lambda c: Q.quality_summary(c.clean_deals.rows, c.ledger),
+    "a33_quality_summary": lambda c: Q.quality_summary(c.kept_deals.rows, c.ledger),
     "a34_deals_profile": lambda c: Q.profile_deals(c.deals_sheet, c.clean_deals.rows),
     "a34_orders_profile": lambda c: Q.profile_orders(c.orders),
     "a34_value_counts": lambda c: Q.value_counts(c.deals, ["status", "closure_probability"]),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from salesloom.operators import deals as D
 from salesloom.operators import normalize as N
 from salesloom.plans.registry import Boards
-from salesloom.session import shared_folder
+from salesloom.session import shared_folder, stored
 from salesloom.sources import bridge
 
 AS_OF = bridge.AS_OF
@@ -46,9 +46,18 @@ class Context:
     def clean_orders(self) -> N.Normalized:
         return N.normalize_orders(self.orders_sheet, AS_OF)
 
+    @cached_property
+    def kept_deals(self) -> N.Normalized:
+        """The same with the clean rows written once, for queries that read them several times."""
+        return N.normalize_deals(self.deals_sheet, AS_OF, keep=stored)
+
+    @cached_property
+    def kept_orders(self) -> N.Normalized:
+        return N.normalize_orders(self.orders_sheet, AS_OF, keep=stored)
+
     @cached_property
     def ledger(self) -> DataFrame:
-        return N.full_ledger(self.clean_deals, self.clean_orders)
+        return stored(N.full_ledger(self.kept_deals, self.kept_orders), "ledger")  # a row per rule
 
     @property
     def boards(self) -> Boards:
