@@ -182,6 +182,42 @@ _LABELS = "lb AS (SELECT * FROM (VALUES " + ", ".join(
     f"[{', '.join(q(k + '=' + v) for k, v in r[5].items())}]::VARCHAR[])" for i, r in enumerate(QUESTIONS)) + \
     ") AS v(i, grp, etask, etool, eargs))"
 
+def _share(table: str, entity: str, value: str, word: str = "") -> str:
+    """Share of the largest entity in all positive value."""
+    held = f"SELECT {msum(value, f'{value} > 0 AND {entity} IS NOT NULL')} AS v FROM {table} GROUP BY {entity}"
+    return f"{word} sh AS (SELECT {pct('max(v)', 'sum(v)', 1)} AS share FROM ({held}))"
+
+
+def _receipt(tool: str, table: str, used: str, needed: str, entity: str, value: str, considered: str = "true", linked: bool = False,
+             counted: str | None = None) -> str:
+    return f"""SELECT '{tool}' AS tool_name, (SELECT {cnt(considered)} FROM {counted or table}) AS considered,
+      (SELECT {cnt(used)} FROM {counted or table}) AS used, (SELECT {cnt(f"{needed} IS NULL")} FROM {table}) AS missing_key_field,
+      (SELECT share FROM ({_share(table, entity, value)[len(" sh AS "):]})) AS single_entity_share_pct,
+      {"(SELECT match_rate_pct FROM link)" if linked else "CAST(NULL AS DOUBLE)"} AS cross_board_link_coverage_pct"""
+
+
+_ALL = [_receipt("pipeline_summary", "d", "status = 'Open'", "tentative_close_date", "client_id", "deal_value", "status = 'Open'"),
+        _receipt("win_loss_analysis", "d", "sector = 'Mining'", "close_date_actual", "client_id", "deal_value"),
+        _receipt("owner_performance", "d", "true", "owner_id", "owner_id", "deal_value"),
+        _receipt("compare_periods", "d", "tentative_close_date >= '1998-07-01' AND tentative_close_date < '1998-10-01'",
+                 "tentative_close_date", "client_id", "deal_value"),
+        _receipt("revenue_ladder", "w", "true", "po_date", "client_id", "amount_excl_gst"),
+        _receipt("receivables_summary", "w", "true", "client_id", "client_id", "receivable_amount"),
+        _receipt("workorder_health", "w", "true", "data_delivery_date", "owner_id", "amount_excl_gst"),
+        _receipt("sector_performance", "w", "true", "sector", "sector", "amount_excl_gst", linked=True),
+        _receipt("link_deals_to_orders", "w", "true", "join_key", "sector", "amount_excl_gst", linked=True, counted="d")]
+_RECEIPTS = BOTH + f""", link AS (SELECT {pct(cnt('hit'), 'count(*)')} AS match_rate_pct FROM
+    (SELECT join_key IN (SELECT join_key FROM w) AS hit FROM d)),
+  rc AS ({" UNION ALL ".join(_ALL)}),
+  rx AS (SELECT *, CAST(considered - used AS DOUBLE) / considered AS ex, CAST(missing_key_field AS DOUBLE) / considered AS mi FROM rc),
+  ry AS (SELECT *, concat_ws('; ', CASE WHEN ex > 0.5 THEN '>50% of candidate records excluded (' || printf('%.1f', round(ex * 100, 1)) || '%)' END,
+      CASE WHEN single_entity_share_pct > 50 THEN 'Single entity concentration exceeds 50% (' || printf('%.1f', single_entity_share_pct) || '%)' END,
+      CASE WHEN cross_board_link_coverage_pct < 50 THEN 'Cross-board linkage feasibility under 50% (' || printf('%.1f', round(cross_board_link_coverage_pct, 1)) || '%)' END) AS low,
+    CASE WHEN ex > 0.2 OR mi > 0.2 THEN 'Over 20% of records excluded or missing analytical fields' ELSE '' END AS medium FROM rx)
+  SELECT tool_name, considered, used, missing_key_field, single_entity_share_pct, cross_board_link_coverage_pct,
+    CASE WHEN low <> '' THEN 'low' WHEN medium <> '' THEN 'medium' ELSE 'high' END AS confidence,
+    CASE WHEN low <> '' THEN low ELSE medium END AS reasons FROM ry"""
+
 SQL = {
     "q1_policy_flags": f"WITH {UND} SELECT refused, out_of_scope, count(*) AS questions FROM und GROUP BY 1, 2",
     "q2_period": f"WITH {UND} SELECT session_id, turn, own_period FROM und",
@@ -197,9 +233,11 @@ SQL = {
     "r2_query_hash": "SELECT event_id, substr(sha256(event_type || 'SELECT 1' || coalesce(props, '')), 1, 16) AS query_hash FROM events",
     "r3_row_accounting": DEALS + """SELECT CASE WHEN status <> 'Open' THEN 'not open' WHEN deal_value <= 0 THEN 'no value' WHEN sector = 'Tender' THEN 'outlier'
       ELSE 'used' END AS outcome, count(*) AS rows FROM d GROUP BY 1""",
-    "r3_receipt": DEALS + f"""SELECT 'pipeline_summary' AS tool_name, substr(sha256('pipeline_summary' || 'open deals in Mining'), 1, 16) AS query_hash,
-      {cnt("status = 'Open'")} AS considered, {cnt("status = 'Open' AND sector = 'Mining'")} AS used, '1998-07-15' AS as_of_date,
-      CASE WHEN {cnt("status = 'Open' AND sector = 'Mining'")} < 0.5 * {cnt("status = 'Open'")} THEN 'low' ELSE 'other' END AS confidence FROM d""",
+    "r3_receipt": DEALS + f"""{_share("d", "client_id", "deal_value", "WITH").replace("WITH ", ", ", 1)}
+      SELECT 'pipeline_summary' AS tool_name, substr(sha256('pipeline_summary' || 'Open pipeline stands at [[F1]] across [[F2]], weighted [[F3]].' || 'sector=Mining'), 1, 16) AS query_hash,
+      {cnt("status = 'Open'")} AS considered, {cnt("status = 'Open' AND sector = 'Mining'")} AS used, (SELECT share FROM sh) AS single_entity_share_pct,
+      '1998-07-15' AS as_of_date, CASE WHEN {cnt("status = 'Open' AND sector = 'Mining'")} < 0.5 * {cnt("status = 'Open'")} THEN 'low' ELSE 'other' END AS confidence FROM d""",
+    "r3_receipts": _RECEIPTS,
     "r4_expectations": ORDERS + f", {_EXP} SELECT client_id, passed FROM ck",
     "r4_expectation_summary": ORDERS + f""", {_EXP} SELECT count(*) AS total, {cnt('passed')} AS passed, round(CAST(avg(duration_ms) AS DOUBLE), 2) AS avg_latency_ms,
       {pct(cnt('passed'), 'count(*)', 1)} AS pass_rate FROM ck""",

@@ -53,16 +53,41 @@ def row_accounting(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counted
 
 
-def receipt(row_counts: DataFrame, tool: str, statement: str, params: str | None, as_of) -> DataFrame:
-    """One audit row for a tool run, from its (considered, used) row."""
-    runs = row_counts.withColumns({
-        "missing_key_field": F.lit(0), "is_snapshot_stale": F.lit(False), "single_entity_share_pct": F.lit(0.0),
-        "cross_board_link_coverage_pct": F.lit(None).cast("double"), "verifier_fallback": F.lit(False)})
-    return confidence(runs).select(
+def concentration(rows: DataFrame, entity: str, value: str) -> DataFrame:
+    """single_entity_share_pct: what part of all positive value the largest entity holds, in one row.
+
+    Summed by entity first, so a hot entity is one row before it meets the others. Rows without an entity or a value hold
+    nothing; 0 where nothing is held.
+    """
+    held = F.when(F.col(entity).isNotNull() & (F.col(value) > 0), F.col(value)).cast("decimal(28,2)")
+    sums = rows.groupBy(entity).agg(F.sum(held).alias("_held"))
+    share = percent(F.max("_held").cast("double"), F.sum("_held").cast("double"), 1)
+    return sums.agg(F.coalesce(share, F.lit(0.0)).alias("single_entity_share_pct"))
+
+
+def receipt_inputs(counted: DataFrame, rows: DataFrame, entity: str, value: str, needed: Column, coverage: DataFrame | None = None,
+                   stale: bool = False, fallback: bool = False) -> DataFrame:
+    """What the confidence of a tool run rests on, in one row.
+
+    counted: (considered, used) of the run; rows: those it reads; needed: true where a row has the field the tool needs;
+    coverage: match_rate_pct of the boards, for tools that read both. All frames have one row.
+    """
+    missing = rows.agg(count_if(~F.coalesce(needed, F.lit(False))).alias("missing_key_field"))
+    link = (F.lit(None).cast("double") if coverage is None else F.col("match_rate_pct")).alias("cross_board_link_coverage_pct")
+    joined = counted.crossJoin(F.broadcast(missing)).crossJoin(F.broadcast(concentration(rows, entity, value)))
+    if coverage is not None:
+        joined = joined.crossJoin(F.broadcast(coverage.select("match_rate_pct")))
+    return joined.select("considered", "used", "missing_key_field", "single_entity_share_pct", link,
+                         F.lit(stale).alias("is_snapshot_stale"), F.lit(fallback).alias("verifier_fallback"))
+
+
+def receipt(inputs: DataFrame, tool: str, statement: str, params: str | None, as_of) -> DataFrame:
+    """One audit row for a tool run, from the row of `receipt_inputs`."""
+    return confidence(inputs).select(
         F.lit(tool).alias("tool_name"),
         query_hash(F.lit(tool), F.lit(statement), F.lit(params).cast("string")).alias("query_hash"),
-        "considered", "used", F.lit(str(as_of)).alias("as_of_date"), F.lit(True).alias("deterministic"),
-        "confidence", "confidence_reasons")
+        "considered", "used", "missing_key_field", "single_entity_share_pct", "cross_board_link_coverage_pct",
+        F.lit(str(as_of)).alias("as_of_date"), F.lit(True).alias("deterministic"), "confidence", "confidence_reasons")
 
 
 def check_expectations(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,8 +163,3 @@ def contract_violations(facts: DataFrame, durations: DataFrame | None = None, li
     if durations is not None:
         checked = checked.join(durations, "tool", "left").withColumn("too_slow", F.col("duration_ms") >= limit_ms)
     return checked.withColumn("ok", (F.col("facts") > 0) & (F.col("bad_facts") == 0))
-
-
-def recent_runs(runs: DataFrame, n: int) -> DataFrame:
-    """The newest n runs."""
-    return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(n)

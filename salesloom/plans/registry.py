@@ -10,7 +10,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from salesloom import contracts as C
-from salesloom.operators import deals, executive, orders, quality, sectors
+from salesloom.operators import audits, deals, executive, orders, quality, sectors
 from salesloom.operators.results import ToolResult, as_facts, fact
 
 
@@ -62,6 +62,20 @@ TOOLS: dict[str, Callable[..., ToolResult]] = {
     "list_capabilities": list_capabilities,
     "resolve_period": executive.resolve_period,
 }
+# By tool: the board it reads, whose share of what is measured, and the column it cannot do without; the last tools
+# read both boards, so how far they overlap counts too.
+RECEIPT_RULES = {
+    "pipeline_summary": ("deals", "client_id", "deal_value", "tentative_close_date"),
+    "win_loss_analysis": ("deals", "client_id", "deal_value", "close_date_actual"),
+    "owner_performance": ("deals", "owner_id", "deal_value", "owner_id"),
+    "compare_periods": ("deals", "client_id", "deal_value", "tentative_close_date"),
+    "revenue_ladder": ("orders", "client_id", "amount_excl_gst", "po_date"),
+    "receivables_summary": ("orders", "client_id", "receivable_amount", "client_id"),
+    "workorder_health": ("orders", "owner_id", "amount_excl_gst", "data_delivery_date"),
+    "sector_performance": ("orders", "sector", "amount_excl_gst", "sector"),
+    "link_deals_to_orders": ("orders", "sector", "amount_excl_gst", "join_key"),
+}
+BOTH_BOARDS = ("sector_performance", "link_deals_to_orders")
 # Parameters the boards provide; all others come from the caller.
 BOARD_PARAMETERS = ["deals", "orders", "ledger", "as_of", "spark"]
 
@@ -87,3 +101,14 @@ def run(name: str, boards: Boards, **arguments) -> ToolResult:
     result = TOOLS[name](**{k: v for k, v in provided.items() if k in wanted}, **given)
     result.tool = name
     return result
+
+
+def receipt(name: str, boards: Boards, stale: bool = False, fallback: bool = False, **arguments) -> DataFrame:
+    """The audit row of a tool run with these arguments; its confidence comes from the boards themselves."""
+    board, entity, value, needed = RECEIPT_RULES[name]
+    result = run(name, boards, **arguments)
+    coverage = sectors.linkage_measure(boards.deals, boards.orders) if name in BOTH_BOARDS else None
+    inputs = audits.receipt_inputs(result.accounting, getattr(boards, board), entity, value, F.col(needed).isNotNull(),
+                                   coverage, stale, fallback)
+    told = ",".join(f"{k}={v}" for k, v in sorted(arguments.items())) or None
+    return audits.receipt(inputs, name, result.template, told, boards.as_of)

@@ -15,7 +15,7 @@ from salesloom.operators import questions as QU
 from salesloom.operators import verification as V
 from salesloom.plans.context import AS_OF, Context
 from salesloom.plans.labelled import QUESTIONS
-from salesloom.plans.registry import run
+from salesloom.plans.registry import RECEIPT_RULES, receipt, run
 from salesloom.streaming import admission, carryover, drain, rollups
 
 NOW = dt.datetime(2024, 1, 31, 0, 0, 0)
@@ -266,10 +266,20 @@ def owner_accounting(c: Context) -> DataFrame:
         "outlier": F.col("sector") == C.OUTLIER_SECTOR})
 
 
-def receipt(c: Context) -> DataFrame:
-    counted = run("pipeline_summary", c.boards, sector="Mining").accounting
-    return A.receipt(counted, "pipeline_summary", "open deals in Mining", None, AS_OF).select(
-        "tool_name", "query_hash", "considered", "used", "as_of_date", "confidence")
+def receipt_row(c: Context) -> DataFrame:
+    return receipt("pipeline_summary", c.boards, sector="Mining").select(
+        "tool_name", "query_hash", "considered", "used", "single_entity_share_pct", "as_of_date", "confidence")
+
+
+def receipts(c: Context) -> DataFrame:
+    """The receipt of every tool that keeps account of its rows."""
+    every = None
+    for tool in RECEIPT_RULES:
+        one = receipt(tool, c.boards, sector="Mining") if tool == "win_loss_analysis" else receipt(tool, c.boards)
+        one = one.select("tool_name", "considered", "used", "missing_key_field", "single_entity_share_pct",
+                         "cross_board_link_coverage_pct", "confidence", F.array_join("confidence_reasons", "; ").alias("reasons"))
+        every = one if every is None else every.unionByName(one)
+    return every
 
 
 TEXT_QUERIES = {
@@ -290,7 +300,8 @@ TEXT_QUERIES = {
     "r2_query_hash": lambda c: c.t.events.select("event_id", A.query_hash(
         F.col("event_type"), F.lit("SELECT 1"), F.col("props")).alias("query_hash")),
     "r3_row_accounting": owner_accounting,
-    "r3_receipt": receipt,
+    "r3_receipt": receipt_row,
+    "r3_receipts": receipts,
     "r4_expectations": lambda c: expectations(c).select("client_id", "passed"),
     "r4_expectation_summary": lambda c: A.expectation_summary(expectations(c)),
     "r5_answer_audit": lambda c: A.answer_audit(answer_log(c)),
