@@ -45,9 +45,12 @@ RULES = (
 )
 
 
-def base_counts(text: Column, found: Column) -> dict[str, Column]:
-    """Counts of one text; found: its words."""
-    lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
+def lines_with_words(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
+
+
+def base_counts(text: Column, found: Column, lines: Column) -> dict[str, Column]:
+    """Counts of one text; found: its words; lines: those with a word."""
     return {
         "n_words": F.size(found).cast("long"),
         "word_chars": F.length(F.array_join(found, "")).cast("long"),
@@ -89,21 +92,20 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: dict[st
     A null text counts as empty: no words, base_failed. Rules whose whole is 0 are passed. Columns of docs that bear the
     name of a computed one are replaced. No row is added, dropped or moved; an empty table gives an empty one.
 
-    The counts come out of a generator, so no filter on them is pushed to where the text is split, and each text is split
-    once whatever is asked of the result.
+    Words and lines are columns of their own, and the counts come out of a generator, so no filter on them is pushed to
+    where the text is split, and each text is split once whatever is asked of the result.
     """
     stops = F.array(*[F.lit(w) for w in sorted({w for line in stop_words.values() for w in line.split()})])
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))
     found = F.col("_words")
-    pairs = F.zip_with(found, F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), lambda x, y: x == y)
-    counts = base_counts(F.col("_text"), found) | {
+    counts = base_counts(F.col("_text"), found, F.col("_lines")) | {
         "n_stop_words": F.size(F.filter(found, lambda w: F.array_contains(stops, bare(w)))).cast("long"),
-        "n_stuttered": F.size(F.filter(pairs, lambda same: same)).cast("long"),
+        "n_stuttered": F.size(F.filter(found, lambda w, i: w == F.get(found, i - 1))).cast("long"),
         "n_shouted": F.size(F.filter(found, lambda w: w.endswith("!!"))).cast("long"),
     }
     kept = [c for c in docs.columns if c not in counts]
-    split = docs.select(*kept, text.alias("_text"), words(text).alias("_words"))
+    split = docs.select(*kept, text.alias("_text"), words(text).alias("_words"), lines_with_words(text).alias("_lines"))
     out = split.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in counts.items()]))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, **{f"rule_{r.name}": passed(r) for r in rules}})
