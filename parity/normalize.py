@@ -302,7 +302,8 @@ SQL = {
       SELECT 'closure_probability', closure_probability, count(*) FROM d GROUP BY 2""",
     "a34_null_counts": DIRTY + " UNION ALL ".join(
         f"""SELECT '{t}' AS column_name, count(*) - count("{t}") AS nulls FROM sheet""" for t in TITLES),
-    "o4_entity_names": BOTH + """SELECT DISTINCT client_id FROM (SELECT client_id FROM d UNION ALL SELECT client_id FROM w) WHERE client_id IS NOT NULL""",
+    "o4_entity_names": BOTH + """SELECT DISTINCT kind, name FROM (SELECT unnest(['owner', 'client', 'deal']) AS kind, unnest([owner_id, client_id, deal_alias]) AS name FROM d
+      UNION ALL SELECT unnest(['owner', 'client', 'deal']), unnest([owner_id, client_id, deal_alias]) FROM w) WHERE name IS NOT NULL""",
     "o6_intersect_except": BOTH + """, a AS (SELECT DISTINCT owner_id FROM d WHERE owner_id IS NOT NULL), b AS (SELECT DISTINCT owner_id FROM w)
       SELECT 'both' AS set, count(*) AS owners FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL
       SELECT 'deals only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",

@@ -259,6 +259,9 @@ SQL = {
       SELECT entity, t AS entity_type, number, {_tok('t', 'number')} AS token FROM num""",
     "t3_tokenized_columns": BOTH + f""", {CAT} SELECT a.token AS deal_alias, b.token AS client_id, c.token AS owner_id, d.status FROM d
       LEFT JOIN cat a ON a.entity = d.deal_alias LEFT JOIN cat b ON b.entity = d.client_id LEFT JOIN cat c ON c.entity = d.owner_id""",
+    "t3_tokenized_table": BOTH + f""", {CAT} SELECT a.token AS deal_alias, b.token AS client_id, c.token AS owner_id, 'Call ' || coalesce(c.token, 'nobody') ||
+        ', then ' || coalesce(b.token, 'nobody') || ' about ' || a.token || '!' AS note, d.status, d.deal_value FROM d
+      LEFT JOIN cat a ON a.entity = d.deal_alias LEFT JOIN cat b ON b.entity = d.client_id LEFT JOIN cat c ON c.entity = d.owner_id""",
     "t4_tokenized_text": f"WITH {NTEXT} SELECT doc_id, md5({_nm}) AS text_md5 FROM ntext",
     "t5_rehydrated_text": f"WITH {BTEXT} SELECT doc_id, md5(text) AS text_md5 FROM btext",
     "t5_rehydrated_columns": DEALS + "SELECT deal_alias, client_id, owner_id, status FROM d",

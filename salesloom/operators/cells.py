@@ -9,22 +9,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: One byte each: what the driver gets and every task holds is a megabyte, however many keys there are.
-CELLS = 1 << 20
+#: One byte each, and part of the plan: so much the driver gets and every task holds, however many keys there are.
+CELLS = 1 << 16
 
 
-def cell(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(CELLS)).cast("int")
+class Cells:
+    """The cells of the keys of all rows. At most `size` rows come to the driver."""
 
+    def __init__(self, rows: DataFrame, *keys: Column, size: int = CELLS):
+        self.size = size
+        found = bytearray(size)
+        for r in rows.select(self.cell(*keys).alias("cell")).distinct().collect():
+            found[r["cell"]] = 1
+        self.bytes = F.lit(bytes(found))
 
-def cells_of(rows: DataFrame, *keys: Column) -> Column:
-    """The cells of the keys of all rows, as a constant. At most CELLS rows come to the driver."""
-    found = bytearray(CELLS)
-    for r in rows.select(cell(*keys).alias("cell")).distinct().collect():
-        found[r["cell"]] = 1
-    return F.lit(bytes(found))
+    def cell(self, *keys: Column) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.size)).cast("int")
 
-
-def may_hold(cells: Column, *keys: Column) -> Column:
-    """False only for keys that are not in the set."""
-    return F.substring(cells, cell(*keys) + 1, F.lit(1)) == F.lit(b"\x01")
+    def may_hold(self, *keys: Column) -> Column:
+        """False only for keys that are not in the set."""
+        return F.substring(self.bytes, self.cell(*keys) + 1, F.lit(1)) == F.lit(b"\x01")

@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from salesloom import contracts as C
 from salesloom.functions.scalars import contains_any, strip
-from salesloom.operators.cells import cells_of, may_hold
+from salesloom.operators.cells import Cells
 from salesloom.operators.numbering import number_within
 from salesloom.session import stored
 
@@ -96,16 +96,43 @@ def minted_catalog(df: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def tokenize_columns(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Replace the name columns by tokens. Names missing from the catalogue get the tokens of `minted_catalog`."""
-    catalog = minted_catalog(df, catalog)
-    for c in [c for c in df.columns if kind_of_column(c)]:
-        lookup = catalog.select(F.col("entity").alias("_entity"), F.col("token").alias("_token"))
+    """Replace the name columns by tokens. Names missing from the catalogue get the tokens of `minted_catalog`.
+
+    The names that occur meet the catalogue once, each of them once; a column of few names is then a small table, which
+    Spark broadcasts by its size, and only long columns are shuffled.
+    """
+    columns = [c for c in df.columns if kind_of_column(c)]
+    if not columns:
+        return df
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), strip(F.col(c).cast("string")).alias("entity")) for c in columns]))
+    names = df.select(cells).filter("entity IS NOT NULL AND entity != ''").distinct()
+    known = names.join(minted_catalog(df, catalog).select("entity", "token"), "entity")
+    tokens = stored(known.select("entity", "token", "_column"), "name-tokens", ["_column"])
+    for c in columns:
+        lookup = tokens.filter(F.col("_column") == c).select(F.col("entity").alias("_entity"), F.col("token").alias("_token"))
         masked = F.when(F.coalesce(F.col(c), F.lit("")) == "", F.col(c)).otherwise(F.col("_token"))
-        df = df.join(lookup, strip(F.col(c)) == F.col("_entity"), "left").withColumn(c, masked).drop(
-            "_entity", "_token")
+        df = df.join(lookup, strip(F.col(c)) == F.col("_entity"), "left").withColumn(c, masked).drop("_entity", "_token")
     return df
 
 
+def tokenize_table(df: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Name columns as `tokenize_columns` does it, and names inside the texts of all other text columns.
+
+    All texts of all columns are masked in one pass, each under its row and column.
+    """
+    columns = [c for c, t in df.dtypes if t == "string" and not kind_of_column(c)]
+    named = stored(tokenize_columns(df, catalog).withColumn("_row", F.monotonically_increasing_id()), "named-rows")
+    if not columns:
+        return named.drop("_row")
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("_column"), F.col(c).alias("text")) for i, c in enumerate(columns)]))
+    texts = named.select("_row", cells).filter("text IS NOT NULL").withColumn("_cell", F.struct("_row", "_column"))
+    masked = tokenize_text(texts.select("_cell", "text"), minted_catalog(df, catalog), "text", "_cell")
+    wide = masked.groupBy(F.col("_cell._row").alias("_at")).agg(
+        *[F.max(F.when(F.col("_cell._column") == i, F.col("text"))).alias(f"_t{i}") for i in range(len(columns))])
+    met = named.join(wide, F.col("_row") == F.col("_at"), "left")
+    return met.select(*[F.col(f"_t{columns.index(c)}").alias(c) if c in columns else c for c in df.columns])
+
+
 def rehydrate_columns(df: DataFrame, catalog: DataFrame) -> DataFrame:
     for c in [c for c in df.columns if kind_of_column(c)]:
         lookup = catalog.select(F.col("token").alias("_token"), F.col("entity").alias("_entity"))
@@ -146,7 +173,7 @@ def candidates(texts: DataFrame, keys: DataFrame, text: str, id: str) -> DataFra
     """(id, key, at, size, gram, raw, before, after) of the word runs that may be names: their first word and their length
     go together in some name. Nothing else is exploded. at and size count pieces; key: hash of the text."""
     first = F.get(pieces(F.col("gram")), 0)
-    cells = cells_of(keys, first, F.col("words"))
+    cells = Cells(keys, first, F.col("words"))
     lengths = sorted(r["words"] for r in keys.select("words").distinct().collect())
     cut = texts.select(F.col(id), F.xxhash64(text).alias("key"), pieces(F.col(text)).alias("_p"))
     p, start = F.col("_p"), F.when(F.get("_p", 0).rlike(STARTS_WITH_WORD), 0).otherwise(1)
@@ -154,7 +181,7 @@ def candidates(texts: DataFrame, keys: DataFrame, text: str, id: str) -> DataFra
     def runs(k: int) -> Column:
         last = F.size(p) - (2 * k - 1)
         starts = F.when(last >= start, F.sequence(start, last, F.lit(2))).otherwise(F.array().cast("array<int>"))
-        likely = F.filter(starts, lambda at: may_hold(cells, F.lower(F.get(p, at)), F.lit(k)))
+        likely = F.filter(starts, lambda at: cells.may_hold(F.lower(F.get(p, at)), F.lit(k)))
         return F.transform(likely, lambda at: F.struct(
             at.alias("at"), F.lit(2 * k - 1).alias("size"), F.array_join(F.slice(p, at + 1, F.lit(2 * k - 1)), "").alias("raw"),
             F.coalesce(F.get(p, at - 1), F.lit("")).alias("before"), F.coalesce(F.get(p, at + 2 * k - 1), F.lit("")).alias("after")))
@@ -254,7 +281,7 @@ def _with_word_names(texts: DataFrame, keys: DataFrame, text: str, id: str) -> D
 def _with_mark_names(texts: DataFrame, names: DataFrame, text: str, id: str) -> DataFrame:
     """Names made of punctuation alone. Such a name lies within one run of other than word characters."""
     lengths = sorted(r["n"] for r in names.select(F.length("entity").alias("n")).distinct().collect())
-    cells = cells_of(names, F.col("entity"))
+    cells = Cells(names, F.col("entity"))
     cut = texts.select(F.col(id), F.xxhash64(text).alias("key"), F.posexplode(pieces(F.col(text))).alias("piece", "run"))
     cut = cut.filter(~F.col("run").rlike(STARTS_WITH_WORD))
 
@@ -262,7 +289,7 @@ def _with_mark_names(texts: DataFrame, names: DataFrame, text: str, id: str) ->
         last = F.length("run") - n + 1
         at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         here = lambda i: F.substring(F.col("run"), i, F.lit(n))
-        return F.transform(F.filter(at, lambda i: may_hold(cells, here(i))), lambda i: F.struct(
+        return F.transform(F.filter(at, lambda i: cells.may_hold(here(i))), lambda i: F.struct(
             i.alias("at"), F.lit(n).alias("size"), here(i).alias("entity")))
 
     found = cut.select(id, "key", "piece", "run", F.inline(F.concat(*[spots(n) for n in lengths])))
@@ -297,6 +324,10 @@ def rehydrate_text(texts: DataFrame, catalog: DataFrame, text: str = "text", id:
 
 # ---------------------------------------------------------------- leaks
 
+#: Cells for the character runs of names, of which there are more than of first words.
+GRAM_CELLS = 1 << 18
+
+
 def quads(text: Column) -> Column:
     """All runs of four characters, overlapping, in one pass over the text."""
     return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{C.MIN_LEAK_LENGTH}}}))"), F.lit(1))
@@ -314,8 +345,8 @@ def leaks(texts: DataFrame, catalog: DataFrame, text: str = "text", id: str = "d
     low = texts.filter(F.col(text).isNotNull()).select(F.col(id), F.xxhash64(text).alias("key"), F.lower(text).alias("low"))
 
     def with_grams(wanted: DataFrame) -> DataFrame:
-        cells = cells_of(wanted, F.col("gram"))
-        likely = F.filter(quads(F.col("low")), lambda g: may_hold(cells, g))
+        cells = Cells(wanted, F.col("gram"), size=GRAM_CELLS)
+        likely = F.filter(quads(F.col("low")), lambda g: cells.may_hold(g))
         return low.select(id, "key", F.explode(F.array_distinct(likely)).alias("gram"))
 
     held = with_grams(grams).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))

@@ -318,9 +318,10 @@ BOARD_QUERIES = {
 
 
 def _entities(c: Context) -> DataFrame:
-    """Distinct client names of both boards."""
-    names = lambda df: df.select("client_id").filter("client_id IS NOT NULL")
-    return names(c.deals).union(names(c.orders)).distinct()
+    """Distinct owners, clients and deals of both boards."""
+    kinds = {"owner": "owner_id", "client": "client_id", "deal": "deal_alias"}
+    cells = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name")) for kind, name in kinds.items()]))
+    return c.deals.select(cells).union(c.orders.select(cells)).filter("name IS NOT NULL").distinct()
 
 
 def _set_sizes(c: Context) -> DataFrame:

@@ -193,6 +193,13 @@ def tokenized_deals(c: Context) -> DataFrame:
     return T.tokenize_columns(c.deals.select("deal_alias", "client_id", "owner_id", "status"), board_catalog(c))
 
 
+def tokenized_table(c: Context) -> DataFrame:
+    """Names in columns, and the same names within notes."""
+    note = F.concat(F.lit("Call "), F.coalesce("owner_id", F.lit("nobody")), F.lit(", then "), F.coalesce("client_id", F.lit("nobody")),
+                    F.lit(" about "), "deal_alias", F.lit("!"))
+    return T.tokenize_table(c.deals.select("deal_alias", "client_id", "owner_id", note.alias("note"), "status", "deal_value"), board_catalog(c))
+
+
 def rehydrated_deals(c: Context) -> DataFrame:
     catalog = board_catalog(c)
     masked = T.tokenize_columns(c.deals.select("deal_alias", "client_id", "owner_id", "status"), catalog)
@@ -314,6 +321,7 @@ TEXT_QUERIES = {
     "t1_catalog": board_catalog,
     "t2_minted_tokens": lambda c: T.mint(board_catalog(c), new_names(c)),
     "t3_tokenized_columns": tokenized_deals,
+    "t3_tokenized_table": tokenized_table,
     "t4_tokenized_text": lambda c: T.tokenize_text(nation_texts(c), nation_catalog(c)).select(
         "doc_id", F.md5("text").alias("text_md5")),
     "t5_rehydrated_text": roundtrip,

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from salesloom import contracts as C
 from salesloom.operators import privacy as T
@@ -82,3 +83,13 @@ def test_few_names_explode_few_runs(spark, catalog):
     texts = frame(spark, [" ".join(random.Random(i).choice(words) for _ in range(400)) + " Acme" for i in range(50)])
     runs = T.candidates(texts, T.search_keys(catalog, C.MIN_MASKED_LENGTH), "text", "doc_id").count()
     assert 50 <= runs < 50 * 40
+
+
+def test_names_in_notes_of_a_table(spark, catalog):
+    token = {r["entity"]: r["token"] for r in catalog.collect()}
+    rows = [("Acme", "Bond", "Acme called Bond Street", "x"), ("New Co", None, None, "about New Co"), ("New Co", None, None, "about New Co")]
+    table = spark.createDataFrame(rows, "client_id string, owner_id string, note string, other string").withColumn("n", F.lit(1))
+    got = T.tokenize_table(table, catalog)
+    minted = {r["entity"]: r["token"] for r in T.minted_catalog(table, catalog).collect()}["New Co"]
+    want = [(token["Acme"], token["Bond"], f"{token['Acme']} called {token['Bond Street']}", "x", 1)] + [(minted, None, None, f"about {minted}", 1)] * 2
+    assert got.columns == table.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
