@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from salesloom.llm.frames import lookup_hot
@@ -117,8 +117,12 @@ def frequent_tokens(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> np
     return np.union1d(first, most_frequent(docs, behind, often, most - len(first)))
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, id (fingerprint of the set), size (negative: not rare tokens only) and sigs of every row; written once."""
+    """doc_id, text_key (hash of the text), id (fingerprint of the set), size (negative: not rare tokens only) and sigs of every row; written once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,8 +136,10 @@ def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                              -len(tokens), sigs.view(np.int64)))
             out = pd.DataFrame(rows, columns=["id", "size", "sigs"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(1, "text_key", batch["text_key"].to_numpy())
             yield out
-    return stored(docs.select("doc_id", "text").mapInPandas(run, "doc_id long, id long, size int, sigs array<long>"),
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    return stored(keyed.mapInPandas(run, "doc_id long, text_key long, id long, size int, sigs array<long>"),
                   "shingle-profiles")
 
 
@@ -175,7 +181,7 @@ def alike(pairs: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+    """doc_id, n_shingles, component_id and text_key, a hash of the text, of every row.
 
     Two documents are linked when their sets' Jaccard coefficient is 0.75 or more; component_id is the smallest doc_id
     that links reach. A null or empty text, or one without words, has no shingles and is linked with nothing; with fewer
@@ -197,7 +203,7 @@ def similar(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> DataFrame:
     whole = stored(whole, "class-groups")
     least = stored(whole.groupBy("comp").agg(F.min("first").alias("component_id")), "group-ids")
     named = stored(whole.join(least, "comp").select("id", "component_id", "rows"), "named-classes")
-    found = lookup_hot(rows.filter("size != 0").select("doc_id", "id", "size"), named, "id", "rows", rows.count())
-    alone = rows.filter("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
-    out = found.select("doc_id", "size", "component_id").unionByName(alone)
-    return out.select("doc_id", F.abs("size").cast("long").alias("n_shingles"), "component_id")
+    found = lookup_hot(rows.filter("size != 0").select("doc_id", "text_key", "id", "size"), named, "id", "rows", rows.count())
+    alone = rows.filter("size = 0").select("doc_id", "text_key", "size", F.col("doc_id").alias("component_id"))
+    out = found.select("doc_id", "text_key", "size", "component_id").unionByName(alone)
+    return out.select("doc_id", F.abs("size").cast("long").alias("n_shingles"), "component_id", "text_key")

@@ -21,6 +21,9 @@ FEATURES = 1 << 15
 UNDETERMINED = "und"
 #: A second codeword with more than this share of the best one's weight makes a text ambiguous.
 RIVAL = 0.5
+#: A text fits no learned language if it agrees with its codeword less than this share of what all but a few (in a
+#: thousand) of the training rows do.
+FLOOR_SHARE, FEW = 0.5, 1
 #: Bytes looked at in one step; a longer text takes more steps.
 STEP = 1 << 18
 
@@ -68,6 +71,7 @@ class Model:
     weights: np.ndarray  # trigram x bit
     scale: np.ndarray    # a bit's usual margin
     trust: np.ndarray    # a bit's share in the loss
+    floor: float = 0.0   # texts that agree less with their language's codeword fit no learned language
 
     def margins(self, text: str) -> np.ndarray:
         total, n = np.zeros(self.weights.shape[1]), 0
@@ -76,6 +80,12 @@ class Model:
             n += len(found)
         return total / max(n, 1)
 
+    def agreement(self, margins: np.ndarray, place: int) -> float:
+        """How far the bits' margins go the way of a language's codeword; about 1 for usual texts of the language."""
+        if not self.codes.shape[1]:
+            return 1.0
+        return float((self.trust * np.clip(self.codes[place] * (margins / self.scale), -1, 1)).sum() / self.trust.sum())
+
     def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
         """Language, its share of the weight of all, and whether a second one comes near."""
         loss = (self.trust * np.logaddexp(0, -4 * self.codes * (margins / self.scale))).sum(1)
@@ -144,23 +154,38 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         trust = np.maximum(np.log(sure / (1 - sure)), 0.01)
         model.trust = trust / trust.sum() * 4
         model.scale = np.maximum(seen["size"].to_numpy() / np.maximum(seen["rows"].to_numpy(), 1), 1e-6)
+
+        def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"a": [model.agreement(model.margins(t), place[lang]) for t, lang in zip(batch["text"], batch["lang"])]})
+
+        low = drawn.mapInPandas(agree, "a double").agg(F.percentile_approx("a", FEW / 1000, 100_000)).first()[0]
+        model.floor = max(0.0, FLOOR_SHARE * (low or 0.0))
     return model
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and ambiguous; columns of docs by these names are replaced.
+    """docs with lang_pred, score (0 to 1), ambiguous and fits; columns of docs by these names are replaced.
+
+    fits is false for a text that agrees with the codeword of its language far less than texts it was learned from do, and
+    for one that is `und`.
 
     A text that is null or has no letter is `und` with score 0, as is any text if no language was learned. Only the
     text is looked at, all of it, where it lies: no shuffle. Other columns pass through, null or not; repeated rows are
     judged alike; an empty table gives an empty one.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous", "fits")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    def judged(m: Model, text: str) -> tuple[str, float, bool, bool]:
+        if not m.languages or not has_letter(text):
+            return UNDETERMINED, 0.0, False, False
+        margins = m.margins(text)
+        lang, score, ambiguous = m.decode(margins)
+        return lang, score, ambiguous, m.agreement(margins, m.languages.index(lang)) >= m.floor
+
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean, fits boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        rows = [m.decode(m.margins(t)) if m.languages and has_letter(t) else (UNDETERMINED, 0.0, False) for t in texts]
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "ambiguous"])
+        return pd.DataFrame([judged(shared.value, t) for t in texts], columns=["lang_pred", "score", "ambiguous", "fits"])
 
     return docs.select(*kept, judge("text").alias("_judged")).select(*kept, "_judged.*")

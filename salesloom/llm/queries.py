@@ -60,7 +60,7 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.similar(table(spark, folder, "documents"))
+    return jaccard_join.similar(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:

@@ -218,6 +218,18 @@ def test_language(docs, none, spark):
     assert {r.lang_pred for r in language_id.identified(docs, nothing).collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_do_not_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    assert model.floor > 0
+    kept = language_id.identified(docs, model).agg(F.avg(F.col("fits").cast("int"))).first()[0]
+    assert kept > 0.995
+    r = random.Random(3)
+    foreign = ["".join(r.choice("бвгджзклмнпрст аеиоу") for _ in range(400)), "漢字仮名交じり文 " * 40, "zxqj vkzq wqxz jkqv " * 40]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    assert [r.fits for r in language_id.identified(odd, model).collect()] == [False] * 3
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.identified(docs, language_id.fit(docs)).filter(language_id.held_out(F.col("doc_id")))
@@ -419,9 +431,29 @@ def test_pipeline(spark, docs, tmp_path):
     good = {r.doc_id for r in quality_rules.judged(docs).filter("kept").collect()}
     assert {r.doc_id for r in kept.collect()} == good and kept.columns == base.columns
     lang = stages["language"](spark, kept, str(tmp_path))
-    assert {r.doc_id for r in lang.collect()} == good and lang.columns == base.columns
+    assert {r.doc_id for r in lang.collect()} <= good and lang.columns == base.columns
+    unlabelled = kept.withColumn("lang", F.lit(None).cast("string"))
+    assert stages["language"](spark, unlabelled, str(tmp_path)).count() == kept.count()
     packed = corpus_pipeline.run(spark, str(tmp_path))
     out = packed.collect()
     found = {r.doc_id for r in out}
     assert found <= good and 100 in found and not {2, 18} & found
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns)
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Repeated ids with unlike texts, nulls everywhere, ties, more columns, nothing at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, score int"
+    one, other = prose(1, 80), prose(2, 80)
+    rows = [(1, one, "en", "a", 1, "k", 0), (2, one, "en", "a", 1, "k", 0), (2, other, "en", None, None, None, None), (2, other, "en", None, None, None, None),
+            (None, prose(3, 70), None, None, None, None, None), (None, None, None, None, None, None, None), (4, "", "en", "b", 0, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted([(r.doc_id, r.text) for r in got], key=repr) == sorted(
+        [(1, one), (2, other), (2, other), (None, rows[4][1]), (None, None), (4, "")], key=repr)
+    none = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, none):
+            out = stage(spark, table, "")
+            assert out.count() >= 0 and (name == "packing" or out.columns == corpus_pipeline.COLUMNS)
+        assert stage(spark, none, "").count() == 0
