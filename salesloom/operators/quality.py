@@ -108,27 +108,28 @@ def debt_records(deals: DataFrame, orders: DataFrame) -> DataFrame:
     """Every record that needs repair, by three rules."""
     amount = F.format_number(S.money(F.col("amount_excl_gst")), 2)
 
-    def of_orders(cond: Column, prefix: str, key: Column, category: str, text: Column, action: str) -> DataFrame:
-        return orders.filter(cond).select(
-            F.concat(F.lit(prefix), key).alias("id"), F.lit("work_order").alias("type"),
+    def debt(cond: Column, prefix: str, category: str, text: Column, action: str) -> Column:
+        return F.when(cond, F.struct(
+            F.concat(F.lit(prefix), serial).alias("id"), F.lit("work_order").alias("type"),
             F.col("deal_alias").alias("entity_name"), F.col("owner_id").alias("owner"), "sector",
             F.lit(category).alias("issue_category"), F.lit("High").alias("severity"), text.alias("description"),
-            F.lit(action).alias("recommended_action"))
+            F.lit(action).alias("recommended_action")))
 
     serial = F.coalesce("serial_no", "deal_alias")
-    update = of_orders(F.col("billing_status") == "Update Required", "WO-", serial, "Billing Status 'Update Required'",
-                       F.concat(F.lit("Order "), serial, F.lit(" needs a billing update. Contracted: ₹"), amount),
-                       "Check the deliverables with operations and raise the pending invoice")
-    unbilled = of_orders(P.is_completed_unbilled(), "WO-UNBILLED-", serial, "Unbilled Completed Project",
-                         F.concat(F.lit("Completed, but ₹"), amount, F.lit(" is not billed")),
-                         "Raise the tax invoice")
+    update = debt(F.col("billing_status") == "Update Required", "WO-", "Billing Status 'Update Required'",
+                  F.concat(F.lit("Order "), serial, F.lit(" needs a billing update. Contracted: ₹"), amount),
+                  "Check the deliverables with operations and raise the pending invoice")
+    unbilled = debt(P.is_completed_unbilled(), "WO-UNBILLED-", "Unbilled Completed Project",
+                    F.concat(F.lit("Completed, but ₹"), amount, F.lit(" is not billed")), "Raise the tax invoice")
+    # Both rules in one pass over the orders: an order may need either, both or neither.
+    of_orders = orders.select(F.inline(F.array_compact(F.array(update, unbilled))))
     zero = deals.filter((F.coalesce("deal_value", F.lit(0.0)) == 0) & F.expr(D.IS_OPEN)).select(
         F.concat(F.lit("DEAL-ZERO-"), "deal_alias").alias("id"), F.lit("deal").alias("type"),
         F.col("deal_alias").alias("entity_name"), F.col("owner_id").alias("owner"), "sector",
         F.lit("Missing Deal Value in Pipeline").alias("issue_category"), F.lit("Medium").alias("severity"),
         F.concat(F.lit("Open deal in stage '"), "deal_stage", F.lit("' has no value")).alias("description"),
         F.lit("Add an estimated value").alias("recommended_action"))
-    return update.unionByName(unbilled).unionByName(zero)
+    return of_orders.unionByName(zero)
 
 
 def debt_severity(records: DataFrame) -> DataFrame:

@@ -24,13 +24,13 @@ PAGE = T.StructType([
             T.StructField("items", T.ArrayType(ITEM)),
         ])),
     ]))),
-    T.StructField("page", T.IntegerType()),
+    T.StructField("page", T.LongType()),
 ])
 PAGE_SIZE = 500
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Captured pages, in folders page=1, page=2, ..."""
+    """Captured pages, many to a file, each with its number; or one to a folder page=1, page=2, ... that tells it."""
     return spark.read.schema(PAGE).json(path)
 
 
@@ -94,10 +94,10 @@ def write_pages(rows: DataFrame, page, name_title: str, path: str) -> str:
         .alias("value"), F.lit("text").alias("type"), F.struct(F.lit(c).alias("title")).alias("column"))
     item = F.struct(F.col(f"`{name_title}`").alias("id"), F.col(f"`{name_title}`").alias("name"),
                     F.array(*[cell(c) for c in others]).alias("column_values"))
-    paged = rows.select(page.cast("int").alias("page"), item.alias("item")).groupBy("page").agg(
+    paged = rows.select(page.cast("long").alias("page"), item.alias("item")).groupBy("page").agg(
         F.collect_list("item").alias("items"))
     cursor = F.concat(F.lit("next-"), (F.col("page") + 1).cast("string"))
     board = F.array(F.struct(F.lit("1").alias("id"), F.lit("board").alias("name"),
                              F.struct(cursor.alias("cursor"), F.col("items")).alias("items_page")))
-    paged.select("page", board.alias("boards")).write.mode("overwrite").partitionBy("page").json(path)
+    paged.select("page", board.alias("boards")).write.mode("overwrite").json(path)
     return path

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from salesloom import contracts as C
 from salesloom.functions.scalars import moment, money
 
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 MANIFEST = "snapshot_id long, synced_at timestamp_ntz, deals_count long, work_orders_count long, checksum string"
 
 
@@ -28,7 +29,13 @@ def checksum(deals: DataFrame, orders: DataFrame) -> DataFrame:
 def write(spark: SparkSession, folder: str, snapshot_id: int, deals: DataFrame, orders: DataFrame,
           ledger: DataFrame, synced_at: dt.datetime) -> None:
     """Write the boards under a new id, then its manifest row. Without that row the snapshot does not exist,
-    so a load that fails half-way leaves the last good one in place."""
+    so a load that fails half-way leaves the last good one in place. A complete snapshot is never overwritten."""
+    try:
+        taken = not manifest(spark, folder).filter(F.col("snapshot_id") == snapshot_id).isEmpty()
+    except AnalysisException:
+        taken = False
+    if taken:
+        raise FileExistsError(f"snapshot {snapshot_id} is complete in {folder}")
     part = f"snapshot_id={snapshot_id}"
     for name, frame in {"deals": deals, "work_orders": orders, "ledger": ledger}.items():
         frame.write.mode("overwrite").parquet(f"{folder}/{name}/{part}")
@@ -72,7 +79,7 @@ def refresh(spark: SparkSession, folder: str, load, now: dt.datetime, force: boo
     last = latest_id(spark, folder)
     if last is not None and not force and is_fresh(spark, folder, now):
         return last
-    new_id = int(now.timestamp())
+    new_id = (now.replace(tzinfo=now.tzinfo or dt.timezone.utc) - EPOCH) // dt.timedelta(microseconds=1)
     try:
         write(spark, folder, new_id, *load(), now)
     except Exception:
