@@ -200,6 +200,9 @@ def order_rules() -> dict[str, Column]:
     }
 
 
+#: What the rules of both boards read of clean rows, besides the helpers that begin with an underscore.
+RULE_COLUMNS = {"deal_alias", "status", "sector", "deal_value", "value_is_missing", "owner_id", "client_id", "is_stale", "stage_raw",
+                "receivable_amount", "is_completed", "data_delivery_date", "is_overdue", "billing_is_misspelt", "billed_is_missing"}
 SAMPLED_ORDER_RULES = ["DQ009", "DQ010", "DQ011"]
 
 

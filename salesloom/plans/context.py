@@ -17,6 +17,10 @@ AS_OF = bridge.AS_OF
 YEAR, QUARTER = "FY1998", "Q2 FY1998"
 
 
+def stored_for_rules(df: DataFrame, name: str) -> DataFrame:
+    return stored(df.select(*[c for c in df.columns if c in N.RULE_COLUMNS or not name.startswith("clean") or c.startswith("_")]), name)
+
+
 class Context:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -57,7 +61,10 @@ class Context:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return stored(N.full_ledger(self.kept_deals, self.kept_orders), "ledger")  # a row per rule
+        """Of the clean rows only what the rules read is written; the rest is never computed."""
+        deals = N.normalize_deals(self.deals_sheet, AS_OF, keep=stored_for_rules)
+        orders = N.normalize_orders(self.orders_sheet, AS_OF, keep=stored_for_rules)
+        return stored(N.full_ledger(deals, orders), "ledger")  # a row per rule
 
     @property
     def boards(self) -> Boards:
