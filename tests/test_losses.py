@@ -98,3 +98,18 @@ def test_a_kept_ledger_reads_each_export_once(spark, context):
     again = N.full_ledger(N.normalize_deals(context.deals_sheet), N.normalize_orders(context.orders_sheet))
     order = lambda df: sorted(map(str, df.collect()))
     assert order(N.full_ledger(deals, orders)) == order(again)
+
+
+def test_context_has_wide_plans_compiled(spark):
+    from salesloom.plans.context import Context
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "65535")
+        Context(spark, "/none")
+        assert spark.conf.get(limit) == "8000"
+        spark.conf.set(limit, "4000")
+        Context(spark, "/none")
+        assert spark.conf.get(limit) == "4000"
+    finally:
+        spark.conf.set(limit, before)
