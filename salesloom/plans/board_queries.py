@@ -19,6 +19,7 @@ from salesloom.operators import quality as Q
 from salesloom.operators import sectors as X
 from salesloom.plans.context import AS_OF, QUARTER, YEAR, Context
 from salesloom.plans.registry import run
+from salesloom.session import stored
 from salesloom.sources import boards, event_capture, sheets, snapshots
 
 NOW = dt.datetime(2026, 1, 15, 12, 0, 0)
@@ -91,10 +92,11 @@ def answers(c: Context) -> DataFrame:
 
 def board_capture(c: Context) -> DataFrame:
     """The deals sheet stored as board pages, then read back."""
-    sheet = _unique_sheet(c)
-    number = F.regexp_extract(F.col("Deal Name"), r"(\d+)$", 1).cast("long")
-    page = F.floor(number / boards.PAGE_SIZE) + 1
-    path = boards.write_pages(sheet, page, "Deal Name", c.scratch("pages"))
+    sheet = c.deals_sheet
+    number = F.regexp_extract(F.col("Deal Name"), r"(\d+)$", 1).try_cast("long")  # also evaluated on headers
+    paged = sheet.filter(~N.is_stray_header(sheet)).withColumn("_page", F.floor(number / boards.PAGE_SIZE) + 1)
+    # Copies of a row go to its page, so one exchange serves for dropping them and for making pages.
+    path = boards.write_pages(paged.repartition("_page").dropDuplicates(), "_page", "Deal Name", c.scratch("pages"))
     return boards.read_items(c.spark, path)
 
 
@@ -139,12 +141,15 @@ def wide_sheet_losses(c: Context) -> DataFrame:
 
 
 def snapshot(c: Context) -> str:
+    """Two snapshots and a load that never finished. Each board is derived once: the second load finds the orders as they
+    stand in the first snapshot."""
     path = c.scratch("snapshot")
-    old = c.deals.filter(F.col("status") == "Open")
-    ledger = L.rule_counts(c.deals, {"DQ005": F.col("is_stale")})
-    snapshots.write(c.spark, path, 1, old, c.orders, ledger, NOW)
-    snapshots.write(c.spark, path, 2, c.deals, c.orders, ledger, FIVE_MINUTES_AGO)
-    c.orders.write.parquet(f"{path}/work_orders/snapshot_id=3")  # a load that never finished
+    deals = stored(c.deals, "deals")
+    ledger = stored(L.rule_counts(deals, {"DQ005": F.col("is_stale")}), "rule-counts")  # a row per rule
+    snapshots.write(c.spark, path, 1, deals.filter(F.col("status") == "Open"), c.orders, ledger, NOW)
+    orders = snapshots.read(c.spark, path, "work_orders", 1)
+    snapshots.write(c.spark, path, 2, deals, orders, ledger, FIVE_MINUTES_AGO)
+    orders.write.option("compression", "zstd").parquet(f"{path}/work_orders/snapshot_id=3")  # a load that never finished
     return path
 
 

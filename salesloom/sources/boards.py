@@ -86,18 +86,26 @@ def widen(items: DataFrame, titles: list[str], name_title: str, rest: str | None
     return items.select(name.alias(name_title), *[value(t).alias(t) for t in titles if t != name_title], *more)
 
 
-def write_pages(rows: DataFrame, page, name_title: str, path: str) -> str:
-    """Store a wide text table as board pages of at most PAGE_SIZE items; the caller gives the page of each row."""
-    others = [c for c in rows.columns if c != name_title]
-    cell = lambda c: F.struct(
-        F.lit(c).alias("id"), F.coalesce(F.col(f"`{c}`"), F.lit("")).alias("text"), F.lit(None).cast("string")
-        .alias("value"), F.lit("text").alias("type"), F.struct(F.lit(c).alias("title")).alias("column"))
-    item = F.struct(F.col(f"`{name_title}`").alias("id"), F.col(f"`{name_title}`").alias("name"),
-                    F.array(*[cell(c) for c in others]).alias("column_values"))
-    paged = rows.select(page.cast("long").alias("page"), item.alias("item")).groupBy("page").agg(
-        F.collect_list("item").alias("items"))
+def write_pages(rows: DataFrame, page: Column | str, name_title: str, path: str) -> str:
+    """Store a wide text table as board pages of at most PAGE_SIZE items; the caller gives the page of each row, as an
+    expression or as the name of a column that is no cell.
+
+    Rows meet as they are and become items, in which every cell carries its titles, only where their page is written.
+    """
+    cells = [c for c in rows.columns if c != page]
+    page = F.col(page) if isinstance(page, str) else page
+    paged = rows.select(page.cast("long").alias("page"), F.struct(*[F.col(f"`{c}`") for c in cells]).alias("row")).groupBy(
+        "page").agg(F.collect_list("row").alias("rows"))
+
+    def item(row: Column) -> Column:
+        cell = lambda c: F.struct(
+            F.lit(c).alias("id"), F.coalesce(row[c], F.lit("")).alias("text"), F.lit(None).cast("string")
+            .alias("value"), F.lit("text").alias("type"), F.struct(F.lit(c).alias("title")).alias("column"))
+        return F.struct(row[name_title].alias("id"), row[name_title].alias("name"),
+                        F.array(*[cell(c) for c in cells if c != name_title]).alias("column_values"))
+
     cursor = F.concat(F.lit("next-"), (F.col("page") + 1).cast("string"))
     board = F.array(F.struct(F.lit("1").alias("id"), F.lit("board").alias("name"),
-                             F.struct(cursor.alias("cursor"), F.col("items")).alias("items_page")))
-    paged.select("page", board.alias("boards")).write.mode("overwrite").json(path)
+                             F.struct(cursor.alias("cursor"), F.transform("rows", item).alias("items")).alias("items_page")))
+    paged.select("page", board.alias("boards")).write.mode("overwrite").option("compression", "gzip").json(path)
     return path

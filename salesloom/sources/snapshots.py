@@ -38,7 +38,7 @@ def write(spark: SparkSession, folder: str, snapshot_id: int, deals: DataFrame,
         raise FileExistsError(f"snapshot {snapshot_id} is complete in {folder}")
     part = f"snapshot_id={snapshot_id}"
     for name, frame in {"deals": deals, "work_orders": orders, "ledger": ledger}.items():
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}/{part}")
+        frame.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}/{part}")
     stored = [spark.read.parquet(f"{folder}/{name}/{part}") for name in ("deals", "work_orders")]
     row = checksum(*stored).select(
         F.lit(snapshot_id).cast("long").alias("snapshot_id"), moment(synced_at).alias("synced_at"),

@@ -113,3 +113,31 @@ def test_context_has_wide_plans_compiled(spark):
         assert spark.conf.get(limit) == "4000"
     finally:
         spark.conf.set(limit, before)
+
+
+def test_pages_are_written_compressed_in_one_exchange(spark, tmp_path):
+    import os
+    from salesloom.sources import boards
+    rows = spark.createDataFrame([(f"Deal-{i % 40}", None if i % 3 == 0 else "x", i % 4) for i in range(80)], "`Deal Name` string, b string, _page long")
+    paged = rows.repartition("_page").dropDuplicates()
+    path = boards.write_pages(paged, "_page", "Deal Name", str(tmp_path / "pages"))
+    files = [f for f in os.listdir(path) if not f.startswith((".", "_"))]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    pages = boards.read_pages(spark, path).collect()
+    assert {p["page"] for p in pages} == {0, 1, 2, 3}
+    items = [i for p in pages for i in p["boards"][0]["items_page"]["items"]]
+    assert sorted((i["name"], i["column_values"][0]["text"], len(i["column_values"])) for i in items) == sorted(
+        {(r[0], r[1] or "", 1) for r in rows.collect()})
+
+
+def test_orders_are_derived_once_for_all_snapshots(spark, context, monkeypatch):
+    from salesloom.plans import board_queries as B
+    from salesloom.sources import snapshots
+    written = []
+    write = snapshots.write
+    monkeypatch.setattr(snapshots, "write", lambda s, path, i, deals, orders, *more: (
+        written.append((i, orders.inputFiles())), write(s, path, i, deals, orders, *more)))
+    path = B.snapshot(context)
+    assert "work_orders/snapshot_id=1" in written[1][1][0] and "lineitem" in " ".join(written[0][1])
+    assert snapshots.latest_id(spark, path) == 2
+    assert spark.read.parquet(f"{path}/work_orders/snapshot_id=3").count() == context.orders.count()
