@@ -93,3 +93,12 @@ def test_names_in_notes_of_a_table(spark, catalog):
     minted = {r["entity"]: r["token"] for r in T.minted_catalog(table, catalog).collect()}["New Co"]
     want = [(token["Acme"], token["Bond"], f"{token['Acme']} called {token['Bond Street']}", "x", 1)] + [(minted, None, None, f"about {minted}", 1)] * 2
     assert got.columns == table.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_masked_texts_are_computed_once(spark, context):
+    """What is read more than once is read from a table, not masked anew for each reading."""
+    from salesloom.plans import text_queries as Q
+    masked = Q.masked_board_texts(context, Q.board_catalog(context))
+    assert all("masked-texts" in f for f in masked.inputFiles())
+    plan = Q.leaks_after_masking(context)._jdf.queryExecution().optimizedPlan().toString()
+    assert "longest_first" not in plan
