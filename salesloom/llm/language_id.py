@@ -15,8 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Training rows drawn for each language (by a hash of the id, so about that many), and the hashed trigrams.
-SAMPLE = 2000
+from salesloom.session import stored
+
+#: Hashed trigrams.
 FEATURES = 1 << 15
 UNDETERMINED = "und"
 #: A second codeword with more than this share of the best one's weight makes a text ambiguous.
@@ -100,20 +101,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on about `sample` labelled rows of each language, whole texts. Held-out rows and null labels are left out.
+def fit(docs: DataFrame) -> Model:
+    """Fit on all labelled rows, whole texts. Held-out rows and null labels are left out.
 
-    Trigram counts are summed by Spark; the driver gets languages x FEATURES sums and, for each bit, a few moments.
+    Trigram counts are summed by Spark; the driver gets languages x FEATURES sums and, for each bit, a few moments. Texts are
+    read twice: for the counts, and for each row's margins, which are stored.
     """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
-    languages = [r["lang"] for r in sizes]
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(sample / r["count"]))]) if sizes else None
+    known = known.select("text", "lang")
+    languages = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").collect()]  # a row for each language
     if not languages:
         return Model([], codewords(0), np.zeros((FEATURES, 0)), np.ones(0), np.ones(0))
-    luck = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = known.filter(luck < share[F.col("lang")]).select("text", "lang")
     place = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +123,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         at = np.nonzero(sums)
         yield pd.DataFrame({"lang": at[0].astype(np.int32), "feature": at[1].astype(np.int32), "n": sums[at]})
 
-    got = drawn.mapInPandas(count, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    got = known.mapInPandas(count, "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     table = got.toPandas()
     sums = np.zeros((len(languages), FEATURES))
     sums[table["lang"], table["feature"]] = table["n"]
@@ -137,18 +135,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     model = Model(languages, codes, weights, np.ones(codes.shape[1]), np.ones(codes.shape[1]))
     bits = codes.shape[1]
 
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"lang": batch["lang"], "margins": [model.margins(text) for text in batch["text"]]})
+
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         right, size, rows = np.zeros(bits), np.zeros(bits), 0
         for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"]):
-                m = model.margins(text)
+            for m, lang in zip(batch["margins"], batch["lang"]):
                 right += m * codes[place[lang]] > 0
                 size += np.abs(m)
                 rows += 1
         yield pd.DataFrame({"bit": np.arange(bits, dtype=np.int32), "right": right, "size": size, "rows": float(rows)})
 
     if bits:
-        seen = drawn.mapInPandas(test, "bit int, right double, size double, rows double").groupBy("bit").agg(
+        measured = stored(known.mapInPandas(measure, "lang string, margins array<double>"), "language-margins")
+        seen = measured.mapInPandas(test, "bit int, right double, size double, rows double").groupBy("bit").agg(
             F.sum("right").alias("right"), F.sum("size").alias("size"), F.sum("rows").alias("rows")).orderBy("bit").toPandas()
         sure = (seen["right"].to_numpy() + 1) / (seen["rows"].to_numpy() + 2)
         trust = np.maximum(np.log(sure / (1 - sure)), 0.01)
@@ -157,9 +159,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
         def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"a": [model.agreement(model.margins(t), place[lang]) for t, lang in zip(batch["text"], batch["lang"])]})
+                yield pd.DataFrame({"a": [model.agreement(m, place[lang]) for m, lang in zip(batch["margins"], batch["lang"])]})
 
-        low = drawn.mapInPandas(agree, "a double").agg(F.percentile_approx("a", FEW / 1000, 100_000)).first()[0]
+        low = measured.mapInPandas(agree, "a double").agg(F.percentile_approx("a", FEW / 1000, 100_000)).first()[0]
         model.floor = max(0.0, FLOOR_SHARE * (low or 0.0))
     return model
 

@@ -457,3 +457,17 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
             out = stage(spark, table, "")
             assert out.count() >= 0 and (name == "packing" or out.columns == corpus_pipeline.COLUMNS)
         assert stage(spark, none, "").count() == 0
+
+
+def test_language_counts_every_labelled_row(spark):
+    import zlib
+    rows = [(i, f"{'alpha beta' if i % 2 else 'omega psi'} w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}",
+             "aa" if i % 2 else "bb") for i in range(8000)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sums = np.zeros((2, language_id.FEATURES))
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            for found in language_id.trigrams(text):
+                sums[["aa", "bb"].index(lang)] += np.bincount(found, minlength=language_id.FEATURES)
+    chance = (sums + 0.5) / (sums + 0.5).sum(1, keepdims=True)
+    assert np.allclose(np.abs(model.weights[:, 0]), np.abs(np.log(chance[0] / chance[1])), atol=1e-5)
