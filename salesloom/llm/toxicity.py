@@ -140,14 +140,25 @@ def hits(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     return stored(found, "term-hits")
 
 
+def part_counts(found: DataFrame, terms: int) -> DataFrame:
+    """In how many rows of a part each chosen term stands: one row for each part, however many terms its texts hold."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(terms, np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.bincount(np.concatenate(batch["terms"].to_list()).astype(np.int64), minlength=terms)
+        yield pd.DataFrame({"counts": [total]})
+    return found.select("terms").mapInPandas(count, "counts array<long>")
+
+
 def build(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Index, DataFrame]:
     """The index of the sample, and the hits of all documents that its idf was counted on."""
     drawn, sizes = examples(docs, labels, sample)
     terms = {t: i for i, t in enumerate(telling_terms(drawn))}
     found = hits(docs, terms)
-    per_term = {r["term"]: r["n"] for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n")).collect()}  # a row for each chosen term
-    idf = np.log((1 + found.count()) / (1 + np.array([per_term.get(i, 0) for i in range(len(terms))]))) + 1
+    counts = part_counts(found, len(terms)).rdd.treeAggregate(
+        np.zeros(len(terms), np.int64), lambda total, row: total + np.array(row["counts"], np.int64), np.add)
+    idf = np.log((1 + found.count()) / (1 + counts)) + 1
     own = sorted(hits(drawn, terms).join(drawn.select("doc_id", "toxic"), "doc_id").collect(), key=lambda r: r["doc_id"])
     label = np.array([r["toxic"] for r in own], np.int64)
     stands = np.array([sizes.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)])

@@ -257,6 +257,16 @@ def test_toxicity_nearest_is_exact_and_tells(spark, docs, none):
     assert toxicity.scored(none, few).count() == 0
 
 
+def test_term_counts_are_one_row_a_part(spark):
+    """Rows counted do not grow with the terms of a text."""
+    rows = [(i, list(range(i % 40)), [1] * (i % 40)) for i in range(400)]
+    found = spark.createDataFrame(rows, "doc_id long, terms array<int>, counts array<int>").repartition(3)
+    parts = toxicity.part_counts(found, 45).collect()
+    assert len(parts) == 3
+    assert [sum(c) for c in zip(*(p.counts for p in parts))] == [sum(t in r[1] for r in rows) for t in range(45)]
+    assert toxicity.part_counts(found.limit(0), 0).rdd.treeAggregate(0, lambda n, r: n + sum(r.counts), int.__add__) == 0
+
+
 def test_toxicity_held_out(spark):
     """Measured where some hundred held-out rows are toxic; at 0.01 there are a dozen."""
     folder = "/root/testdata/sf0.1"
