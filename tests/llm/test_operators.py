@@ -391,6 +391,17 @@ def test_lines_recall_by_edit_similarity_alone(spark):
     assert len(want) > 90 and gone <= want and len(gone) >= 0.95 * len(want), (len(gone), len(want))
 
 
+def test_unlike_lines_share_no_bucket(spark):
+    """Lines stand in a few buckets each, and those of words from one vocabulary hardly meet, however many there are."""
+    r = random.Random(9)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(5, 60)))) for i in range(1500)]
+    marks = line_dedup.occurrences(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    most = line_dedup.SHORT_SKETCH + line_dedup.LONG_SKETCH
+    assert all(0 < len(m.sigs) <= most for m in marks.collect())
+    assert line_dedup.buckets(marks).count() < len(rows) / 5
+
+
 def test_line_votes_do_not_run_over(spark):
     """One line of 70,000 distinct words, and one text in 1,500 rows without an id."""
     spell = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
