@@ -141,3 +141,19 @@ def test_orders_are_derived_once_for_all_snapshots(spark, context, monkeypatch):
     assert "work_orders/snapshot_id=1" in written[1][1][0] and "lineitem" in " ".join(written[0][1])
     assert snapshots.latest_id(spark, path) == 2
     assert spark.read.parquet(f"{path}/work_orders/snapshot_id=3").count() == context.orders.count()
+
+
+def test_receipts_derive_each_board_once(context):
+    """Their plan reads stored boards, and these give what whole boards give."""
+    from salesloom.plans.text_queries import receipts
+    got = receipts(context)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "receipt-orders" in plan and "lineitem" not in plan and "customer" not in plan
+    rows = {r.tool_name: r for r in got.collect()}
+    assert set(rows) == set(RECEIPT_RULES)
+    for tool in RECEIPT_RULES:
+        given = {"sector": "Mining"} if tool == "win_loss_analysis" else {}
+        want, one = receipt(tool, context.boards, **given).first(), rows[tool]
+        assert all(one[c] == want[c] for c in ("considered", "used", "missing_key_field", "single_entity_share_pct",
+                                               "cross_board_link_coverage_pct", "confidence"))
+        assert one.reasons == "; ".join(want.confidence_reasons)
