@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
@@ -30,6 +30,8 @@ PART, WHOLE = 7, 3
 OFTEN, MOST = 10, 1 << 19
 #: Up to so many ids are broadcast; more meet in a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Rows a Python worker holds the sets of at a time.
+ROWS = 512
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                 np.uint64)
@@ -53,6 +55,23 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches in pieces of ROWS rows at most, each with the sets of its texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            part = batch.slice(start, ROWS)
+            yield part, [shingles(text) for text in part.column("text").to_pylist()]
+
+
+def set_ids(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+
+
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
 def needed(n: int) -> int:
     """What a set of n tokens shares at least with any linked one."""
     return -(-3 * n // 4)
@@ -87,12 +106,11 @@ def reach(n: int) -> int:
 
 def most_frequent(docs: DataFrame, counted: Callable[[np.ndarray], np.ndarray], often: int, most: int) -> np.ndarray:
     """Of the counted part of all sets, the tokens of more than `often` documents, `most` at most; sorted."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [counted(shingles(text)) for text in batch["text"]]
-            token, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-            yield pd.DataFrame({"token": token.view(np.int64), "n": n})
-    table = docs.select("text").filter("text IS NOT NULL").mapInPandas(count, "token long, n long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in slices(batches):
+            token, n = np.unique(np.concatenate([counted(s) for s in sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+    table = docs.select("text").filter("text IS NOT NULL").mapInArrow(count, "token long, n long")
     table = table.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > often)
     rows = table.orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
@@ -125,38 +143,31 @@ def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """doc_id, text_key (hash of the text), id (fingerprint of the set), size (negative: not rare tokens only) and sigs of every row; written once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                tokens = shingles(text)
-                sigs, rare = prefix(tokens, often)
-                rows.append((np.uint64(xxh3_64_intdigest(tokens.tobytes())).astype(np.int64), len(tokens) if rare else
-                             -len(tokens), sigs.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["id", "size", "sigs"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            out.insert(1, "text_key", batch["text_key"].to_numpy())
-            yield out
-    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    return stored(keyed.mapInPandas(run, "doc_id long, text_key long, id long, size int, sigs array<long>"),
+        for part, sets in slices(batches):
+            found = [prefix(s, often) for s in sets]
+            size = np.array([len(s) if rare else -len(s) for s, (_, rare) in zip(sets, found)], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("text_key"), set_ids(sets), pa.array(size),
+                 lists([sigs for sigs, _ in found])], ["doc_id", "text_key", "id", "size", "sigs"])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    return stored(keyed.mapInArrow(run, "doc_id long, text_key long, id long, size int, sigs array<long>"),
                   "shingle-profiles")
 
 
 def linked_pairs(docs: DataFrame, classes: DataFrame):
     """The exact test of pairs of sets: texts of one document for each set, and the size of their intersection."""
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": [np.uint64(xxh3_64_intdigest(s.tobytes())).astype(np.int64) for s in sets],
-                                "tokens": [s.view(np.int64) for s in sets]})
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in slices(batches):
+            yield pa.RecordBatch.from_arrays([set_ids(sets), lists(sets)], ["id", "tokens"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         firsts = stored(classes.join(ids, "id").select(F.col("first").alias("doc_id")), "first-docs")
         side = F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts
         texts = docs.select("doc_id", "text").join(side, "doc_id", "left_semi").select("text")
-        sets = stored(texts.mapInPandas(hashed, "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
+        sets = stored(texts.mapInArrow(hashed, "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
         met = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         met = met.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
