@@ -335,6 +335,17 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def test_sets_are_built_in_small_pieces(spark):
+    """A worker holds the sets of few rows at a time; ids beyond 2^53 beside null ones stay exact."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"text": [None, "", *(f"a{i} b c d e f" for i in range(1500))]})
+    parts = list(jaccard_join.slices(iter([batch])))
+    assert max(p.num_rows for p, _ in parts) <= jaccard_join.ROWS and sum(len(s) for _, s in parts) == 1502
+    rows = [(2 ** 60 + 1, "one two three four five six"), (None, "seven eight"), (2 ** 60 + 3, "one two three four five six")]
+    got = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(2 ** 60 + 1, 2 ** 60 + 1), (2 ** 60 + 3, 2 ** 60 + 1), (None, None)}
+
+
 def test_lines_equal_brute_force(spark, none):
     long, r = prose(20, 60), random.Random(1)
     texts = [long + "\nshort one\n" + prose(21, 12), "intro words are here now\n" + long.upper() + "!", near(long) + "\nshort one", None, "",
@@ -402,6 +413,47 @@ def test_unlike_lines_share_no_bucket(spark):
     assert line_dedup.buckets(marks).count() < len(rows) / 5
 
 
+def test_lines_with_a_common_passage_are_not_all_paired(spark, monkeypatch):
+    """Unlike lines that hold one passage meet in the buckets of its grams; near copies among them are found all the same."""
+    r = random.Random(4)
+    spell = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8)))
+    passage, lines = " ".join(spell() for _ in range(8)), []
+    for i in range(500):
+        words = [spell() for _ in range(r.randint(12, 24))]
+        words.insert(r.randrange(12), passage)
+        lines.append(" ".join(words))
+    copies = {i: lines[i].rsplit(" ", 1)[0] + " it" for i in range(0, 500, 50)}
+    rows = [*enumerate(lines), *((1000 + i, text) for i, text in copies.items())]
+    tested, check = [], line_dedup.edit_check
+
+    def counted(*args):
+        verify = check(*args)
+
+        def run(pairs):
+            tested.append(pairs.count())
+            return verify(pairs)
+        return run
+    monkeypatch.setattr(line_dedup, "edit_check", counted)
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in got if x.n_dropped} == {1000 + i for i in copies}
+    assert sum(tested) < 10 * len(rows), tested
+
+
+def test_enough_edits_are_never_too_few(spark):
+    r = random.Random(8)
+    words = ["ab", "cd", "abc", "d", "eta", "shr"]
+    pairs = []
+    for _ in range(150):
+        x = [r.choice(words) for _ in range(r.randint(1, 9))]
+        y = [r.choice(words) if r.random() < 0.2 else w for w in x if r.random() < 0.8] or ["ab"]
+        pairs.append((" ".join(x), " ".join(y)))
+    pairs += [("a b c", "a c"), ("a c", "a b c"), ("a", "a b c"), ("a b c", "a"), ("a b", "a b")]
+    table = spark.createDataFrame(pairs, "x string, y string")
+    for row in table.select("x", "y", line_dedup.enough(F.col("x"), F.col("y")).alias("n")).collect():
+        assert row.n >= edit_distance(row.x, row.y)
+        assert row.n == edit_distance(row.x, row.y) or (row.x, row.y) not in pairs[-5:]
+
+
 def test_line_votes_do_not_run_over(spark):
     """One line of 70,000 distinct words, and one text in 1,500 rows without an id."""
     spell = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
