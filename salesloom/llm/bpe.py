@@ -3,7 +3,7 @@
 A word is first cut greedily into the longest vocabulary entries. That cut is what merging would give exactly if every
 two neighbours are compatible, that is if merging the text of both gives just these two. All neighbours of all new words
 of a batch are tested at once in arrays, by undoing merges at the seam from the latest to the earliest. Only words with a
-failing pair are merged exactly.
+failing pair are merged exactly, all of a batch side by side in arrays.
 """
 
 from __future__ import annotations
@@ -37,6 +37,12 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def parts(flat: np.ndarray, size: np.ndarray) -> Iterator[list[int]]:
+    """A flat array as lists of these sizes."""
+    ends, whole = np.cumsum(size).tolist(), flat.tolist()
+    return (whole[start:stop] for start, stop in zip([0, *ends], ends))
+
+
 class WordBpe:
     """A vocabulary with word ends. Reads the file's normaliser as NFC, one space, lower case, and its split pattern."""
 
@@ -47,6 +53,8 @@ class WordBpe:
         self.end, self.vocab = model["end_of_word_suffix"], model["vocab"]
         white = r"\p{White_Space}"
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", white))
+        ascii_only = split["pattern"]["Regex"].replace(r"\s", r"\t-\r ").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+        self.ascii_pattern = re.compile(ascii_only)  # for ASCII in lower case
         self.gaps = regex.compile(white + "+")
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
@@ -55,7 +63,13 @@ class WordBpe:
         size = self.size = max(names) + 1
         self.names = [names.get(i, "") for i in range(size)]
         self.digits = [*map(str, range(size))]
-        self.longest = max(map(len, self.vocab))
+        inside = {t: i for t, i in self.vocab.items() if not t.endswith(self.end)}
+        self.ends = {t[:-len(self.end)]: i for t, i in self.vocab.items() if t.endswith(self.end)}
+        self.inside = inside
+        codes = max(map(ord, self.bytes.values())) + 1
+        self.first, self.last = (np.array([found.get(chr(c), -1) for c in range(codes)], np.int64)
+                                 for found in (inside, self.ends))
+        self.tree(codes)
         self.left, self.right, self.made = (np.full(size, -1, np.int64) for _ in range(3))
         keys, self.merge_to = [], []
         for rank, (a, b) in enumerate(x.split(" ") if isinstance(x, str) else x for x in model["merges"]):
@@ -66,6 +80,7 @@ class WordBpe:
         order = np.argsort(np.array(keys))
         self.rank_of = {k: r for r, k in enumerate(keys)}
         self.keys, self.ranks = np.array(keys)[order], order.astype(np.int64)
+        self.merged_to = np.array(self.merge_to, np.int64)
         # A token that merging its own text does not give proves nothing about its neighbours.
         whole = np.flatnonzero(self.made >= 0)
         self.sound = np.ones(size, bool)
@@ -79,9 +94,7 @@ class WordBpe:
         good, at = np.ones(len(a), bool), np.arange(len(a))
         until = np.full(len(a), NEVER) if before is None else before
         while len(at):
-            key = a * self.size + b
-            near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            crossed = (self.keys[near] == key) & (self.ranks[near] < until)
+            crossed = self.ranks_of(a, b) < until
             good[at[crossed]] = False
             first, second = self.made[a], self.made[b]
             going = ~crossed & ((first >= 0) | (second >= 0))
@@ -92,28 +105,105 @@ class WordBpe:
             a, b = np.where(undo_left, self.right[a], a), np.where(undo_left, b, self.left[b])
         return good
 
-    def speculate(self, word: str) -> list[int]:
-        vocab, n, at, out = self.vocab, len(word), 0, []
-        while at < n:
-            token = vocab.get(word[at:] + self.end) if n - at <= self.longest else None
-            if token is not None:
-                out.append(token)
-                break
-            for stop in range(min(n - 1, at + self.longest), at, -1):
-                if (token := vocab.get(word[at:stop])) is not None:
-                    break
-            else:
-                return []  # no entry fits: left to exact merging
-            out.append(token)
-            at = stop
+    def tree(self, codes: int) -> None:
+        """The vocabulary as a tree of characters: sorted edges, and the entry that ends at each node, inside a word and
+        at its end."""
+        edges: dict[int, int] = {}
+        within, final = [-1], [-1]
+        for entries, marks in ((self.inside, within), (self.ends, final)):
+            for text, token in entries.items():
+                node = 0
+                for c in text:
+                    node = edges.setdefault(node * codes + ord(c), len(within))
+                    if node == len(within):
+                        within.append(-1)
+                        final.append(-1)
+                marks[node] = token
+        keys = np.array([*edges], np.int64)
+        order = np.argsort(keys)
+        self.codes, self.edges, self.to = codes, keys[order], np.array([*edges.values()], np.int64)[order]
+        self.within, self.final = np.array(within, np.int64), np.array(final, np.int64)
+
+    def speculate(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of word and token of the greedy cuts of all words, a step down the tree for every word at a time. Words
+        that no entries fit, and those of more than LONG characters, have none and are left to exact merging."""
+        size = np.array([len(w) for w in words], np.int64)
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        stop = np.cumsum(size)
+        word = np.flatnonzero((size > 0) & (size <= LONG))
+        at, stop = (stop - size)[word], stop[word]
+        node, best, back = np.zeros(len(word), np.int64), np.full(len(word), -1, np.int64), at.copy()
+        found, fits = [], np.zeros(len(words), bool)
+        while len(word):
+            key = node * self.codes + code[at]
+            near = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            down = self.edges[near] == key
+            node, at = np.where(down, self.to[near], 0), at + down
+            full = at == stop
+            end = np.where(full, self.final[node], -1)  # not down: at is not stop
+            whole = end >= 0
+            inner = np.where(full, -1, self.within[node])
+            longer = inner >= 0
+            best, back = np.where(longer, inner, best), np.where(longer, at, back)
+            cut = (~down | full) & ~whole
+            found += [(word[whole], end[whole]), (word[cut], best[cut])]
+            fits[word[whole]] = True
+            on = ~whole & ~(cut & (best < 0))
+            node, at, best = np.where(cut, 0, node), np.where(cut, back, at), np.where(cut, -1, best)
+            word, at, stop, node, best, back = (x[on] for x in (word, at, stop, node, best, back))
+        owner, token = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        good = fits[owner]
+        owner, token = owner[good], token[good]
+        order = np.argsort(owner, kind="stable")
+        return owner[order], token[order]
+
+    def merged(self, words: list[str]) -> list[list[int]]:
+        """Exact merging of each word: always the pair of lowest rank, leftmost first. One merge of every word at a time,
+        in arrays; words of more than LONG characters on their own."""
+        out: list[list[int]] = [[]] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for i in (i for i, w in enumerate(words) if len(w) > LONG):
+            tokens = [t for c in words[i][:-1] if (t := self.inside.get(c)) is not None]
+            tokens += [t for c in words[i][-1:] if (t := self.ends.get(c)) is not None]
+            out[i] = self.merged_long(tokens)
+        size = np.array([len(words[i]) for i in short], np.int64)
+        code = np.frombuffer("".join(words[i] for i in short).encode("utf-32-le"), np.uint32)
+        owner, end = np.repeat(np.arange(len(short)), size), np.zeros(len(code), bool)
+        end[np.cumsum(size)[size > 0] - 1] = True
+        token = np.where(end, self.last[code], self.first[code])
+        owner, token = owner[token >= 0], token[token >= 0]
+        rank = self.ranks_of(token[:-1], token[1:])
+        rank = np.append(np.where(owner[1:] == owner[:-1], rank, NEVER), NEVER)[:len(token)]
+        done = []
+        while len(token):
+            begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            least = np.repeat(np.minimum.reduceat(rank, begins), np.diff(np.append(begins, len(token))))
+            open_ = least < NEVER
+            done.append((owner[~open_], token[~open_]))
+            owner, token, rank, least = owner[open_], token[open_], rank[open_], least[open_]
+            at = np.flatnonzero(rank == least)
+            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])[:len(at)]]
+            token[at] = self.merged_to[rank[at]]
+            stay = np.ones(len(token), bool)
+            stay[at + 1] = False
+            at -= np.arange(len(at))  # every merge before takes one place
+            owner, token, rank = owner[stay], token[stay], rank[stay]
+            for left in (at[at > 0] - 1, at):
+                right = np.minimum(left + 1, len(token) - 1)
+                new = self.ranks_of(token[left], token[right])
+                rank[left] = np.where((owner[left] == owner[right]) & (right > left), new, NEVER)
+        if done:
+            owner, token = (np.concatenate(x) for x in zip(*done))
+            order = np.argsort(owner, kind="stable")
+            for i, tokens in zip(short, parts(token[order], np.bincount(owner, minlength=len(short)))):
+                out[i] = tokens
         return out
 
-    def merged(self, word: str) -> list[int]:
-        """Exact merging: always the pair of lowest rank, leftmost first."""
-        tokens = [t for c in word[:-1] if (t := self.vocab.get(c)) is not None]
-        if (t := self.vocab.get(word[-1:] + self.end)) is not None:
-            tokens.append(t)
-        return self.merged_long(tokens) if len(tokens) > LONG else self.merged_short(tokens)
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair, NEVER if there is none."""
+        key = a * self.size + b
+        near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[near] == key, self.ranks[near], NEVER)
 
     def merged_short(self, tokens: list[int]) -> list[int]:
         """Looks through all pairs for each merge."""
@@ -154,19 +244,20 @@ class WordBpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Tokens of new chunks: proposals, one test of all their pairs, exact merging of the words that fail."""
-        split = [self.pattern.findall(c.lower() if c.isascii() else self.normal(c)) for c in chunks]
+        findall, ascii_findall = self.pattern.findall, self.ascii_pattern.findall
+        split = [ascii_findall(c.lower()) if c.isascii() else findall(self.normal(c)) for c in chunks]
         words = [*({*chain.from_iterable(split)} - self.known.keys())]  # a word known as a chunk of its own is known
-        plain = [w.encode("utf-8").decode("latin-1").translate(self.bytes) for w in words]
-        guesses = [self.speculate(w) for w in plain]
-        size = np.array([len(g) for g in guesses], np.int64)
-        flat = np.fromiter(chain.from_iterable(guesses), np.int64, int(size.sum()))
-        owner = np.repeat(np.arange(len(guesses)), size)
+        plain = [w if w.isascii() and w.isalpha() else w.encode("utf-8").decode("latin-1").translate(self.bytes)
+                 for w in words]
+        owner, flat = self.speculate(plain)
+        size = np.bincount(owner, minlength=len(words))
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         wrong = size == 0
         wrong[owner[inner[~self.apart(flat[inner], flat[inner + 1])]]] = True
         wrong[owner[~self.sound[flat]]] = True
-        known = self.known
-        known.update((w, self.merged(p) if bad else g) for w, p, g, bad in zip(words, plain, guesses, wrong.tolist()))
+        known, failed = self.known, np.flatnonzero(wrong).tolist()
+        known.update(zip(words, parts(flat, size)))
+        known.update(zip((words[i] for i in failed), self.merged([plain[i] for i in failed])))
         known.update((c, known[s[0]] if len(s) == 1 else [*chain.from_iterable(map(known.__getitem__, s))])
                      for c, s in zip(chunks, split))
 

@@ -83,6 +83,23 @@ def test_bpe_fuzz_and_both_mergers():
         assert own.merged_short(list(tokens)) == own.merged_long(list(tokens))
 
 
+def test_bpe_words_are_proposed_and_merged_side_by_side(monkeypatch):
+    """A batch takes as many steps as its longest word has merges, not one call for each word that fails."""
+    from tokenizers import Tokenizer
+    library, own, r = Tokenizer.from_file(WORD_BPE), bpe.WordBpe(WORD_BPE), random.Random(6)
+    words = ["".join(r.choice("thingandreblsoßé") for _ in range(r.randint(1, 30))) for _ in range(3000)] + ["ab" * 70, "</w>a", "\x00"]
+    plain = [w.encode("utf-8").decode("latin-1").translate(own.bytes) for w in words]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    whole = [i for i, w in enumerate(words) if w.isalpha()]
+    got = own.merged(plain)
+    assert [got[i] for i in whole] == [want[i] for i in whole] and own.merged([]) == []
+    monkeypatch.setattr(bpe.WordBpe, "merged_short", None)
+    calls, test = [], bpe.WordBpe.ranks_of
+    monkeypatch.setattr(bpe.WordBpe, "ranks_of", lambda *a: calls.append(1) or test(*a))
+    assert list(own.encode_batch(words)) == want
+    assert len(calls) < 300
+
+
 PAGES = {
     "<html><nav><a>Home</a></nav><article><h1>T&amp;t</h1><p>One, two,\n three.<p>Four <b>fi</b>ve<br>six</article>"
     "<div class='comments'><p>bad, bad, bad</p></div><footer>f</footer>": "T&t One, two, three. Four five six",
