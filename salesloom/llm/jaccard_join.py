@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from xxhash import xxh3_64_intdigest, xxh64_intdigest
+from xxhash import xxh3_64_intdigest
 
 from salesloom.llm.frames import lookup_hot
 from salesloom.llm.linking import grouped
@@ -32,35 +32,75 @@ OFTEN, MOST = 10, 1 << 19
 BROADCAST_IDS = 1 << 20
 #: Rows a Python worker holds the sets of at a time.
 ROWS = 512
+#: Bytes of text whose words are hashed at a time.
+PIECE = 1 << 20
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                 np.uint64)
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[list(b" \t\n\x0b\x0c\r")] = True
+#: Masks of the first n of eight bytes.
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles: words between ASCII white space, A-Z lowered."""
-    found = (text or "").encode("utf-8").lower().split()
-    if len(found) < WORDS:
-        return np.array([xxh64_intdigest(b"\0".join(found), len(found))] if found else [], np.uint64)
-    h = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
-    n = len(h) - WORDS + 1
-    total = np.zeros(n, np.uint64)
+def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words text[start:end], eight bytes of all words at a time."""
+    eight = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+    size, h, on, at = ends - starts, (ends - starts).astype(np.uint64) * _MIX[0], np.arange(len(starts)), 0
+    while len(on):
+        part = eight[starts[on] + at] & _HEAD[np.minimum(size[on] - at, 8)]
+        h[on] = mixed(mixed((h[on] ^ part) * _MIX[1]) + _MIX[2])
+        at += 8
+        on = on[size[on] > at]
+    return h
+
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles: words between ASCII white space, A-Z lowered."""
+    flat = (b" " + b" ".join(texts) + b" ").lower()
+    edges = np.flatnonzero(np.diff(_WHITE[np.frombuffer(flat, np.uint8)]))
+    starts, ends = edges[::2] + 1, edges[1::2] + 1
+    h = word_hashes(flat, starts, ends)
+    total = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
     for k in range(WORDS):
-        total += h[k:k + n] * _MIX[k]
-    return np.unique(mixed(total))
+        total += h[k:k + len(total)] * _MIX[k]
+    total = mixed(total)
+    bounds = np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in texts])).tolist()
+    for first, last in zip(bounds, bounds[1:]):
+        if last - first >= WORDS:
+            found = np.sort(total[first:last - WORDS + 1])
+            yield found[np.append(True, found[1:] != found[:-1])]
+        else:
+            n = last - first
+            whole = (h[first:last] * _MIX[:n]).sum(dtype=np.uint64, keepdims=True) + n * _MIX[-1:]
+            yield mixed(whole)[:n]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return next(shingle_sets([(text or "").encode("utf-8")]))
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """The batches in pieces of ROWS rows at most, each with the sets of its texts."""
+    """The batches in pieces of ROWS rows at most, each with the sets of its texts, which are built from about PIECE bytes
+    of text at a time."""
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS):
             part = batch.slice(start, ROWS)
-            yield part, [shingles(text) for text in part.column("text").to_pylist()]
+            sets, texts, held = [], [], 0
+            for text in part.column("text").to_pylist():
+                texts.append((text or "").encode("utf-8"))
+                held += len(texts[-1])
+                if held >= PIECE:
+                    sets += shingle_sets(texts)
+                    texts, held = [], 0
+            yield part, sets + list(shingle_sets(texts))
 
 
 def set_ids(sets: list[np.ndarray]) -> pa.Array:
@@ -156,18 +196,23 @@ def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                   "shingle-profiles")
 
 
-def linked_pairs(docs: DataFrame, classes: DataFrame):
-    """The exact test of pairs of sets: texts of one document for each set, and the size of their intersection."""
+def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, tokens) of the sets with these distinct ids, from the text of one document each; written once."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in slices(batches):
             yield pa.RecordBatch.from_arrays([set_ids(sets), lists(sets)], ["id", "tokens"])
 
+    firsts = stored(classes.join(ids, "id").select(F.col("first").alias("doc_id")), "first-docs")
+    side = F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts
+    texts = docs.select("doc_id", "text").join(side, "doc_id", "left_semi").select("text")
+    return stored(texts.mapInArrow(hashed, "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
+
+
+def linked_pairs(docs: DataFrame, classes: DataFrame):
+    """The exact test of pairs of sets: texts of one document for each set, and the size of their intersection."""
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        firsts = stored(classes.join(ids, "id").select(F.col("first").alias("doc_id")), "first-docs")
-        side = F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts
-        texts = docs.select("doc_id", "text").join(side, "doc_id", "left_semi").select("text")
-        sets = stored(texts.mapInArrow(hashed, "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
+        sets = sets_of(docs, classes, ids)
         met = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         met = met.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
@@ -176,6 +221,31 @@ def linked_pairs(docs: DataFrame, classes: DataFrame):
     return verify
 
 
+def rarest_first(docs: DataFrame, classes: DataFrame):
+    """Posts of crowded sets by their first tokens in the order of how many of these sets have them.
+
+    A set's tokens that no other crowded set has come first and are no post, so a set that has too many of them to be
+    linked has none. size: the number of tokens, and the place of the post's token among them.
+    """
+    def reindexed(ids: DataFrame) -> DataFrame:
+        each = sets_of(docs, classes, ids).select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("sig"))
+        shared = each.groupBy("sig").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+        met = each.join(stored(shared, "crowd-tokens"), "sig").groupBy("id", "n").agg(
+            F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("common"))  # tokens of one set
+        own = F.col("n") - F.size("common")
+        first = (F.col("n") - F.ceil(3 * F.col("n") / 4) + 1 - own).cast("int")
+        posts = met.select("id", "n", own.alias("own"), F.posexplode(F.slice("common", 1, F.greatest(first, F.lit(0)))))
+        return posts.select(F.col("col.sig").alias("sig"), "id", F.struct("n", (F.col("own") + F.col("pos") + 1).alias("at")).alias("size"))
+    return reindexed
+
+
+def reachable(pairs: DataFrame) -> DataFrame:
+    """Drops pairs at a token behind which too few can be common. At the first common token of linked sets enough are."""
+    x, y = F.col("size_a"), F.col("size_b")
+    most = F.least(x["n"] - x["at"], y["n"] - y["at"]) + 1
+    return pairs.filter(PART * most >= WHOLE * (x["n"] + y["n"]))
+
+
 def fits(pairs: DataFrame) -> DataFrame:
     """Drops pairs whose sizes differ too much."""
     x, y = F.abs("size_a"), F.abs("size_b")
@@ -209,7 +279,7 @@ def similar(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> DataFrame:
     posts = rows.select(F.explode("sigs").alias("sig"), "id", "size")
     twice = stored(posts.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "shared-sigs")
     posts = posts.join(twice, "sig", "left_semi").distinct()
-    comp = grouped(posts, linked_pairs(docs, classes), fits, alike)
+    comp = grouped(posts, linked_pairs(docs, classes), fits, alike, crowded=(rarest_first(docs, classes), reachable))
     whole = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     whole = stored(whole, "class-groups")
     least = stored(whole.groupBy("comp").agg(F.min("first").alias("component_id")), "group-ids")

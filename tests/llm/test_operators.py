@@ -343,6 +343,27 @@ def test_prefixes_of_linked_sets_meet():
         assert a & b
 
 
+def test_crowded_sets_are_not_all_paired(spark, monkeypatch):
+    """Many copies of one text with other words put in: most are too far from each other to be linked. Only those that
+    have enough tokens in common with others are paired at all, and no link is lost."""
+    r = random.Random(12)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for i in range(160):
+        found = list(base)
+        for k in r.sample(range(120), r.choice([1, 4, 5, 9])):
+            found[k] = f"x{i}y{k}"
+        texts.append(" ".join(found))
+    sets = [set(jaccard_join.shingles(t).tolist()) for t in texts]
+    links = [(a, b) for a in range(160) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = union_find(links, range(160))
+    pairs, reachable = [], jaccard_join.reachable
+    monkeypatch.setattr(jaccard_join, "reachable", lambda x: pairs.append(reachable(x)) or pairs[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard_join.similar(docs).collect()}
+    assert got == want and len(set(want.values())) > 40
+    assert len(pairs) == 1 and pairs[0].count() < 160
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
