@@ -225,7 +225,8 @@ def rarest_first(docs: DataFrame, classes: DataFrame):
     """Posts of crowded sets by their first tokens in the order of how many of these sets have them.
 
     A set's tokens that no other crowded set has come first and are no post, so a set that has too many of them to be
-    linked has none. size: the number of tokens, and the place of the post's token among them.
+    linked has none. size: the number of tokens, the place of the post's token among them, and the number of own tokens.
+    The sets with the fewest own tokens, which most others are near, lead.
     """
     def reindexed(ids: DataFrame) -> DataFrame:
         each = sets_of(docs, classes, ids).select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("sig"))
@@ -235,7 +236,8 @@ def rarest_first(docs: DataFrame, classes: DataFrame):
         own = F.col("n") - F.size("common")
         first = (F.col("n") - F.ceil(3 * F.col("n") / 4) + 1 - own).cast("int")
         posts = met.select("id", "n", own.alias("own"), F.posexplode(F.slice("common", 1, F.greatest(first, F.lit(0)))))
-        return posts.select(F.col("col.sig").alias("sig"), "id", F.struct("n", (F.col("own") + F.col("pos") + 1).alias("at")).alias("size"))
+        return posts.select(F.col("col.sig").alias("sig"), "id", 
+                            F.struct("n", (F.col("own") + F.col("pos") + 1).alias("at"), "own").alias("size"))
     return reindexed
 
 
@@ -279,7 +281,7 @@ def similar(docs: DataFrame, often: int = OFTEN, most: int = MOST) -> DataFrame:
     posts = rows.select(F.explode("sigs").alias("sig"), "id", "size")
     twice = stored(posts.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "shared-sigs")
     posts = posts.join(twice, "sig", "left_semi").distinct()
-    comp = grouped(posts, linked_pairs(docs, classes), fits, alike, crowded=(rarest_first(docs, classes), reachable))
+    comp = grouped(posts, linked_pairs(docs, classes), fits, alike, crowded=(rarest_first(docs, classes), reachable, "size.own"))
     whole = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     whole = stored(whole, "class-groups")
     least = stored(whole.groupBy("comp").agg(F.min("first").alias("component_id")), "group-ids")
