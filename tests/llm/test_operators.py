@@ -477,6 +477,66 @@ def test_lines_with_a_common_passage_are_not_all_paired(spark, monkeypatch):
     assert sum(tested) < 10 * len(rows), tested
 
 
+def test_lines_of_crowded_buckets_are_all_compared(spark):
+    """Two alike lines may share nothing of their sketches but the grams of a passage that many unlike lines hold."""
+    r = random.Random(11)
+    spell = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 5)))
+    shared = lambda x, y: set(x.sigs) & set(y.sigs)
+    texts = spark.createDataFrame([(" ".join(spell() for _ in range(4)),) for _ in range(400)], "t string").filter("length(t) > 15")
+    first = texts.select("t", line_dedup.least_grams(F.col("t"), line_dedup.LONG_GRAM, 1)[0].alias("h"))
+    passage, lines = min(first.collect(), key=lambda x: x.h).t, []  # its gram stands in all sketches
+    for i in range(60):
+        words = [spell() for _ in range(24)]
+        lines.append(f"{passage} {' '.join(words)}")
+        changed = [w if k % 3 else w[:-1] + ("x" if w[-1] != "x" else "z") for k, w in enumerate(words)]
+        lines.append(f"{passage} {' '.join(changed)}")
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    marks = {m.doc_id: m for m in line_dedup.occurrences(docs, 5).collect()}
+    common = collections.Counter(s for m in marks.values() for s in m.sigs)
+    alike = [2 * i + 1 for i in range(60) if edit_distance(lines[2 * i], lines[2 * i + 1]) <= len(lines[2 * i]) // 10]
+    crowded = [i for i in alike if shared(marks[i], marks[i - 1]) and all(common[s] > 16 for s in shared(marks[i], marks[i - 1]))]
+    assert len(crowded) > 5
+    gone = {x.doc_id for x in line_dedup.deduplicated(docs).collect() if x.n_dropped}
+    assert gone == {i for i in alike if shared(marks[i], marks[i - 1])}
+
+
+def test_counts_of_characters_drop_no_alike_pair(spark):
+    """Lines at the edge of similarity, some of them long enough for counts to run over their codes."""
+    r = random.Random(12)
+    rows = []
+    for i in range(150):
+        x = [r.choice("etaoinshrdlu ") for _ in range(r.choice([20, 90, 400, 3000]))]
+        y = list(x)
+        for _ in range(len(x) // 10):
+            at = r.randrange(len(y))
+            kind = r.randrange(3)
+            if kind == 0:
+                y[at] = r.choice("etz ")
+            elif kind == 1 and len(y) > len(x) - len(x) // 20:
+                del y[at]
+            else:
+                y.insert(at, "e")
+        x, y = "".join(x), "".join(y)
+        rows.append((2 * i, 2 * i + 1, x, y))
+    size = lambda c: F.struct(F.length(c).alias("length"), *line_dedup.counts(F.col(c)))
+    pairs = spark.createDataFrame(rows, "a long, b long, x string, y string").withColumn("size_a", size("x")).withColumn("size_b", size("y"))
+    near = pairs.filter("levenshtein(x, y) <= floor(greatest(length(x), length(y)) * 0.1)")
+    assert near.count() > 100 and line_dedup.fits(line_dedup.SIMILAR)(near).count() == near.count()
+    other = pairs.select("a", "size_a").join(pairs.select("b", "size_b"), F.col("b") != F.col("a") + 1)
+    assert line_dedup.fits(line_dedup.SIMILAR)(other).count() < other.count() / 4
+
+
+def test_normal_lines_of_a_whole_text(spark):
+    """Lines of a text are what the plain rule gives for each of them."""
+    raw = ["A  B, c-12 34.5d", " x ,y ", "", "Ὀδυσσεύς ΣΑΣ\u0085Σ", "²③Ⅷ 7up", "tab\tstop\r", "\u2028 0 00 ", "İI ß", "𐐀😀a"]
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("raw"), r"\p{N}+", "0"), r"[^\p{L}0]+", " "))
+    want = [w.n for w in spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, raw string").orderBy("i").select(plain.alias("n")).collect()]
+    docs = spark.createDataFrame([(1, "\n".join(raw))], "doc_id long, text string")
+    got = {x.pos: x.normal for x in line_dedup.split_lines(docs, 1).collect()}
+    assert got == dict(enumerate(want))
+    assert {x.pos for x in line_dedup.split_lines(docs, 3).collect()} == {i for i, n in enumerate(want) if len(n.split(" ")) >= 3}
+
+
 def test_enough_edits_are_never_too_few(spark):
     r = random.Random(8)
     words = ["ab", "cd", "abc", "d", "eta", "shr"]
