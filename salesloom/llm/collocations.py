@@ -6,7 +6,7 @@ a phrase that shares a fingerprint with another is counted for itself. What a ta
 part of the texts where the phrase occurs first, and a second fingerprint of another base, which keeps apart what met in
 other chunks: over tasks, phrases are equal if all 96 bits are. A shuffle sums the counts. Only where the sum is large is
 the pointer followed: the task that reads that part finds the phrase in its texts and writes it out. A phrase can be
-frequent only if its parts are, so words are counted first, then pairs, then longer phrases, and what a filter of fixed
+frequent only if its parts are, so words are counted first, then pairs, then longer phrases, and what a filter of bounded
 size proves to have a rare part is not handed on.
 """
 
@@ -27,9 +27,10 @@ LEAST, COVERED, TOP = 30, 80, 2000
 SCALE = 2_000_000
 UNKNOWN = "und"
 LONGEST = 4
-#: Bytes of text that a task counts at once (a longer text is taken whole), and bits of the filter of frequent parts.
+#: Bytes of text that a task counts at once (a longer text is taken whole), and bits of a filter of frequent phrases: SPARE
+#: for a phrase or more, FILTER_LEAST at least and FILTER_BITS at most.
 CHUNK = 4 << 20
-FILTER_BITS = 1 << 24
+FILTER_LEAST, FILTER_BITS, SPARE = 1 << 16, 1 << 27, 16
 #: A task merges its sums of fingerprints at so many, and gives out rows by so many.
 MOST_SUMS, GIVEN = 2_000_000, 1 << 16
 #: Bits of a row number within a part, as Spark gives them.
@@ -215,14 +216,20 @@ class Sums:
         self.size += len(values[0])
 
     def merge(self) -> None:
-        values = [np.concatenate(x) for x in zip(*self.parts)]
-        order = np.argsort(values[0], kind="stable")
-        new = np.zeros(len(order), bool)
-        for i, c in enumerate(self.columns):
-            values[i] = values[i][order]
+        values, parts, order, new = [], self.parts, None, None
+        self.parts = []
+        for i, c in enumerate(self.columns):  # one column at a time: the pieces of it go before those of the next are joined
+            whole = np.concatenate([p[i] for p in parts])
+            for p in parts:
+                p[i] = None
+            if order is None:
+                order, new = np.argsort(whole, kind="stable"), np.zeros(len(whole), bool)
+            values.append(whole[order])
+            del whole
             if c in ("fp", "mark"):
                 new[1:] |= values[i][1:] != values[i][:-1]
         new[:1] = True
+        del order
         head = np.flatnonzero(new)
         counts = np.add.reduceat(values[self.columns.index("c")], head) if len(head) else values[0][:0].view(np.int64)
         self.parts, self.size = [[counts if c == "c" else v[head] for c, v in zip(self.columns, values)]], len(head)
@@ -265,44 +272,87 @@ def counted(rows: DataFrame, n: int, filters: dict[int, np.ndarray], least: int,
     return stored(sums.select("n", "fp", "mark", "f", "part"), "frequent-fingerprints")
 
 
+class Known:
+    """Fingerprints and marks of one part that are given out already."""
+
+    def __init__(self):
+        self.part, self.fp, self.mark = None, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+
+    def fresh(self, part: int, fp: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Places of those that are not known yet; of two that differ in their marks alone one may come again."""
+        if part != self.part:
+            self.__init__()
+            self.part = part
+        at = np.searchsorted(self.fp, fp)
+        near = np.minimum(at, len(self.fp) - 1)
+        new = np.ones(len(fp), bool) if not len(self.fp) else (self.fp[near] != fp) | (self.mark[near] != mark)
+        new = np.flatnonzero(new)
+        both = np.concatenate([self.fp, fp[new]])
+        order = np.argsort(both, kind="stable")
+        self.fp, self.mark = both[order], np.concatenate([self.mark, mark[new]])[order]
+        return new
+
+
+def ranges_of(frequent: DataFrame, most: int) -> list[tuple[int, int]]:
+    """First and last part of ranges of parts that have `most` frequent phrases in all, or are one part."""
+    ranges, size = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in frequent.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if not ranges or size + n > most:
+            ranges.append((part, part))
+            size = 0
+        ranges[-1] = ranges[-1][0], part
+        size += n
+    return ranges
+
+
 def written_out(rows: DataFrame, frequent: DataFrame, chunk: int, filter_bits: int) -> DataFrame:
-    """(n, fp, mark, lang, phrase) of frequent phrases, by the tasks that their pointers lead to, and of few others."""
+    """(n, fp, mark, lang, phrase) of frequent phrases, by the tasks that their pointers lead to, and of few others.
+
+    Each range of parts has a filter of its own, so that filters keep few others however many phrases are frequent; all
+    texts are read once."""
+    found = [written_by(rows.filter(F.col("row").between(low << PART_BITS, (high + 1 << PART_BITS) - 1)),
+                        frequent.filter(F.col("part").between(low, high)), chunk, filter_bits)
+             for low, high in ranges_of(frequent, filter_bits // SPARE)]
+    return functools.reduce(DataFrame.unionByName, found) if found else written_by(rows.filter("false"), frequent, chunk, filter_bits)
+
+
+def written_by(rows: DataFrame, frequent: DataFrame, chunk: int, filter_bits: int) -> DataFrame:
     owned = F.col("fp").bitwiseXOR(F.col("part").cast("long").bitwiseOR(F.shiftleft(F.col("part").cast("long"), 32)))
     shared = rows.sparkSession.sparkContext.broadcast(filter_of(frequent.select(owned.alias("fp")), filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = set()
+        known = Known()
         for batch in batches:
             names = batch.column("lang")
             for texts, part, place in chunks_of(batch, chunk):
                 own = np.uint64(part | part << 32)
                 _, first = np.unique(texts.lang, return_index=True)
-                found = [(0, texts.lang[first].view(np.uint64), texts.lang[first].view(np.uint64), first)]
+                code = texts.lang[first].view(np.uint64)
+                good = passes(shared.value, code ^ own)
+                found = [(0, code[good], code[good], first[good])]
                 for n in range(1, LONGEST + 1):
                     at = texts.phrases(n)
                     fp = texts.fingerprints(at, n)
                     good = passes(shared.value, fp ^ own)
                     fp, first, _ = texts.tally(at[good], n, fp[good])
                     found.append((n, fp, texts.fingerprints(first, n, BASES[1]), first))
-                out = []
-                for n, fp, mark, first in found:
-                    if n == 0:
-                        good = passes(shared.value, fp ^ own)
-                        fp, mark, first = fp[good], mark[good], first[good]
-                    for f, m, i in zip(*(signed_of(x).tolist() for x in (fp, mark.astype(KINDS["mark"]), first))):
-                        if (f, m) not in done:
-                            done.add((f, m))
-                            phrase = b" ".join(map(texts.bytes_of, range(i, i + n))).decode("utf-8")
-                            out.append((n, f, m, names[place + int(texts.text[i])].as_py(), phrase))
-                if out:
-                    kinds = pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string()
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                                     names=["n", "fp", "mark", "lang", "phrase"])
+                n = np.repeat(np.arange(len(found), dtype=np.int32), [len(f[1]) for f in found])
+                fp, mark, first = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
+                mark = mark.astype(KINDS["mark"])
+                new = known.fresh(part, fp, mark)
+                for i in range(0, len(new), GIVEN):
+                    take = new[i:i + GIVEN]
+                    size, at = n[take], first[take]
+                    phrases = [b" ".join(map(texts.bytes_of, range(a, a + k))).decode("utf-8") for a, k in zip(at.tolist(), size.tolist())]
+                    langs = names.take(pa.array(place + texts.text[at])).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(signed_of(fp[take])), pa.array(signed_of(mark[take])),
+                                                      langs, pa.array(phrases, pa.string())], names=["n", "fp", "mark", "lang", "phrase"])
     return rows.mapInArrow(run, "n int, fp long, mark int, lang string, phrase string")
 
 
-def filter_of(frequent: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of fingerprints; its size is fixed, so what the driver gets is bounded by size / 64 rows."""
+def filter_of(frequent: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of fingerprints, of `most` bits at most, so what the driver gets is bounded by most / 64 rows."""
+    size = min(most, max(FILTER_LEAST, 1 << (SPARE * frequent.count() - 1).bit_length()))
     place = F.explode(F.array(F.col("fp").bitwiseAND(F.lit(size - 1)),
                               F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(size - 1)))).alias("place")
     words = frequent.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(

@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from salesloom.llm import chat_format, collocations, whitening
 from salesloom.llm.chat_format import Malformed, Reader, Template
@@ -123,6 +124,30 @@ def test_collocations_equal_brute_force(spark, chunk, bits, top):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 20
 
 
+def test_few_other_phrases_are_written_out(spark, monkeypatch):
+    """Where phrases are more than a filter tells apart, ranges of parts have filters of their own."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(9))
+    rows = []
+    for _ in range(8):
+        often = [f"{word()} {word()}" for _ in range(40)]
+        rows.append((1, ". ".join(often * 8 + [f"{word()} {word()}" for _ in range(700)]), "en", 1, None, None))
+    docs = spark.createDataFrame(rows, DOCS).repartition(8, "text").cache()
+    parts = docs.select(F.spark_partition_id()).distinct().count()
+    seen, real = [], collocations.written_out
+
+    def counted(texts, frequent, *rest):
+        out = real(texts, frequent, *rest)
+        seen.append((frequent.count(), out.count()))
+        return out
+    monkeypatch.setattr(collocations, "written_out", counted)
+    found = collocations.phrase_counts(docs, least=8, filter_bits=2048)
+    frequent, written = seen[0]
+    assert parts > 3 and frequent == 8 * 120 + 1 == found.count()
+    assert frequent <= written < frequent + 1500
+    assert {x.f for x in found.filter("n > 0").collect()} == {8}
+
+
 def test_collocations_of_nothing(spark):
     none = spark.createDataFrame([], DOCS)
     assert collocations.mined(none).count() == 0
